@@ -32,15 +32,25 @@ def newcomer_counts(gap: Column, present: Column, longest: int, prefix: str) ->
     }
 
 
-def rolling_sum(value: Column, group: list[str], day_no: Column, length: int) -> Column:
-    """Sum over the days [day, day + length - 1] that are present."""
-    return F.sum(value).over(Window.partitionBy(*group).orderBy(day_no).rangeBetween(0, length - 1))
-
-
-def rolling_distinct(prefix: str, group: list[str], day_no: Column, length: int) -> Column:
-    """Exact distinct entities over [day, day + length - 1] from the newcomer counts."""
-    total = F.lit(0).cast("long")
-    for j in range(length):
-        same_day = Window.partitionBy(*group).orderBy(day_no).rangeBetween(j, j)
-        total = total + F.coalesce(F.sum(f"{prefix}_{j}").over(same_day), F.lit(0))
-    return total
+def rolling_sum(value: str, group: list[str], day_no: str, length: int, start: int = 0) -> str:
+    """SQL text: sum of ``value`` over the days [day + start, day + length - 1] present.
+
+    Text rather than Column objects: a voyage mart holds dozens of these, and one parsed
+    expression each is far cheaper to build than a chain of window-builder calls.
+    """
+    return (
+        f"sum({value}) OVER (PARTITION BY {', '.join(group)} ORDER BY {day_no} "
+        f"RANGE BETWEEN {start} FOLLOWING AND {length - 1} FOLLOWING)"
+    )
+
+
+def rolling_distinct(prefix: str, group: list[str], day_no: str, length: int) -> str:
+    """SQL text: exact distinct entities over [day, day + length - 1].
+
+    Adds up the newcomers of each day of the window, see ``newcomer_counts``.
+    """
+    terms = [
+        f"coalesce({rolling_sum(f'{prefix}_{j}', group, day_no, j + 1, start=j)}, 0L)"
+        for j in range(length)
+    ]
+    return " + ".join(terms)

@@ -63,26 +63,25 @@ def rolling_voyages(
     """
     ship = ["ship_name"]
     numbered = days.withColumn("day_no", calendar.day_number(F.col("play_date")))
-    day_no = F.col("day_no")
-    summed = ("sessions", "unique_players", "wagered", "won", *MIX_COLUMNS)
+    summed = {"days_present": "1", **{c: c for c in ("sessions", "unique_players", "wagered", "won", *MIX_COLUMNS)}}
 
-    def one(duration: int) -> Column:
-        return F.struct(
-            F.lit(duration).alias("voyage_duration"),
-            rolling_sum(F.lit(1), ship, day_no, duration).alias("days_present"),
-            *[rolling_sum(F.col(c), ship, day_no, duration).alias(c) for c in summed],
-            rolling_distinct("new", ship, day_no, duration).alias("distinct_players"),
-        )
+    def one(duration: int) -> str:
+        fields = [f"'voyage_duration', {duration}"]
+        fields += [f"'{name}', {rolling_sum(c, ship, 'day_no', duration)}" for name, c in summed.items()]
+        fields.append(f"'distinct_players', {rolling_distinct('new', ship, 'day_no', duration)}")
+        return f"named_struct({', '.join(fields)})"
 
-    last_day = F.max("play_date").over(Window.partitionBy())
-    voyages = numbered.select(
+    voyages = numbered.selectExpr(
         "ship_name",
-        F.col("play_date").alias("departure_date"),
-        last_day.alias("last_day"),
-        F.array(*[one(d) for d in durations]).alias("voyages"),
+        "play_date AS departure_date",
+        f"array({', '.join(one(d) for d in durations)}) AS voyages",
     )
+    # taken after the per-ship windows: placed before them, the single-partition window
+    # would pull the rolling sums of all ships into its one task
+    last_day = F.max("departure_date").over(Window.partitionBy())
     return (
-        voyages.where(F.col("departure_date") <= F.date_sub("last_day", tail_days))
+        voyages.withColumn("last_day", last_day)
+        .where(F.col("departure_date") <= F.date_sub("last_day", tail_days))
         .select("ship_name", "departure_date", F.explode("voyages").alias("v"))
         .select("ship_name", "departure_date", "v.*")
     )
