@@ -51,7 +51,7 @@ def monthly_demand(plays: DataFrame, members: DataFrame) -> DataFrame:
     return mix.join(players, ["ship_name", "month"]).join(shares, ["ship_name", "month"])
 
 
-def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, parallelism: int = 3) -> dict[str, PipelineModel]:
+def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, parallelism: int = 6) -> dict[str, PipelineModel]:
     """One boosted regressor per target, fitted concurrently on the stored frame."""
     stored = workdir.materialise(train, "demand-train")
     with ThreadPoolExecutor(parallelism) as pool:
