@@ -22,7 +22,8 @@ BM25 = r"""WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text)
 
 
 def index(spark, sf):
-    return text.build_index(tables.policies(spark, sf))
+    """The documents indexed and stored; a search reads the stored index."""
+    return text.store_index(text.build_index(tables.policies(spark, sf)))
 
 
 @query(

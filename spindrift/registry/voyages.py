@@ -10,7 +10,7 @@ from spindrift.plans import demand, floor, mix, voyage
 from spindrift.registry.base import query, rounded, with_views
 from spindrift.registry.marts import DEMAND_CTE, demand_mart
 from spindrift.sources import parameters as P
-from spindrift.sources import tables
+from spindrift.sources import tables, workdir
 
 
 def _listed(values):
@@ -281,7 +281,8 @@ def _requests(table):
 
 
 def forecasts(spark, sf):
-    table = broad_training(spark, sf)
+    # the mart is read for the requests, the history and the comparison: store it once
+    table = workdir.materialise(broad_training(spark, sf), "voyage-training")
     return voyage.forecast(_requests(table), table), table
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.sources import workdir
+
 # fixed values: ranking constants and digits of the reported score
 K1 = 1.2
 B = 0.75
@@ -20,6 +22,8 @@ SCORE_DIGITS = 6
 SEPARATOR = r"[^\p{L}\p{N}]+"
 # fixed value: sub-groups a term's postings are spread over when query terms are shuffled
 SALTS = 16
+# fixed value: most (query, term) pairs that are sent to every executor
+BROADCAST_TERMS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -29,10 +33,12 @@ def words(text: Column) -> Column:
 def postings(documents: DataFrame, key: str = "policy_id", text: str = "content") -> DataFrame:
     """(doc_id, term, tf, doc_len) of whole texts.
 
-    All rows of a document start in one task, so counting is combined map-side and the
-    shuffle carries one row per distinct (document, term).
+    The raw texts are hashed to their document id first. Compressed text is smaller than
+    the exploded postings, the words of one document then stay in one task, and neither
+    this count nor a later one per document needs another shuffle.
     """
-    tokens = documents.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("w"))
+    placed = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    tokens = placed.select("doc_id", words(F.col("text")).alias("w"))
     return (
         tokens.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
         .groupBy("doc_id", "doc_len", "term")
@@ -40,16 +46,14 @@ def postings(documents: DataFrame, key: str = "policy_id", text: str = "content"
     )
 
 
-def lengths(documents: DataFrame, key: str = "policy_id", text: str = "content") -> DataFrame:
-    return documents.select(F.col(key).alias("doc_id"), F.size(words(F.col(text))).alias("doc_len"))
-
-
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(doc_id, doc_len, term, tf) and documents(doc_id, doc_len, attributes...)."""
+    """postings(doc_id, doc_len, term, tf), documents(doc_id, doc_len, attributes...) and,
+    if the index is stored, frequencies(term, df)."""
 
     postings: DataFrame
     documents: DataFrame
+    frequencies: DataFrame | None = None
 
     def corpus(self) -> DataFrame:
         """Number of documents and average length, as one row."""
@@ -59,6 +63,8 @@ class TextIndex:
         )
 
     def document_frequency(self) -> DataFrame:
+        if self.frequencies is not None:
+            return self.frequencies
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -71,6 +77,28 @@ def build_index(
     return TextIndex(postings(documents, key, text), docs)
 
 
+def store_index(index: TextIndex, buckets: int | None = None) -> TextIndex:
+    """Write the index to the shared folder; postings are bucketed by document.
+
+    A search sums term contributions per (query, document). On bucketed postings that
+    grouping is already co-located, so scoring runs without moving a single posting.
+    """
+    spark = index.postings.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = workdir.fresh_path(spark, "text-index")
+    table = "postings_" + path.rsplit("-", 1)[1]
+    writer = index.postings.repartition(n, "doc_id").write.option("path", f"{path}/postings")
+    writer.bucketBy(n, "doc_id").format("parquet").saveAsTable(table)
+    rows = spark.table(table)
+    index.documents.write.parquet(f"{path}/documents")
+    rows.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/frequencies")
+    return TextIndex(
+        rows,
+        spark.read.schema(index.documents.schema).parquet(f"{path}/documents"),
+        spark.read.schema("term string, df long").parquet(f"{path}/frequencies"),
+    )
+
+
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_text") -> DataFrame:
     return queries.select(
         F.col(key).alias("query_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")
@@ -80,14 +108,13 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
 def weighted_terms(index: TextIndex, terms: DataFrame) -> DataFrame:
     """Query terms with idf and the corpus figures; terms nobody uses drop out."""
     corpus = index.corpus()
-    n_docs = corpus.select("n_docs").scalar()
+    n = corpus.select("n_docs").scalar().cast("double")
     avg_len = corpus.select("avg_len").scalar()
-    needed = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = needed.groupBy("term").agg(F.count("*").alias("df"))
     df = F.col("df").cast("double")
-    n = n_docs.cast("double")
     idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    return terms.join(frequency, "term").select("query_id", "term", idf.alias("idf"), avg_len.alias("avg_len"))
+    return terms.join(index.document_frequency(), "term").select(
+        "query_id", "term", idf.alias("idf"), avg_len.alias("avg_len")
+    )
 
 
 def contribution() -> Column:
@@ -100,19 +127,23 @@ def contribution() -> Column:
 def scores(index: TextIndex, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Score of every document that shares a term with a query.
 
-    Postings of a very common term are spread over SALTS sub-groups: the (much smaller)
-    query side is repeated per salt, so no single task receives all documents of a term.
+    Query terms are broadcast if there are at most BROADCAST_TERMS of them (counted
+    first); the postings then stay where they are. A larger query set is shuffled, with
+    the postings of each term spread over SALTS sub-groups and the query side repeated
+    per salt, so that no task receives all documents of a very common term.
     """
     weighted = weighted_terms(index, terms)
-    salted_terms = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = index.postings
     if allowed is not None:
         rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return (
-        salted.join(salted_terms, ["term", "salt"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(contribution()), SCORE_DIGITS).alias("score"))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        hits = rows.join(F.broadcast(weighted), "term")
+    else:
+        repeated = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        hits = salted.join(repeated, ["term", "salt"])
+    return hits.groupBy("query_id", "doc_id").agg(
+        F.round(F.sum(contribution()), SCORE_DIGITS).alias("score")
     )
 
 
