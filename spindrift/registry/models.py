@@ -323,3 +323,98 @@ def refreshed_index(spark, sf):
     stream.awaitTermination()
     index = index_refresh.read_index(spark, f"{path}/data")
     return index.postings.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"))
+
+
+# --- label codes, model versions, profile joins and row exports ------------------------------
+
+
+@query(
+    "ml01_label_codes",
+    with_views("plays")
+    + """, s AS (SELECT ship_name AS label, dense_rank() OVER (ORDER BY ship_name) - 1 AS code FROM (SELECT DISTINCT ship_name FROM plays)),
+    d AS (SELECT denomination, dense_rank() OVER (ORDER BY denomination) - 1 AS code FROM (SELECT DISTINCT denomination FROM plays))
+    SELECT 'ship_name' AS column_name, p.ship_name AS label, CAST(s.code AS DOUBLE) AS code, count(*) AS sessions
+      FROM plays p JOIN s ON s.label = p.ship_name GROUP BY ALL
+    UNION ALL SELECT 'denomination', CAST(p.denomination AS VARCHAR), CAST(d.code AS DOUBLE), count(*)
+      FROM plays p JOIN d USING (denomination) GROUP BY ALL""",
+)
+def label_codes(spark, sf):
+    """Codes as the models use them: ships alphabetically, denominations by value."""
+    from pyspark.ml.feature import StringIndexer, StringIndexerModel
+
+    rows = tables.plays(spark, sf).select("ship_name", F.col("denomination").cast("string").alias("price"))
+    ships = StringIndexer(inputCol="ship_name", outputCol="ship_code", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
+    prices = StringIndexerModel.from_labels(
+        E.class_labels(rows, "price", numeric=True), inputCol="price", outputCol="price_code", handleInvalid="keep"
+    )
+    coded = prices.transform(ships.transform(rows))
+    pairs = F.array(
+        F.struct(F.lit("ship_name").alias("column_name"), F.col("ship_name").alias("label"), F.col("ship_code").alias("code")),
+        F.struct(F.lit("denomination").alias("column_name"), F.col("price").alias("label"), F.col("price_code").alias("code")),
+    )
+    counted = coded.groupBy("ship_name", "ship_code", "price", "price_code").agg(F.count("*").alias("n"))
+    return (
+        counted.select("n", F.explode(pairs).alias("p"))
+        .groupBy("p.column_name", "p.label", "p.code")
+        .agg(F.sum("n").alias("sessions"))
+    )
+
+
+@query("snk09_model_versions")
+def model_versions(spark, sf):
+    """Train, store and list models by name."""
+    from spindrift.ml import store
+
+    root = workdir.fresh_path(spark, "model-store")
+    inputs = {"win_rate": workdir.materialise(win_rate_training(spark, sf), "win-rate")}
+    for version, trees in (("V1", E.Trees(rounds=2, depth=3)), ("V2", E.Trees(rounds=4, depth=3))):
+        train.train("win_rate", inputs, root, trees, version)
+    return store.versions(spark, root).select("name", "version", "comment", "signature")
+
+
+@query(
+    "jon13_profile_with_shares",
+    with_views("plays")
+    + """, n AS (SELECT ship_name, CAST(date_trunc('month', play_date) AS DATE) AS month, count(*) AS sessions,
+      count(DISTINCT member_id) AS unique_players, count(*) FILTER (denomination = 0.01) AS penny,
+      count(*) FILTER (denomination = 100) AS hundred FROM plays GROUP BY ALL)
+    SELECT ship_name, month, unique_players, """
+    + rounded("penny * 100.0::DOUBLE / sessions", 6)
+    + " AS pct_0_01, "
+    + rounded("hundred * 100.0::DOUBLE / sessions", 6)
+    + " AS pct_100_0 FROM n",
+)
+def profile_with_shares(spark, sf):
+    rows = _monthly_demand(spark, sf)
+    return rows.select(
+        "ship_name",
+        "month",
+        "unique_players",
+        round_half_up(F.col("pct_0_01"), 6).alias("pct_0_01"),
+        round_half_up(F.col("pct_100_0"), 6).alias("pct_100_0"),
+    )
+
+
+@query(
+    "src05_rows_as_json",
+    with_views("plays")
+    + """SELECT '{"ship_name":"' || ship_name || '","sessions":' || count(*) || '}' AS "row" FROM plays GROUP BY ship_name""",
+)
+def rows_as_json(spark, sf):
+    counted = tables.plays(spark, sf).groupBy("ship_name").agg(F.count("*").alias("sessions"))
+    return sinks.rows_as_json(counted)
+
+
+@query(
+    "ml05_random_split",
+    with_views("members")
+    + """SELECT CASE WHEN u < 0.8 THEN 'TRAIN' ELSE 'TEST' END AS split, count(*) AS n FROM (
+      SELECT CAST(CAST('0x' || substr(md5('42:' || CAST(member_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
+      FROM members) GROUP BY 1""",
+)
+def random_split(spark, sf):
+    from spindrift.functions.numeric import uniform
+
+    drawn = tables.members(spark, sf).select(uniform("member_id", salt="42").alias("u"))
+    side = F.when(F.col("u") < 0.8, "TRAIN").otherwise("TEST").alias("split")
+    return drawn.groupBy(side).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ import __spark_entry__ as entry_module
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 # trained in test_ml on small fixtures; too slow to repeat here
-SLOW = {"ml12_leave_one_ship_out", "ml11_demand_shares", "ml09_voyage_profit_regression", "ml10_win_rate_regression"}
+SLOW = {"ml12_leave_one_ship_out", "ml11_demand_shares", "ml09_voyage_profit_regression", "ml10_win_rate_regression", "snk09_model_versions"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
