@@ -39,7 +39,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from spindrift.registry import QUERIES
     from spindrift.session import local_session

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.sources import parameters as P
+
 
 def denomination_label(denomination: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(denomination.cast("decimal(10,2)"), 2))
@@ -21,7 +23,7 @@ def decade_label(age: Column) -> Column:
 def member_label() -> Column:
     """One-line description of a member for pick lists."""
     return F.format_string(
-        "%d — %s, Age %d, %s, %s risk, %s",
+        P.MEMBER_LABEL,
         F.col("member_id"),
         F.col("gender"),
         F.col("age"),

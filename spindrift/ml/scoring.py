@@ -16,7 +16,7 @@ from spindrift.sources import parameters as P
 
 
 def _or_not_found(text: Column, found: Column) -> Column:
-    missing = F.format_string("Member %d not found", F.col("member_id"))
+    missing = F.format_string(P.NOT_FOUND_TEXT, F.col("member_id"))
     return F.when(found, text).otherwise(missing)
 
 
@@ -32,8 +32,8 @@ def score_members(models: dict[str, PipelineModel], encoded: DataFrame, ids: Dat
         answers = answers.join(scored.select("member_id", F.col("predicted").alias(f"predicted_{name}")), "member_id", "left")
     found = F.col("predicted_denomination").isNotNull()
     price = labels.denomination_label(F.col("predicted_denomination").cast("double"))
-    sentence = F.format_string("Predicted preferred denomination for member %d: %s", F.col("member_id"), price)
-    bet = F.format_string("Predicted bet category for member %d: %s", F.col("member_id"), F.col("predicted_bet"))
+    sentence = F.format_string(P.DENOMINATION_TEXT, F.col("member_id"), price)
+    bet = F.format_string(P.BET_TEXT, F.col("member_id"), F.col("predicted_bet"))
     return answers.select(
         "*",
         _or_not_found(sentence, found).alias("denomination_text"),
@@ -66,7 +66,7 @@ def score_members_in_context(
     keep = ["member_id", "_known", "age", "membership_tier", "income_bracket", "risk_appetite"]
     scored = E.apply(model, rows, E.SESSION_CATEGORIES, E.SESSION_NUMBERS, keep)
     text = F.format_string(
-        "Predicted optimal denomination for member %d: %s (Age: %d, Tier: %s, Income: %s, Risk: %s)",
+        P.CONTEXT_TEXT,
         F.col("member_id"),
         labels.denomination_label(F.col("predicted").cast("double")),
         F.col("age").cast("int"),
@@ -110,7 +110,7 @@ def score_ship_days(model: PipelineModel, requests: DataFrame, as_of: str) -> Da
     rows = ship_day_features(requests, as_of)
     scored = E.apply(model, rows, (), WIN_RATE_FEATURES, ["request_id", "ship_name", "dow_sun0", "sessions"])
     text = F.format_string(
-        "Predicted win rate category for %s on day %d with %d sessions: %s",
+        P.SHIP_DAY_TEXT,
         F.col("ship_name"),
         F.col("dow_sun0").cast("int"),
         F.col("sessions").cast("int"),

@@ -154,11 +154,8 @@ def with_shift(requests: DataFrame, ports: DataFrame) -> DataFrame:
     age = (F.col("avg_age") - P.NEUTRAL_AGE) / 100.0
     duration = (F.col("duration_days") - P.NEUTRAL_DURATION) * F.lit(P.SHIFT_PER_DAY)
     total = clip(shift + age + duration, -P.SHIFT_LIMIT, P.SHIFT_LIMIT)
-    note = (
-        F.when(total > P.SHIFT_NOTE_BAND, "Higher denominations")
-        .when(total < -P.SHIFT_NOTE_BAND, "Lower denominations")
-        .otherwise("Balanced mix")
-    )
+    up, down, neutral = P.SHIFT_NOTES
+    note = F.when(total > P.SHIFT_NOTE_BAND, up).when(total < -P.SHIFT_NOTE_BAND, down).otherwise(neutral)
     return matched.withColumns(
         {"profile_type": kind, "total_shift": total, "shift_note": note}
     )

@@ -251,6 +251,7 @@ def enum_violations(model: Model, frames: Mapping[str, DataFrame], table: str) -
     return unlisted_values(frames[table], enums)
 
 
+# fixed values: names and synonyms of the model
 _MEMBER_DIMENSIONS = {
     "member_id": Dimension("member_id", unique=True),
     "gender": Dimension("gender", values=P.GENDERS),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spindrift.functions import calendar
 from spindrift.functions.numeric import clip, exact_avg, ratio
@@ -16,6 +15,7 @@ from spindrift.operators.rolling import newcomer_counts, rolling_distinct, rolli
 from spindrift.plans.daily import member_days
 from spindrift.plans.mix import MIX_COLUMNS, VOYAGE_GROUPS, Groups, flags, mix_sums
 from spindrift.sources import parameters as P
+from spindrift.sources import workdir
 
 MIX_RATIOS = {
     "ratio_male_per_player": ("mix_male", "pct_male"),
@@ -53,13 +53,20 @@ def voyage_days(
     return gapped.groupBy("ship_name", "play_date").agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def stored_voyage_days(
+    plays: DataFrame, members: DataFrame, groups: Groups = VOYAGE_GROUPS, longest: int = max(P.DURATIONS)
+) -> DataFrame:
+    """The ship days written to the shared folder: sessions are read exactly once."""
+    return workdir.materialise(voyage_days(plays, members, groups, longest), "ship-days")
+
+
 def rolling_voyages(
     days: DataFrame, durations: tuple[int, ...] = P.DURATIONS, tail_days: int = P.TAIL_DAYS
 ) -> DataFrame:
     """Sums per (ship, departure, duration); departures in the last ``tail_days`` drop out.
 
-    All frames share one (ship, day) sort. The frame has at most ships x calendar days
-    rows, which does not grow with the sessions.
+    All frames share one (ship, day) sort. ``days`` is the stored ship-day table: it has at
+    most ships x calendar days rows, which does not grow with the sessions.
     """
     ship = ["ship_name"]
     numbered = days.withColumn("day_no", calendar.day_number(F.col("play_date")))
@@ -76,12 +83,11 @@ def rolling_voyages(
         "play_date AS departure_date",
         f"array({', '.join(one(d) for d in durations)}) AS voyages",
     )
-    # taken after the per-ship windows: placed before them, the single-partition window
-    # would pull the rolling sums of all ships into its one task
-    last_day = F.max("departure_date").over(Window.partitionBy())
+    # a scalar subquery on the stored ship days; as a window, the fleet maximum would drag
+    # the rolling sums of all ships into its single partition
+    last_departure = days.agg(F.date_sub(F.max("play_date"), tail_days).alias("last"))
     return (
-        voyages.withColumn("last_day", last_day)
-        .where(F.col("departure_date") <= F.date_sub("last_day", tail_days))
+        voyages.where(F.col("departure_date") <= last_departure.scalar())
         .select("ship_name", "departure_date", F.explode("voyages").alias("v"))
         .select("ship_name", "departure_date", "v.*")
     )
@@ -99,8 +105,8 @@ def training(
     The mix ratios divide sessions by *distinct* players and may exceed 1, hence their
     names; a voyage without any known member gets the documented defaults.
     """
-    voyages = rolling_voyages(voyage_days(plays, members, groups, max(durations)), durations, tail_days)
-    return with_measures(voyages)
+    days = stored_voyage_days(plays, members, groups, max(durations))
+    return with_measures(rolling_voyages(days, durations, tail_days))
 
 
 def with_measures(voyages: DataFrame) -> DataFrame:
@@ -275,18 +281,17 @@ def comparison(forecasts: DataFrame, training_table: DataFrame) -> DataFrame:
         lambda s: F.struct(
             s["ship_name"].alias("compared_ship"),
             s["avg_profit"].alias("profit"),
-            F.lit("Historical Avg").alias("kind"),
+            F.lit(P.HISTORY_KIND).alias("kind"),
         ),
     )
     own = F.array(
         F.struct(
             F.col("ship_name").alias("compared_ship"),
             F.col("predicted_profit").alias("profit"),
-            F.lit("This Voyage").alias("kind"),
+            F.lit(P.REQUEST_KIND).alias("kind"),
         )
     )
-    rows = forecasts.join(per_duration, "voyage_duration", "left").withColumn(
-        "row", F.explode(F.concat(F.coalesce(tagged, F.array().cast(
-            "array<struct<compared_ship:string,profit:double,kind:string>>")), own))
-    )
+    nobody = F.array().cast("array<struct<compared_ship:string,profit:double,kind:string>>")
+    everyone = F.concat(F.coalesce(tagged, nobody), own)
+    rows = forecasts.join(per_duration, "voyage_duration", "left").withColumn("row", F.explode(everyone))
     return rows.select("request_id", "voyage_duration", "row.*")

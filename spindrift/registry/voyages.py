@@ -97,7 +97,7 @@ def rolling_money(spark, sf):
       ratio_high_tier_per_player, ratio_high_income_per_player, ratio_high_risk_per_player FROM voyage_mix""",
 )
 def rolling_mix(spark, sf):
-    days = voyage.voyage_days(tables.plays(spark, sf), tables.members(spark, sf), mix.Groups())
+    days = voyage.stored_voyage_days(tables.plays(spark, sf), tables.members(spark, sf), mix.Groups())
     voyages = voyage.rolling_voyages(days)
     n, players = F.col("mix_sessions"), F.col("distinct_players")
     return voyages.where("mix_sessions > 0").select(

@@ -90,7 +90,12 @@ def store_index(index: TextIndex, buckets: int | None = None) -> TextIndex:
     writer = index.postings.repartition(n, "doc_id").write.option("path", f"{path}/postings")
     writer.bucketBy(n, "doc_id").format("parquet").saveAsTable(table)
     rows = spark.table(table)
-    index.documents.write.parquet(f"{path}/documents")
+    # lengths come from the stored postings, so the texts are not read a second time
+    lengths = rows.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("doc_len"))
+    described = index.documents.drop("doc_len").join(lengths, "doc_id", "left")
+    described.withColumn("doc_len", F.coalesce("doc_len", F.lit(0))).select(index.documents.columns).write.parquet(
+        f"{path}/documents"
+    )
     rows.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/frequencies")
     return TextIndex(
         rows,

@@ -120,6 +120,17 @@ SHIP_DAY_DEFAULTS = {"avg_spins": 250.0, "avg_bet_per_spin": 4.2, "avg_session_m
 SHIP_DAY_WAGER_FACTOR = 0.5
 SHIP_DAY_SHARES = {"night_sessions": 0.3, "evening_sessions": 0.37, "progressive_sessions": 0.25}
 
+# --- fixed values: sentences and labels shown to users ----------------------------------
+MEMBER_LABEL = "%d — %s, Age %d, %s, %s risk, %s"
+NOT_FOUND_TEXT = "Member %d not found"
+DENOMINATION_TEXT = "Predicted preferred denomination for member %d: %s"
+BET_TEXT = "Predicted bet category for member %d: %s"
+CONTEXT_TEXT = "Predicted optimal denomination for member %d: %s (Age: %d, Tier: %s, Income: %s, Risk: %s)"
+SHIP_DAY_TEXT = "Predicted win rate category for %s on day %d with %d sessions: %s"
+SHIFT_NOTES = ("Higher denominations", "Lower denominations", "Balanced mix")
+HISTORY_KIND = "Historical Avg"
+REQUEST_KIND = "This Voyage"
+
 
 def ship_weights(spark: SparkSession) -> DataFrame:
     """Long form of the weights: ship_name, denomination, weight (72 rows)."""
