@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
+from spindrift.llm.warc import through_archives
 
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
@@ -42,5 +43,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_common_lines(docs, LineStore.build(docs, min_docs=10))
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = through_archives(table(spark, sf_dir, "pages")).where(F.col("gap").isNull())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
 __all__ = ["ORACLES", "QUERIES"]
