@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm import bpe
 from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
@@ -60,4 +62,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; installed on every worker like any library."""
+    return public_tokenizers.path(name)
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
