@@ -42,10 +42,13 @@ def join_spread(rows: DataFrame, per_key: DataFrame, key: str, weight: str, payl
     key, so no task gets all rows of one key. ``per_key`` must be cheap to read twice.
     """
     found = F.struct(*payload)
+    kind = rows.schema[key].dataType.simpleString()
+    # a stand-in may equal a true key: that row keeps its heavy match, and no key has two rows
+    elsewhere = F.xxhash64(spread) if kind == "bigint" else F.concat(F.lit("~"), F.xxhash64(spread).cast("string")).cast(kind)
     heavy = per_key.orderBy(F.desc(weight), key).limit(HEAVY_KEYS).select(F.col(key).alias("_hk"), found.alias("_heavy"))
     light = per_key.select(F.col(key).alias("_lk"), found.alias("_light"))
     split = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    split = split.withColumn("_at", F.when(F.col("_hk").isNull(), F.col(key)).otherwise(F.concat(F.lit("~"), F.hash(spread).cast("string")).cast(rows.schema[key].dataType)))
+    split = split.withColumn("_at", F.when(F.col("_hk").isNull(), F.col(key)).otherwise(elsewhere))
     joined = split.join(light, F.col("_at") == F.col("_lk"), "left").withColumn("_got", F.coalesce("_heavy", "_light"))
     return joined.select(*rows.columns, *[F.col("_got")[c].alias(c) for c in payload])
 

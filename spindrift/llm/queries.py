@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import bpe
 from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
+from spindrift.llm.packing import pack_documents
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
 from spindrift.llm.warc import through_archives
 
@@ -73,4 +74,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
 __all__ = ["ORACLES", "QUERIES"]
