@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import bpe
 from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
+from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
 from spindrift.llm.warc import through_archives
@@ -79,4 +80,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+@query("op8_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
 __all__ = ["ORACLES", "QUERIES"]
