@@ -12,6 +12,7 @@ from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
+from spindrift.llm.quality import score_quality, train
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
 from spindrift.llm.warc import through_archives
 
@@ -108,4 +109,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
 
 
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
