@@ -27,7 +27,7 @@ from spindrift.llm.common import offsets, ragged
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes that are encoded at once; longer single texts are encoded alone.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Pairs kept in the compatibility table before it starts anew.
 PAIRS = 1 << 21
 
@@ -92,21 +92,28 @@ class Bpe:
                     token.append(-1)
                 node = child[node][b]
             token[node] = i
+        inner = np.array([bool(c) for c in child])
+        del child
         depth, parent, letter, token = (np.array(x) for x in (depth, parent, letter, token))
-        goto = np.zeros((len(child), 256), dtype=np.int32)
-        fail = np.zeros(len(child), dtype=np.int64)
+        # a state without children moves like its failure link, so only the others have a row
+        row = np.cumsum(inner) - 1
+        goto = np.zeros((int(inner.sum()), 256), dtype=np.int32)
+        fail = np.zeros(len(depth), dtype=np.int64)
         longest = token.astype(np.int32)
         roots = np.flatnonzero(depth == 1)
         goto[0, letter[roots]] = roots
         for d in range(1, int(depth.max()) + 1):
             level = np.flatnonzero(depth == d)
             if d > 1:
-                fail[level] = goto[fail[parent[level]], letter[level]]
+                fail[level] = goto[row[fail[parent[level]]], letter[level]]
             longest[level] = np.where(token[level] >= 0, token[level], longest[fail[level]])
-            goto[level] = goto[fail[level]]
+            wide = level[inner[level]]
+            goto[row[wide]] = goto[row[fail[wide]]]
+            narrow = level[~inner[level]]
+            row[narrow] = row[fail[narrow]]
             below = np.flatnonzero(depth == d + 1)
-            goto[parent[below], letter[below]] = below
-        self.goto, self.longest = goto, longest
+            goto[row[parent[below]], letter[below]] = below
+        self.goto, self.row, self.longest = goto, row.astype(np.int32), longest
         #: Longest proper suffix of a token that is a token, or -1.
         self.shorter = np.full(self.size, -1, dtype=np.int64)
         ends = np.flatnonzero(token >= 0)
@@ -167,7 +174,7 @@ class Bpe:
         for step in range(int(sizes[0]) if n else 0):
             alive = int(np.searchsorted(-sizes[:alive], -step, side="left"))
             at = first[:alive] + step
-            state[:alive] = self.goto[state[:alive], data[at]]
+            state[:alive] = self.goto[self.row[state[:alive]], data[at]]
             ends_with[at] = self.longest[state[:alive]]
         # positions count bytes, one more per chunk than bytes so that every end has a place
         base = starts[:-1] + np.arange(n)
