@@ -10,7 +10,7 @@ import xxhash
 from spindrift.llm.common import mix64, offsets, ragged
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(texts: list[str | None]):

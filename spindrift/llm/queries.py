@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe
+from spindrift.llm import bpe, toxicity
 from spindrift.llm.embedding_dedup import embedding_dedup
 from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
@@ -118,4 +118,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, chain).drop("row")
+
+
 __all__ = ["ORACLES", "QUERIES"]
