@@ -30,7 +30,7 @@ CONVEX = 1.02
 #: Configurations within this share of the best are used together.
 NEAR = 0.05
 #: Pieces of one length that are ranked together.
-RANKED = 1 << 14
+RANKED = 1 << 11
 
 
 def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
