@@ -12,6 +12,7 @@ from spindrift.llm.exact_dedup import exact_dedup
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
+from spindrift.llm.pii import KINDS, find_personal_data, joined
 from spindrift.llm.quality import score_quality, train
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
 from spindrift.llm.warc import through_archives
@@ -125,4 +126,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, chain).drop("row")
 
 
+@query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, rank))).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
+    return found.select("row.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
