@@ -1,7 +1,7 @@
 """Supervised subword embeddings: averaged n-gram vectors, softmax, stochastic gradient descent.
 
 A document is the average of the learned vectors of its hashed words, word pairs and character
-n-grams; a softmax over two classes sits on top. Training runs in numpy on the driver over a
+n-grams; a softmax over two classes sits on top. Training runs in numpy in one task over a
 bounded sample of labelled rows. As the average and the softmax's input are linear in the
 vectors, scoring needs one number per bucket, so only that table is sent to the tasks.
 """
@@ -130,12 +130,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_label", "_text")
     found = rows.mapInArrow(_feature_rows, T.StructType([T.StructField("id", texts.schema["_doc"].dataType), T.StructField("label", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]))
-    held = found.toArrow()
-    if not held.num_rows:
-        return np.zeros(BUCKETS), 0.0
-    order = np.lexsort((np.array([len(x) for x in held["buckets"]]), np.argsort(np.argsort(np.array(held["id"].to_pylist())))))
-    buckets, shares = ([c[int(i)].values.to_numpy() for i in order] for c in (held["buckets"], held["shares"]))
-    return fit(buckets, shares, held["label"].to_numpy()[order])
+    # a bounded sample: one task fits, and the driver gets one number per bucket
+    fitted = found.repartition(1).mapInArrow(_fit_rows, "scores binary, bias double").collect()
+    return (np.frombuffer(fitted[0]["scores"]), fitted[0]["bias"]) if fitted else (np.zeros(BUCKETS), 0.0)
+
+
+def _fit_rows(batches):
+    rows = []
+    for b in batches:
+        ids, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
+        rows += [(i, y, b.column(2)[n].values.to_numpy(), b.column(3)[n].values.to_numpy()) for n, (i, y) in enumerate(zip(ids, labels, strict=True))]
+    if rows:
+        rows.sort(key=lambda r: (r[0], len(r[2])))
+        scores, bias = fit([r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([scores.tobytes()], pa.binary()), pa.array([bias])], names=["scores", "bias"])
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
