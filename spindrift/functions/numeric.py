@@ -27,7 +27,8 @@ def exact_avg(value: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Limit to [low, high]; NULL stays NULL (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def uniform(*keys: Column | str, salt: str) -> Column:

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# fixed value: largest weight table (rows) that is sent to every executor
-BROADCAST_ROWS = 100_000
-
-
 def intervals(weights: DataFrame, group: str, category: str, weight: str) -> DataFrame:
     """Half-open intervals (low, high] of running weight, with the group total.
 
@@ -40,23 +36,17 @@ def assign_category_by_cdf(
     group: str = "ship_name",
     category: str = "denomination",
     weight: str = "weight",
-    salts: int = 64,
 ) -> DataFrame:
     """Give every row the first category whose cumulative share is at least ``u``.
 
-    Each row falls into exactly one interval of its group, so the output has one row
-    per input row of a weighted group. A weight table of at most BROADCAST_ROWS rows is
-    broadcast after counting it; a larger one is joined on (group, salt), which spreads
-    a dominant group over ``salts`` tasks.
+    A group's bounds are one array in one row, so the rows meet them in a plain join on the
+    group that never multiplies a row, and the category is picked inside the row. Rows whose
+    group has no weights, or whose ``u`` is null, are left out.
     """
+    step = F.struct(F.col("high"), F.col(category).alias("category"))
     bounds = intervals(weights, group, category, weight)
-    position = F.col(u) * F.col("total")
-    inside = (F.col("low") < position) & (position <= F.col("high"))
-    left = df.drop(category)
-    if weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = left.join(F.broadcast(bounds), group)
-    else:
-        spread = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-        joined = salted.join(spread, [group, "_salt"]).drop("_salt")
-    return joined.where(inside).drop("low", "high", "total")
+    tables = bounds.groupBy(group).agg(F.array_sort(F.collect_list(step)).alias("_steps"), F.max("total").alias("_total"))
+    joined = df.drop(category).join(tables, group)
+    position = F.col(u) * F.col("_total")
+    reached = F.get(F.filter("_steps", lambda s: s["high"] >= position), F.lit(0))["category"]
+    return joined.withColumn(category, reached).where(F.col(category).isNotNull()).drop("_steps", "_total")

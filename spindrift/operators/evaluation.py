@@ -86,17 +86,17 @@ def weighted_f1(counts: DataFrame) -> DataFrame:
 def regression_metrics(predictions: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
     """MAE, RMSE and R2, optionally per group (e.g. one row per target).
 
-    R2 uses the sum of squares around the mean in its one-pass form, summed as DECIMAL.
+    R2 is 1 - mean squared error / variance; the variance is merged around means, so neither
+    small nor large targets lose it. NULL if all targets are equal.
     """
-    error = F.col(actual) - F.col(predicted)
-    square = F.sum((error * error).cast("decimal(38,8)"))
-    y = F.col(actual).cast("decimal(18,4)")
-    spread = F.sum(y * y).cast("double") - F.sum(y).cast("double") * F.sum(y).cast("double") / F.count("*")
+    y = F.col(actual).cast("double")
+    error = y - F.col(predicted).cast("double")
+    square = F.avg(error * error)
     return predictions.groupBy(*by).agg(
         F.count("*").alias("n"),
         round_half_up(exact_avg(F.abs(error)), 6).alias("mae"),
-        round_half_up(F.sqrt(ratio(square, F.count("*"))), 6).alias("rmse"),
-        round_half_up(F.lit(1.0) - ratio(square, spread), 6).alias("r2"),
+        round_half_up(F.sqrt(square), 6).alias("rmse"),
+        round_half_up(F.lit(1.0) - ratio(square, F.var_pop(F.when(error.isNotNull(), y))), 6).alias("r2"),
     )
 
 

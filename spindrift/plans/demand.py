@@ -122,9 +122,7 @@ def with_port(requests: DataFrame, ports: DataFrame) -> DataFrame:
     option = F.struct("departure_port", "typical_duration", "denomination_shift", "port_profile")
     by_port = ports.groupBy("ship_name", "departure_port").agg(F.collect_list(option).alias("_here"))
     by_ship = ports.groupBy("ship_name").agg(F.array_min(F.collect_list(option)).alias("_fallback"))
-    joined = requests.join(F.broadcast(by_port), ["ship_name", "departure_port"], "left").join(
-        F.broadcast(by_ship), "ship_name", "left"
-    )
+    joined = requests.join(by_port, ["ship_name", "departure_port"], "left").join(by_ship, "ship_name", "left")
     wanted = F.col("duration_days")
     nearest = F.array_min(
         F.transform(
@@ -146,14 +144,18 @@ def with_port(requests: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def with_shift(requests: DataFrame, ports: DataFrame) -> DataFrame:
-    """Total demand shift per request: profile override or port, plus age and duration."""
+    """Total demand shift per request: profile override or port, plus age and duration.
+
+    Whatever is not known (no profile and no port of the ship, no age, no duration) shifts nothing.
+    """
     matched = with_port(requests, ports)
     profile = F.col("profile")
     shift = F.coalesce(decode(profile, {k: v[0] for k, v in P.PROFILES.items()}), F.col("denomination_shift"))
     kind = F.coalesce(decode(profile, {k: v[1] for k, v in P.PROFILES.items()}), F.col("port_profile"))
     age = (F.col("avg_age") - P.NEUTRAL_AGE) / 100.0
     duration = (F.col("duration_days") - P.NEUTRAL_DURATION) * F.lit(P.SHIFT_PER_DAY)
-    total = clip(shift + age + duration, -P.SHIFT_LIMIT, P.SHIFT_LIMIT)
+    known = [F.coalesce(part.cast("double"), F.lit(0.0)) for part in (shift, age, duration)]
+    total = clip(known[0] + known[1] + known[2], -P.SHIFT_LIMIT, P.SHIFT_LIMIT)
     up, down, neutral = P.SHIFT_NOTES
     note = F.when(total > P.SHIFT_NOTE_BAND, up).when(total < -P.SHIFT_NOTE_BAND, down).otherwise(neutral)
     return matched.withColumns(

@@ -20,19 +20,21 @@ def _zones() -> Column:
         *[
             F.struct(
                 F.lit(zone).alias("zone"),
-                F.lit(label).alias("zone_label"),
                 F.lit(machines).alias("machines"),
                 F.array(*[F.lit(x) for x in factors]).alias("factors"),
             )
-            for zone, label, machines, factors in P.ZONES
+            for zone, machines, factors in P.ZONES
         ]
     )
 
 
 def zone_demand(shifted: DataFrame) -> DataFrame:
-    """One row per request and zone with the zone's own share vector (adds up to 100)."""
+    """One row per request and zone with the zone's own share vector (adds up to 100).
+
+    Factors go by position; a ship with fewer denominations uses as many of them as it has.
+    """
     rows = shifted.withColumn("_zone", F.explode(_zones())).select(*shifted.columns, "_zone.*")
-    weighted = F.zip_with("adjusted_pcts", "factors", lambda pct, factor: pct * factor)
+    weighted = F.transform("adjusted_pcts", lambda pct, i: pct * F.coalesce(F.get("factors", i), F.lit(1.0)))
     return rows.withColumn("zone_pcts", normalise(weighted)).drop("factors")
 
 

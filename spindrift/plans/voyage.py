@@ -209,16 +209,19 @@ def history(training_table: DataFrame) -> DataFrame:
 
 
 def demographic_factor() -> Column:
-    """Product of 1 + k * relative deviation for each mix measure with history, clamped."""
+    """Product of 1 + k * relative deviation for each mix measure with history, clamped.
+
+    A measure that the request leaves out has no effect.
+    """
     weights = P.FORECAST_WEIGHTS
     factor = F.lit(1.0)
     for group in ("high_tier", "high_risk", "high_income"):
         hist, asked = F.col(f"hist_{group}"), F.col(f"pct_{group}")
         step = F.lit(1.0) + F.lit(weights[group]) * (asked - hist) / F.greatest(hist, F.lit(0.01))
-        factor = factor * F.when(hist > 0, step).otherwise(F.lit(1.0))
+        factor = factor * F.when((hist > 0) & asked.isNotNull(), step).otherwise(F.lit(1.0))
     hist, asked = F.col("hist_age"), F.col("avg_age")
     step = F.lit(1.0) + F.lit(weights["age"]) * (asked - hist) / F.nullif(hist, F.lit(0.0))
-    factor = factor * F.when(hist > 0, step).otherwise(F.lit(1.0))
+    factor = factor * F.when((hist > 0) & asked.isNotNull(), step).otherwise(F.lit(1.0))
     return clip(factor, *P.FORECAST_RANGE)
 
 

@@ -659,10 +659,8 @@ def class_report(spark, sf):
     + f""", p AS (SELECT membership_tier, avg_bet_per_spin AS y, total_sessions * 0.1::DOUBLE AS yhat FROM features)
     SELECT membership_tier, count(*) AS n,
       {rounded('CAST(sum(CAST(abs(y - yhat) AS DECIMAL(28,12))) AS DOUBLE) / count(*)', 6)} AS mae,
-      {rounded('sqrt(CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,8))) AS DOUBLE) / count(*))', 6)} AS rmse,
-      {rounded('''1 - CAST(sum(CAST((y - yhat) * (y - yhat) AS DECIMAL(38,8))) AS DOUBLE)
-        / (CAST(sum(CAST(y AS DECIMAL(18,4)) * CAST(y AS DECIMAL(18,4))) AS DOUBLE)
-           - CAST(sum(CAST(y AS DECIMAL(18,4))) AS DOUBLE) * CAST(sum(CAST(y AS DECIMAL(18,4))) AS DOUBLE) / count(*))''', 6)} AS r2
+      {rounded('sqrt(avg((y - yhat) * (y - yhat)))', 6)} AS rmse,
+      {rounded('1 - avg((y - yhat) * (y - yhat)) / nullif(var_pop(y), 0)', 6)} AS r2
     FROM p GROUP BY membership_tier""",
 )
 def regression_metrics(spark, sf):
@@ -722,12 +720,14 @@ def seeded_uniform(spark, sf):
 
 @query(
     "scl16_clip",
-    M + "SELECT member_id, greatest(-500.0::DOUBLE, least(5000.0::DOUBLE, lifetime_spend)) AS clipped FROM members",
+    M
+    + """SELECT member_id, CASE WHEN member_id % 7 = 0 THEN NULL WHEN lifetime_spend < -500 THEN -500.0::DOUBLE
+      WHEN lifetime_spend > 5000 THEN 5000.0::DOUBLE ELSE lifetime_spend END AS clipped FROM members""",
 )
 def clipped(spark, sf):
-    return tables.members(spark, sf).select(
-        "member_id", clip(F.col("lifetime_spend"), -500.0, 5000.0).alias("clipped")
-    )
+    """Every seventh member has no amount, which must stay so."""
+    amount = F.when(F.col("member_id") % 7 != 0, F.col("lifetime_spend"))
+    return tables.members(spark, sf).select("member_id", clip(amount, -500.0, 5000.0).alias("clipped"))
 
 
 @query(

@@ -353,7 +353,7 @@ PORTS_VALUES = ", ".join(f"('{s}', '{p}', {d}, CAST({x} AS DOUBLE), '{k}')" for
 PROFILE_NAMES = (P.AUTO_PROFILE, *P.PROFILES)
 ZONE_VALUES = ", ".join(
     f"('{z}', '{label}', {n}, {i}, CAST({factor} AS DOUBLE))"
-    for z, label, n, factors in P.ZONES
+    for z, n, factors in P.ZONES
     for i, factor in enumerate(factors)
 )
 FLOOR_CTE = (

@@ -1,4 +1,4 @@
-"""Session settings for local runs; on a cluster the submitted configuration wins."""
+"""Session for local runs and tests; on a cluster pass the session that was submitted instead."""
 
 from __future__ import annotations
 

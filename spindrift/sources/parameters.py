@@ -48,19 +48,20 @@ BET_LAST = "VeryHigh"
 WIN_RATE_EDGES = ((80, "Very_Low"), (85, "Low"), (90, "Medium"), (95, "High"))
 WIN_RATE_LAST = "Very_High"
 
-# --- fixed values: machine zones (id, label, machines, factor by denomination index) ----
+# --- fixed values: machine zones (id, machines, factor by denomination index) ----
 ZONES = (
-    ("A", "Entrance", 16, (1.0, 1.0, 1.5, 1.5, 1.5, 1.5, 1.0, 1.0, 1.0)),
-    ("B", "Bar", 20, (1.0,) * 9),
-    ("C", "Center", 32, (1.0,) * 9),
-    ("D", "VIP lounge", 12, (0.3, 0.3, 0.3, 1.0, 1.8, 1.8, 1.8, 1.8, 1.8)),
-    ("E", "High limit", 8, (0.1, 0.1, 0.1, 0.1, 0.1, 2.5, 2.5, 2.5, 2.5)),
-    ("F", "Poolside", 24, (1.8, 1.8, 1.8, 1.8, 1.0, 1.0, 0.3, 0.3, 0.3)),
-    ("G", "Promenade", 20, (1.0,) * 9),
-    ("H", "Aft lounge", 16, (1.0,) * 9),
+    ("A", 16, (1.0, 1.0, 1.5, 1.5, 1.5, 1.5, 1.0, 1.0, 1.0)),
+    ("B", 20, (1.0,) * 9),
+    ("C", 32, (1.0,) * 9),
+    ("D", 12, (0.3, 0.3, 0.3, 1.0, 1.8, 1.8, 1.8, 1.8, 1.8)),
+    ("E", 8, (0.1, 0.1, 0.1, 0.1, 0.1, 2.5, 2.5, 2.5, 2.5)),
+    ("F", 24, (1.8, 1.8, 1.8, 1.8, 1.0, 1.0, 0.3, 0.3, 0.3)),
+    ("G", 20, (1.0,) * 9),
+    ("H", 16, (1.0,) * 9),
 )
 
-# --- fixed values: passenger profile -> (shift, profile type); "auto" keeps the port's own
+# --- fixed values: passenger profile -> (shift, profile type); "auto" keeps the port's own.
+# The keys are request codes of our own.
 PROFILES = {
     "young": (-0.35, "budget"),
     "family": (-0.15, "family"),
@@ -157,4 +158,4 @@ def ports(spark: SparkSession) -> DataFrame:
 
 
 def total_machines() -> int:
-    return reduce(lambda acc, zone: acc + zone[2], ZONES, 0)
+    return reduce(lambda acc, zone: acc + zone[1], ZONES, 0)

@@ -193,6 +193,32 @@ def test_floor_plan_places_every_machine(spark, fleet):
     assert shifts["young3"] == -0.5 and shifts["high-rollers10"] == 0.5
 
 
+def test_floor_plan_of_a_ship_with_few_denominations(spark):
+    for prices in ((0.01, 0.05, 0.25, 1, 5, 10, 20, 50), (1,)):
+        mart = spark.createDataFrame([("Ship A", Decimal(str(p)), 100.0 / len(prices)) for p in prices], "ship_name string, denomination decimal(10,2), demand_pct double")
+        requests = spark.createDataFrame([("r", "Ship A", "Northport", 5, 40.0, "auto")], "request_id string, ship_name string, departure_port string, duration_days int, avg_age double, profile string")
+        planned = floor.plan(requests, P.ports(spark), mart)
+        assert floor.summary(planned).first()["total_machines"] == 148
+        assert floor.allocation_rows(planned).where("allocated is null").count() == 0
+
+
+def test_unknown_port_age_or_duration_shifts_nothing(spark):
+    requests = spark.createDataFrame(
+        [("new", "Ship Z", "Q", 5, 45.0), ("age", "Ship Z", "Q", 5, None), ("days", "Ship Z", "Q", None, 65.0)],
+        "request_id string, ship_name string, departure_port string, duration_days int, avg_age double",
+    ).withColumn("profile", F.lit("auto"))
+    got = {r["request_id"]: (round(r["total_shift"], 6), r["shift_note"]) for r in demand.with_shift(requests, P.ports(spark)).collect()}
+    assert got == {"new": (0.0, "Balanced mix"), "age": (0.0, "Balanced mix"), "days": (0.2, "Higher denominations")}
+
+
+def test_forecast_without_an_age_leaves_age_out(spark, fleet):
+    plays, members, *_ = fleet
+    table = voyage.training(plays, members, mix.Groups())
+    columns = "request_id string, ship_name string, departure_date date, voyage_duration int, avg_age double, pct_high_tier double, pct_high_risk double, pct_high_income double"
+    blank = spark.createDataFrame([("x", "Ship A", date(2025, 1, 5), 5, None, None, None, None)], columns)
+    assert voyage.forecast(blank, table).first()["demo_factor"] == 1.0
+
+
 def test_policies_keep_the_latest_version(spark, rows):
     df = spark.createDataFrame([(1, "old", date(2024, 1, 1)), (1, "new", date(2024, 2, 1)), (2, "only", date(2024, 1, 1))],
                                "policy_id int, title string, last_updated date")

@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.functions.numeric import clip
 from spindrift.operators import allocate, cdf, evaluation, pick, rolling, split
 from spindrift.sources import schemas
 
@@ -23,13 +24,8 @@ def test_cdf_edges(spark, rows):
     df = spark.createDataFrame(
         [("S", i, Decimal(u)) for i, (u, _) in enumerate(draws)], "ship_name string, i int, u decimal(9,4)"
     )
-    for limit in (cdf.BROADCAST_ROWS, 0):
-        original, cdf.BROADCAST_ROWS = cdf.BROADCAST_ROWS, limit
-        try:
-            got = cdf.assign_category_by_cdf(df, weights, "u", salts=4).orderBy("i").collect()
-        finally:
-            cdf.BROADCAST_ROWS = original
-        assert [str(r["denomination"]) for r in got] == [want for _, want in draws]
+    got = cdf.assign_category_by_cdf(df, weights, "u").orderBy("i").collect()
+    assert [str(r["denomination"]) for r in got] == [want for _, want in draws]
 
 
 def test_largest_remainder(spark):
@@ -148,6 +144,17 @@ def test_regression_metrics(spark):
     assert (r["n"], r["mae"], round(r["rmse"], 4), round(r["r2"], 4)) == (3, 0.5, 0.6455, 0.7321)
 
 
+def test_r2_of_small_and_large_targets(spark):
+    for scale in (1e-6, 1.0, 1e15):
+        df = spark.createDataFrame([(1.0 * scale, 1.5 * scale), (2.0 * scale, 2.0 * scale), (4.0 * scale, 3.0 * scale), (9.0, None)], "y double, p double")
+        assert round(evaluation.regression_metrics(df.where("p is not null"), "y", "p").first()["r2"], 4) == 0.7321
+
+
+def test_clip_keeps_null(spark, rows):
+    df = spark.createDataFrame([(None,), (-2.0,), (0.25,), (2.0,)], "x double")
+    assert rows(df.select(clip(F.col("x"), -0.5, 0.5))) == sorted([(None,), (-0.5,), (0.25,), (0.5,)], key=str)
+
+
 def test_key_checks(spark, rows):
     child = spark.createDataFrame([(1,), (1,), (3,), (3,)], "k int")
     parent = spark.createDataFrame([(1,), (2,)], "k int")
