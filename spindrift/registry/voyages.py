@@ -352,7 +352,7 @@ def fleet_comparison(spark, sf):
 PORTS_VALUES = ", ".join(f"('{s}', '{p}', {d}, CAST({x} AS DOUBLE), '{k}')" for s, p, d, x, k in P.PORTS)
 PROFILE_NAMES = (P.AUTO_PROFILE, *P.PROFILES)
 ZONE_VALUES = ", ".join(
-    f"('{z}', '{label}', {n}, {i}, CAST({factor} AS DOUBLE))"
+    f"('{z}', {n}, {i}, CAST({factor} AS DOUBLE))"
     for z, n, factors in P.ZONES
     for i, factor in enumerate(factors)
 )
@@ -389,7 +389,7 @@ tilted AS (SELECT s.request_id, s.ship_name, s.total_shift, b.denomination, b.i,
   b.demand_pct * greatest(0.3::DOUBLE, least(3.0::DOUBLE, 1 + s.total_shift * (2 * (CAST(b.i AS DOUBLE) / greatest(b.n - 1, 1)) - 1))) AS x
   FROM shifted s JOIN base b USING (ship_name)),
 adjusted AS (SELECT *, x / sum(x) OVER (PARTITION BY request_id) * 100 AS pct FROM tilted),
-zones(zone, zone_label, machines, i, factor) AS (VALUES {ZONE_VALUES}),
+zones(zone, machines, i, factor) AS (VALUES {ZONE_VALUES}),
 zoned AS (SELECT a.request_id, a.ship_name, z.zone, z.machines, a.denomination, a.i, a.pct * z.factor AS x
   FROM adjusted a JOIN zones z ON z.i = a.i),
 shares AS (SELECT *, x / sum(x) OVER (PARTITION BY request_id, zone) * 100 AS pct FROM zoned),
