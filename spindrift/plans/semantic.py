@@ -102,11 +102,16 @@ class Model:
             frames[name].select(*[F.expr(e).alias(f"c{i}") for i, e in enumerate(exprs)])
 
 
+def exact(value: Column) -> Column:
+    """As a decimal with 12 digits after the point, so that sums don't depend on their order."""
+    return value.cast("decimal(38,12)")
+
+
 def _partial(name: str, metric: Metric) -> dict[str, Column]:
     value = F.expr(metric.expr)
     if metric.kind == "count":
         return {f"{name}__n": F.count("*")}
-    total = F.sum(F.when(value.isNotNull(), value.cast("decimal(28,4)")))
+    total = F.sum(exact(value))
     if metric.kind == "sum":
         return {f"{name}__s": total}
     return {f"{name}__s": total, f"{name}__n": F.count(value)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift.functions.numeric import round_half_up
 from spindrift.plans import semantic
 from spindrift.registry.base import query, rounded, with_views
 from spindrift.registry.marts import FEATURES, member_features
@@ -87,18 +88,19 @@ def play_metrics_by_state(spark, sf):
 @query(
     "sem04_feature_metrics",
     FEATURES
-    + """SELECT preferred_game_type, count(*) AS member_count,
-      CAST(sum(CAST(total_wagered AS DECIMAL(28,4))) AS DOUBLE) / count(total_wagered) AS avg_member_wagered,
-      CAST(sum(CAST(win_rate_pct AS DECIMAL(28,4))) AS DOUBLE) / count(win_rate_pct) AS avg_win_rate
+    + f"""SELECT preferred_game_type, count(*) AS member_count,
+      {rounded('CAST(sum(CAST(total_wagered AS DECIMAL(28,4))) AS DOUBLE) / count(total_wagered)', 8)} AS avg_member_wagered,
+      {rounded('avg(win_rate_pct)', 8)} AS avg_win_rate
       FROM features GROUP BY 1""",
 )
 def feature_metrics(spark, sf):
-    return ask(
+    rows = ask(
         spark,
         sf,
         metrics=["member_count", "avg_member_wagered", "avg_win_rate"],
         dimensions=["preferred_game_type"],
     )
+    return rows.withColumns({c: round_half_up(F.col(c), 8) for c in ("avg_member_wagered", "avg_win_rate")})
 
 
 @query(

@@ -7,6 +7,7 @@ scoring needs no second join on the document.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,10 @@ B = 0.75
 SCORE_DIGITS = 6
 # fixed value: runs of letters and digits are words
 SEPARATOR = r"[^\p{L}\p{N}]+"
-# fixed value: sub-groups a term's postings are spread over when query terms are shuffled
-SALTS = 16
-# fixed value: most (query, term) pairs that are sent to every executor
-BROADCAST_TERMS = 200_000
+# fixed value: about how many (query, term) pairs are sent to every executor at once
+BLOCK_TERMS = 200_000
+# fixed value: documents whose postings share a bucket
+DOCS_PER_BUCKET = 100_000
 
 
 def words(text: Column) -> Column:
@@ -39,8 +40,10 @@ def postings(documents: DataFrame, key: str = "policy_id", text: str = "content"
     """
     placed = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
     tokens = placed.select("doc_id", words(F.col("text")).alias("w"))
+    # a plain explode would let Spark repeat the tokeniser in a filter before the exchange
     return (
-        tokens.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+        tokens.select("doc_id", F.size("w").alias("doc_len"), F.explode_outer("w").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("doc_id", "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -81,10 +84,12 @@ def store_index(index: TextIndex, buckets: int | None = None) -> TextIndex:
     """Write the index to the shared folder; postings are bucketed by document.
 
     A search sums term contributions per (query, document). On bucketed postings that
-    grouping is already co-located, so scoring runs without moving a single posting.
+    grouping is already co-located, so scoring runs without moving a single posting. The
+    number of buckets follows the number of documents.
     """
     spark = index.postings.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_corpus = -(-index.documents.count() // DOCS_PER_BUCKET)
+    n = buckets or max(per_corpus, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = workdir.fresh_path(spark, "text-index")
     table = "postings_" + path.rsplit("-", 1)[1]
     writer = index.postings.repartition(n, "doc_id").write.option("path", f"{path}/postings")
@@ -132,21 +137,20 @@ def contribution() -> Column:
 def scores(index: TextIndex, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Score of every document that shares a term with a query.
 
-    Query terms are broadcast if there are at most BROADCAST_TERMS of them (counted
-    first); the postings then stay where they are. A larger query set is shuffled, with
-    the postings of each term spread over SALTS sub-groups and the query side repeated
-    per salt, so that no task receives all documents of a very common term.
+    Query terms are sent to the postings, which stay where they are, in blocks of whole
+    queries of about BLOCK_TERMS pairs; any number of queries takes the same plan.
     """
     weighted = weighted_terms(index, terms)
     rows = index.postings
     if allowed is not None:
         rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        hits = rows.join(F.broadcast(weighted), "term")
-    else:
-        repeated = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        hits = salted.join(repeated, ["term", "salt"])
+    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_block_scores(rows, weighted.where(block == b)) for b in range(blocks)])
+
+
+def _block_scores(rows: DataFrame, weighted: DataFrame) -> DataFrame:
+    hits = rows.join(F.broadcast(weighted), "term")
     return hits.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(contribution()), SCORE_DIGITS).alias("score")
     )

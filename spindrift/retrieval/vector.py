@@ -6,8 +6,8 @@ best k rows per query, so nothing of the size (queries x vectors) is ever emitte
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCORE_DIGITS = 6
-# fixed value: largest query set that is shipped to every task
-SHIPPED_QUERIES = 2048
-# fixed value: vectors per cell of the distributed path
-CELL_ROWS = 50_000
+# fixed values: queries sent to the tasks at once, and vectors multiplied with them at once
+QUERY_BLOCK = 1024
+VECTOR_CHUNK = 2048
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -28,79 +27,68 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def best_rows(query_ids, queries: np.ndarray, ids, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k of one block per query: highest rounded score, then smallest id."""
-    similarity = np.round(queries @ vectors.T, SCORE_DIGITS)
-    ids = np.asarray(ids)
-    parts = []
-    for i, query in enumerate(query_ids):
-        order = np.lexsort((ids, -similarity[i]))[:k]
-        parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "score": similarity[i][order]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-
 def _matrix(column) -> np.ndarray:
     return unit(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
 
 
+class Best:
+    """Running top k per query: highest rounded score, then smallest id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids = [np.zeros(0, dtype=np.int64)] * queries
+        self.scores = [np.zeros(0)] * queries
+
+    def add(self, ids: np.ndarray, similarity: np.ndarray) -> None:
+        similarity = np.round(similarity, SCORE_DIGITS)
+        for i, row in enumerate(similarity):
+            if len(row) > self.k:
+                # everything at least as good as the k-th, so that ties are not lost
+                near = np.flatnonzero(row >= np.partition(row, len(row) - self.k)[len(row) - self.k])
+            else:
+                near = np.arange(len(row))
+            all_ids = np.concatenate([self.ids[i], ids[near]])
+            all_scores = np.concatenate([self.scores[i], row[near]])
+            order = np.lexsort((all_ids, -all_scores))[: self.k]
+            self.ids[i], self.scores[i] = all_ids[order], all_scores[order]
+
+    def rows(self, query_ids) -> Iterator[pd.DataFrame]:
+        for query, ids, scores in zip(query_ids, self.ids, self.scores, strict=True):
+            if len(ids):
+                yield pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores})
+
+
 def _keep_k(candidates: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, shipped: int = SHIPPED_QUERIES, cell_rows: int = CELL_ROWS
-) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) for vectors(vec_id, embedding), queries(query_id, embedding).
 
-    A query set of at most ``shipped`` rows (counted first) is sent to every task and the
-    vectors are scanned once, without a shuffle. A larger one is laid out on a grid of
-    cells with a bounded number of vectors and queries each.
+    Queries are sent in blocks of about ``query_block``; for each block the vectors are
+    scanned where they lie, in chunks of bounded size, and a task keeps its best k per query.
     """
-    few = queries.limit(shipped + 1).toPandas()
-    if len(few) <= shipped:
-        return _keep_k(_scan(vectors, few, k), k)
-    return _keep_k(_grid(vectors, queries, k, shipped, cell_rows), k)
+    blocks = max(1, -(-queries.count() // query_block))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return _keep_k(reduce(DataFrame.unionByName, [_scan(vectors, queries.where(block == b).toPandas(), k) for b in range(blocks)]), k)
 
 
-def _scan(vectors: DataFrame, few: pd.DataFrame, k: int) -> DataFrame:
-    names = few["query_id"].tolist()
-    matrix = _matrix(few["embedding"]) if names else np.zeros((0, 0))
+def _scan(vectors: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
+    names = block["query_id"].tolist()
+    matrix = _matrix(block["embedding"]) if names else np.zeros((0, 0))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(len(names), k)
         for batch in batches:
-            if names and len(batch):
-                yield best_rows(names, matrix, batch["vec_id"], _matrix(batch["embedding"]), k)
+            for at in range(0, len(batch) if names else 0, VECTOR_CHUNK):
+                part = batch.iloc[at : at + VECTOR_CHUNK]
+                best.add(part["vec_id"].to_numpy(), matrix @ _matrix(part["embedding"]).T)
+        yield from best.rows(names)
 
     return vectors.select("vec_id", "embedding").mapInPandas(score, RESULT)
 
 
-def _grid(vectors: DataFrame, queries: DataFrame, k: int, shipped: int, cell_rows: int) -> DataFrame:
-    """Every (query block, vector block) pair meets in exactly one cell; each cell holds
-    about ``cell_rows`` vectors and ``shipped`` queries and emits k rows per query."""
-    vector_blocks = max(1, math.ceil(vectors.count() / cell_rows))
-    query_blocks = max(1, math.ceil(queries.count() / shipped))
-
-    def blocked(df: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.select(
-            key,
-            "embedding",
-            F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
-        )
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_rows(
-            left["query_id"].tolist(), _matrix(left["embedding"]), right["vec_id"], _matrix(right["embedding"]), k
-        )
-
-    query_side = blocked(queries, "query_id", "qb", query_blocks, "vb", vector_blocks)
-    vector_side = blocked(vectors, "vec_id", "vb", vector_blocks, "qb", query_blocks)
-    return query_side.groupBy("qb", "vb").cogroup(vector_side.groupBy("qb", "vb")).applyInPandas(cell, RESULT)
-
-
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     """Mean vector per label as queries: (query_id, embedding), summed element by element."""
     elements = vectors.select(F.col(label).cast("long").alias("query_id"), F.posexplode("embedding").alias("i", "x"))

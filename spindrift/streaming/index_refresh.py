@@ -2,7 +2,8 @@
 
 Each micro-batch tokenises only its own documents and writes them under its batch id.
 Nothing that exists is rewritten: a replayed batch overwrites only its own folder, so
-the result is exactly-once, and a reader takes the newest batch of every document.
+the result is exactly-once, and a reader takes the newest version of every document; versions
+that arrive late lose, and between equal versions the later batch wins.
 ``compact`` folds the batches together when there are many.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spindrift.retrieval.text import TextIndex, postings, words
 
 POSTINGS = "doc_id long, doc_len int, term string, tf long, batch long"
-DOCUMENTS = "doc_id long, doc_len int, category string, title string, batch long"
+DOCUMENTS = "doc_id long, doc_len int, category string, title string, version long, batch long"
 # fixed value: how often the index is brought up to date
 REFRESH_INTERVAL = "1 hour"
 
@@ -30,10 +31,14 @@ def newest_version(batch: DataFrame, order: str | None) -> DataFrame:
 
 
 def apply_batch(batch: DataFrame, batch_id: int, index_dir: str, order: str | None = None) -> None:
-    """Index the documents of one micro-batch under ``batch=<batch_id>``."""
+    """Index the documents of one micro-batch under ``batch=<batch_id>``.
+
+    ``order`` names a numeric column that tells versions apart; without it they count as equal.
+    """
     documents = newest_version(batch, order)
+    version = (F.col(order) if order else F.lit(0)).cast("long").alias("version")
     rows = documents.select(
-        F.col("policy_id").alias("doc_id"), F.size(words(F.col("content"))).alias("doc_len"), "category", "title"
+        F.col("policy_id").alias("doc_id"), F.size(words(F.col("content"))).alias("doc_len"), "category", "title", version
     )
     postings(documents).write.mode("overwrite").parquet(f"{index_dir}/postings/batch={batch_id}")
     # the document list is written last: a reader sees a document only with its postings
@@ -62,23 +67,29 @@ def start(
     return trigger.start()
 
 
-def read_index(spark: SparkSession, index_dir: str) -> TextIndex:
-    """The current index: for every document the rows of its newest batch."""
+def _current(spark: SparkSession, index_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and documents of every document's newest version, with their version."""
     documents = spark.read.schema(DOCUMENTS).parquet(f"{index_dir}/documents")
-    newest = F.max_by(F.struct("doc_len", "category", "title", "batch"), "batch").alias("d")
+    newest = F.max_by(F.struct("doc_len", "category", "title", "version", "batch"), F.struct("version", "batch")).alias("d")
     current = documents.groupBy("doc_id").agg(newest).select("doc_id", "d.*")
     rows = spark.read.schema(POSTINGS).parquet(f"{index_dir}/postings")
-    live = rows.join(current.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch")
-    return TextIndex(live, current.drop("batch"))
+    live = rows.join(current.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
+    return live.drop("batch"), current.drop("batch")
+
+
+def read_index(spark: SparkSession, index_dir: str) -> TextIndex:
+    """The current index: for every document the rows of its newest version."""
+    rows, documents = _current(spark, index_dir)
+    return TextIndex(rows, documents.drop("version"))
 
 
 def compact(spark: SparkSession, index_dir: str, target_dir: str) -> TextIndex:
-    """Write the current index as a single batch 0 into a new folder.
+    """Write the current index as one batch, older than any that a stream writes, into a new folder.
 
-    The refresh continues there with later batch ids; the old folder stays readable until
-    its readers are done.
+    The refresh continues there; versions are kept, so late older rows lose as before. The old
+    folder stays readable until its readers are done.
     """
-    index = read_index(spark, index_dir)
-    index.postings.write.mode("overwrite").parquet(f"{target_dir}/postings/batch=0")
-    index.documents.write.mode("overwrite").parquet(f"{target_dir}/documents/batch=0")
+    rows, documents = _current(spark, index_dir)
+    rows.write.mode("overwrite").parquet(f"{target_dir}/postings/batch=-1")
+    documents.write.mode("overwrite").parquet(f"{target_dir}/documents/batch=-1")
     return read_index(spark, target_dir)

@@ -53,8 +53,8 @@ def test_bm25_equals_brute_force_on_every_path(spark, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id long, query_text string")
     plain = text.build_index(df)
     for index in (plain, text.store_index(plain, 4)):
-        for limit in (text.BROADCAST_TERMS, 0):
-            monkeypatch.setattr(text, "BROADCAST_TERMS", limit)
+        for limit in (text.BLOCK_TERMS, 3):
+            monkeypatch.setattr(text, "BLOCK_TERMS", limit)
             got = answers(text.search(index, queries, k=5))
             assert got == {q: brute_force(docs, t, 5) for q, t in asked if brute_force(docs, t, 5)}
             narrowed = answers(text.search(index, queries, k=3, filters={"category": "rules"}))
@@ -74,7 +74,7 @@ def test_stored_index_scores_without_moving_postings(spark):
     assert "hashpartitioning(query_id" not in executed
 
 
-def test_vector_search_on_both_paths(spark):
+def test_vector_search_in_one_block_and_in_several(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(200, 8))
     vectors[7] = vectors[3]  # equal scores: the smaller id wins
@@ -85,8 +85,9 @@ def test_vector_search_on_both_paths(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     similarity = np.round(unit(asked) @ unit(vectors).T, 6)
     expected = {(q, int(v)) for q in range(9) for v in np.lexsort((np.arange(200), -similarity[q]))[:5]}
-    for shipped, cell in ((100, 1000), (4, 60)):
-        got = vector.search(df, queries, 5, shipped, cell).collect()
+    for block, chunk in ((100, 1000), (4, 60)):
+        monkeypatch.setattr(vector, "VECTOR_CHUNK", chunk)
+        got = vector.search(df, queries, 5, block).collect()
         assert {(r["query_id"], r["vec_id"]) for r in got} == expected and len(got) == 45
     first = vector.search(df, queries, 2).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in first] == [3, 7]
@@ -120,3 +121,14 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     before = index_refresh.read_index(spark, path).postings.count()
     index_refresh.apply_batch(batch, 0, path)
     assert index_refresh.read_index(spark, path).postings.count() == before
+
+
+def test_a_late_older_version_loses_also_after_compaction(spark, tmp_path):
+    columns = SCHEMA + ", version long"
+    path, folded = str(tmp_path / "index"), str(tmp_path / "folded")
+    for batch, (version, words) in enumerate([(1, "first"), (3, "third one"), (2, "second late")]):
+        index_refresh.apply_batch(spark.createDataFrame([(1, "c", "t", words, version)], columns), batch, path, order="version")
+    index_refresh.compact(spark, path, folded)
+    index_refresh.apply_batch(spark.createDataFrame([(1, "c", "t", "zero", 0)], columns), 0, folded, order="version")
+    for where in (path, folded):
+        assert sorted(r["term"] for r in index_refresh.read_index(spark, where).postings.collect()) == ["one", "third"]
