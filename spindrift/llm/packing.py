@@ -23,12 +23,12 @@ from spindrift.llm.common import offsets, stored
 #: Share of a length's demand that one round of the solver may cover.
 STEP = 0.5
 #: Loss of weight of a length once its whole demand is covered: a factor of exp(-DECAY).
-DECAY = 0.5
-ROUNDS = 300
-#: Slight preference for long pieces at the start; any full sequence has about the same weight.
-CONVEX = 1.02
+DECAY = 0.2
+ROUNDS = 600
+#: Weights start as this power of the length: long pieces, which are hard to place, come first.
+CONVEX = 1.3
 #: Configurations within this share of the best are used together.
-NEAR = 0.05
+NEAR = 0.01
 #: Pieces of one length that are ranked together.
 RANKED = 1 << 11
 
