@@ -43,6 +43,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     head_end = data.find(END, at, at + HEAD_LIMIT)
     if head_end < 0:
         return "no end of header"
+    if data.find(VERSION, at + len(VERSION), head_end) >= 0:
+        return "header is cut off"
     fields: dict[str, str] = {}
     for line in data[at + len(VERSION) : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
