@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import discard, join_spread, write
+from spindrift.llm.common import discard, write
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,25 +29,30 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        step = write(_small_star(_large_star(held)), "edges")
-        discard(spark, path)
-        path = step
+        used = [path]
+        step = _small_star(_large_star(held, used), used)
+        path = write(step, "edges")
+        for old in used:
+            discard(spark, old)
     # every edge now leads from a node to the smallest node of its component
     result = held.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return result.unionByName(held.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _kept(df: DataFrame, used: list[str]) -> DataFrame:
+    used.append(write(df, "star"))
+    return df.sparkSession.read.schema(df.schema).parquet(used[-1])
+
+
+def _large_star(edges: DataFrame, used: list[str]) -> DataFrame:
     """Lead every larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    around = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    led = join_spread(both.where("v > u"), around, "u", "n", ["m"], F.col("v"))
-    return led.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    around = _kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), used)
+    return _kept(both.where("v > u").join(around, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), used)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list[str]) -> DataFrame:
     """Lead a node and its smaller neighbours to the smallest of them; edges go from a to a larger b."""
-    around = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-    led = join_spread(edges, around, "b", "n", ["m"], F.col("a"))
-    moved = led.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    around = _kept(edges.groupBy("b").agg(F.min("a").alias("m")), used)
+    moved = edges.join(around, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(around.select(F.col("m").alias("a"), "b")).distinct()

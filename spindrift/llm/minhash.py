@@ -10,8 +10,6 @@ Two signatures agree in a coordinate with the probability of the weighted Jaccar
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +24,10 @@ ROWS, BANDS = 4, 24
 SLICE_BYTES = 6 << 20
 #: Standard deviations below the expected agreement at the threshold that a candidate may show.
 SLACK = 6.0
+#: Rows of a bucket that are compared with one another in one group; larger buckets are cut into blocks.
+BLOCK = 512
+#: Pairs compared at once.
+PAIRS = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,6 +198,41 @@ def _agree(least: int):
     return agree
 
 
+def _open_pairs(least: int):
+    """Rows (group, own, across, label, id, sketch) sorted by group: pairs of two labels whose sketches agree."""
+
+    def compare(t: pa.Table):
+        group, own, across, label = (t.column(c).to_numpy() for c in ("group", "own", "across", "label"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        ids = t.column("id").combine_chunks()
+        ends = np.append(np.flatnonzero(np.diff(group)) + 1, t.num_rows)
+        later = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(t.num_rows) - 1
+        upto, at = offsets(later), 0
+        while at < t.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+            x, y = np.repeat(np.arange(at, to), later[at:to]), ragged(np.arange(at, to) + 1, later[at:to])
+            use = (label[x] != label[y]) & (~across[x] | (own[x] != own[y]))
+            x, y = x[use], y[use]
+            near = (sketch[x] == sketch[y]).sum(axis=1) >= least
+            if near.any():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[near])), ids.take(pa.array(y[near]))], names=["a", "b"])
+            at = to
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            group = t.column("group").to_numpy()
+            last = int(np.searchsorted(group, group[-1], side="left")) if len(group) else 0
+            held = t.slice(last)
+            if last:
+                yield from compare(t.slice(0, last))
+        if held is not None and held.num_rows:
+            yield from compare(held)
+
+    return run
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """``<id_col>``, ``component_id``, ``group_size`` and ``kept`` for every row.
 
@@ -208,62 +245,72 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts of fewer words than ``shingle`` are one shingle. Null texts, empty texts and texts
     without words link with nothing and stay. Rows without an id stay, with a null component.
     Rows that repeat an id with one text count once; with different texts they all get the smallest
-    component that any of them reaches. Copies are one node, so a group of copies never meets itself in pairs. An empty
-    table gives an empty result; other columns are ignored, whatever their names.
+    component that any of them reaches. Copies are one node, so a group of copies never meets
+    itself in pairs. An empty table gives an empty result; other columns are ignored, whatever
+    their names.
+
+    The documents of a bucket are first compared with its smallest id. Only pairs of a bucket that
+    are in different components then are compared as well, block against block inside tasks, and
+    of those only pairs with agreeing sketches leave the task: every link is found without the
+    pairs of a group being written out.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign(shingle, rows, n_bands), f"id {texts.schema['id'].dataType.simpleString()}, content binary, bands array<long>, sketch binary"), "signatures")
-    signed = signed.where("id is not null")
-    usable = signed.where("content is not null")
+    kind = texts.schema["id"].dataType.simpleString()
+    p = threshold + (1 - threshold) / 256
+    k = rows * n_bands
+    least = int(np.floor(k * p - SLACK * np.sqrt(k * p * (1 - p))))
+
+    signed = stored(texts.mapInArrow(_sign(shingle, rows, n_bands), f"id {kind}, content binary, bands array<long>, sketch binary"), "signatures")
+    usable = signed.where("id is not null and content is not null")
     copies = stored(usable.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
     nodes = usable.join(copies.select("content", F.col("rep").alias("id")), ["content", "id"], "left_semi")
 
-    # rows of one bucket meet its smallest id first
     placed = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = stored(placed.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stored(join_spread(placed, buckets, "bucket", "n", ["center"], F.col("id")).where("center is not null").select("id", "bucket", "center"), "members")
-    sketches = stored(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch"), "sketches")
-    held = stored(texts.join(sketches.select("id"), "id", "left_semi"), "candidate-texts")
-    check = _checker(sketches, held, shingle, threshold, rows * n_bands)
+    members = stored(join_spread(placed, buckets, "bucket", "n", ["center", "n"], F.col("id")).where("center is not null"), "members")
+    sketches = stored(nodes.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sketches")
+
     stars = stored(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stored(check(stars), "links")
+    sketched = _with_end(stars, sketches, "a", "sketch").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    near = stored(sketched.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree(least), f"a {kind}, b {kind}"), "near-pairs")
+    links = stored(_checked(near, texts, shingle, threshold), "links")
     reached = stored(components(links), "components")
 
-    # rows of one bucket that are not in one component yet: each pair of theirs that was not tried
-    labelled = stored(members.join(reached, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    label = F.coalesce("component", "id")
+    labelled = stored(members.join(reached, F.col("id") == F.col("node"), "left").select("bucket", "id", label.alias("label"), "n"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = stored(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = check(stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"))
-
-    whole = stored(components(links.unionByName(more)), "components")
-    found = usable.select("id", "content")
-    found = join_spread(found, copies, "content", "copies", ["rep"], F.col("id"))
-    found = found.join(whole, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    open_ = labelled.join(mixed, "bucket", "left_semi").join(sketches, "id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    grouped = open_.select(F.xxhash64("bucket", low, high).alias("group"), "own", (low != high).alias("across"), F.xxhash64("label").alias("label"), "id", "sketch")
+    met = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_open_pairs(least), f"a {kind}, b {kind}")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    more = stored(_checked(stored(met.join(near, ["a", "b"], "left_anti"), "more-pairs"), texts, shingle, threshold), "more-links")
+
+    # links between components join them
+    named = more.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    found = join_spread(usable.select("id", "content"), copies, "content", "copies", ["rep"], F.col("id"))
+    found = found.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("first"))
+    found = found.join(merged, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("component_id"))
     return _finish(docs, found, id_col)
 
 
-def _checker(sketches: DataFrame, texts: DataFrame, shingle: int, threshold: float, k: int) -> Callable[[DataFrame], DataFrame]:
-    """A function that keeps the linked of stored pairs (a, b): by sketch first, then by the shingles of both texts."""
-    p = threshold + (1 - threshold) / 256
-    least = int(np.floor(k * p - SLACK * np.sqrt(k * p * (1 - p))))
-
-    def side(pairs: DataFrame, table: DataFrame, end: str, column: str) -> DataFrame:
-        """Add ``column`` of the document at ``end``; a document in many pairs is spread."""
-        many = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        looked = table.withColumnRenamed("id", end).join(many, end).select(end, "n", F.col(column).alias(f"{column}_{end}"))
-        return join_spread(pairs, looked, end, "n", [f"{column}_{end}"], F.xxhash64("a", "b"))
+def _with_end(pairs: DataFrame, table: DataFrame, end: str, column: str) -> DataFrame:
+    """Add ``column`` of the document at ``end``; a document in many pairs is spread."""
+    many = pairs.groupBy(end).agg(F.count("*").alias("n"))
+    looked = stored(table.withColumnRenamed("id", end).join(many, end).select(end, "n", F.col(column).alias(f"{column}_{end}")), "looked-up")
+    return join_spread(pairs, looked, end, "n", [f"{column}_{end}"], F.xxhash64("a", "b"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        kind = pairs.schema["a"].dataType.simpleString()
-        sketched = side(side(pairs, sketches, "a", "sketch"), sketches, "b", "sketch")
-        near = stored(sketched.mapInArrow(_agree(least), f"a {kind}, b {kind}"), "near-pairs")
-        with_texts = side(side(near, texts, "a", "text"), texts, "b", "text")
-        return with_texts.mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}")
 
-    return check
+def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The stored pairs (a, b) whose texts are similar; only their texts are fetched."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    ends = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ends")
+    held = stored(texts.join(ends, "id", "left_semi"), "pair-texts")
+    both = _with_end(pairs, held, "a", "text").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}").distinct()
 
 
 def _finish(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
