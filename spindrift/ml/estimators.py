@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from spindrift.sources import workdir
 
-# fixed value: largest number of classes a label may have
-MAX_CLASSES = 1000
+# fixed value: split candidates of a number; categories get as many bins as they have values
+BINS = 64
 
 
 @dataclass(frozen=True)
@@ -57,15 +57,23 @@ VOYAGE_NUMBERS = (
 
 
 def class_labels(df: DataFrame, label: str, numeric: bool) -> list[str]:
-    """Distinct label values in order; numeric labels are ordered as numbers."""
+    """Distinct label values in order; numeric labels are ordered as numbers.
+
+    A classifier holds all its classes, so they are as few as a model can have anyway.
+    """
     values = df.select(F.col(label).cast("string").alias("v")).where("v is not null").distinct()
-    rows = values.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    found = [r["v"] for r in rows]
+    found = [r["v"] for r in values.collect()]
     return sorted(found, key=float) if numeric else sorted(found)
 
 
+def bins(rows: DataFrame, categories: Sequence[str]) -> int:
+    """Bins for the trees: one per value of the widest category and one for unseen values."""
+    if not categories:
+        return BINS
+    widest = rows.agg(F.greatest(F.lit(0), *[F.count_distinct(c) for c in categories])).first()[0]
+    return max(BINS, widest + 1)
+
+
 def prepared(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Categories as text, numbers as double with NULL replaced by 0."""
     text = [F.col(c).cast("string").alias(c) for c in categories]
@@ -117,15 +125,16 @@ def fit_classifier(
     stored = workdir.materialise(rows, f"train-{label}")
     index, back = _label_stages(spark, class_labels(stored, "label_text", numeric_label))
     indexed = index.transform(stored)
+    max_bins = bins(stored, categories)
     if algorithm == "forest":
         t = trees or FOREST
         model = RandomForestClassifier(
-            numTrees=t.rounds, maxDepth=t.depth, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=64
+            numTrees=t.rounds, maxDepth=t.depth, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=max_bins
         )
     else:
         t = trees or BOOSTED
         boosted = GBTClassifier(
-            maxIter=t.rounds, maxDepth=t.depth, stepSize=t.step, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=64
+            maxIter=t.rounds, maxDepth=t.depth, stepSize=t.step, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=max_bins
         )
         model = OneVsRest(classifier=boosted, parallelism=parallelism)
     return Pipeline(stages=[*_inputs(categories, numbers), model, back]).fit(indexed)
@@ -148,7 +157,7 @@ def fit_regressor(
         stepSize=trees.step,
         minInstancesPerNode=trees.min_rows,
         seed=trees.seed,
-        maxBins=64,
+        maxBins=bins(rows, categories),
     )
     return Pipeline(stages=[*_inputs(categories, numbers), model]).fit(rows)
 

@@ -243,7 +243,7 @@ def generated_sessions(spark, sf):
     ids = tables.read(spark, sf, "lineitem").select(
         F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id")
     )
-    return synth.play_rows(ids, 5000, AS_OF)
+    return synth.play_rows(ids, tables.members(spark, sf).count(), AS_OF)
 
 
 # --- sinks: written to the shared folder and read back --------------------------------------

@@ -86,3 +86,9 @@ def test_ship_day_defaults(spark):
     row = scoring.ship_day_features(requests, "2024-05-01").first()
     assert (row["ship_encoded"], row["month_num"], row["night_sessions"], row["evening_sessions"], row["progressive_sessions"]) == (2, 5, 45.0, 56.0, 38.0)
     assert row["daily_wagered"] == pytest.approx(150 * 250 * 4.2 * 0.5)
+
+
+def test_categories_with_many_values(spark):
+    rows = spark.range(400).select(F.concat(F.lit("c"), F.col("id") % 90).alias("code"), (F.col("id") % 90).cast("double").alias("z"))
+    model = E.fit_regressor(rows, "z", ("code",), (), E.Trees(1, 2))
+    assert E.apply(model, rows, ("code",), (), ["z"]).count() == 400
