@@ -653,6 +653,20 @@ def class_report(spark, sf):
     return evaluation.class_report(_counts(rule_predictions(spark, sf)[1]))
 
 
+@query(
+    "ml13_weighted_f1",
+    RULE
+    + f""", labels_seen AS (SELECT DISTINCT preferred_denomination AS c FROM predictions),
+    cells AS (SELECT c, (SELECT count(*) FROM predictions WHERE preferred_denomination = c) AS support,
+      (SELECT count(*) FROM predictions WHERE predicted = c) AS answered,
+      (SELECT count(*) FROM predictions WHERE predicted = c AND preferred_denomination = c) AS hits FROM labels_seen),
+    f AS (SELECT support, {rounded('coalesce(2 * hits::DOUBLE / nullif((support + answered)::DOUBLE, 0), 0)', 6)} AS f1 FROM cells)
+    SELECT {rounded('CAST(sum(CAST(f1 * support AS DECIMAL(28,6))) AS DOUBLE) / sum(support)', 6)} AS weighted_f1 FROM f""",
+)
+def weighted_f1(spark, sf):
+    return evaluation.weighted_f1(_counts(rule_predictions(spark, sf)[1]))
+
+
 @query(
     "ml13_regression_metrics",
     FEATURES
