@@ -12,23 +12,20 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (smallest node reachable) for every node of ``edges`` (columns a, b).
 
     Loops and repeated edges are allowed, rows with a null end are ignored, and an empty table
-    gives an empty result. Each round is two aggregations and two joins; rounds grow with the
+    gives an empty result. Each round is three aggregations and two joins; rounds grow with the
     logarithm of the number of nodes. The edge table of a round is written to the shared folder
-    and the one before it deleted. Nothing but two numbers a round reaches the driver. A node with
-    many edges never gathers them in one task: minima are aggregated partially and joined back by
-    ``join_spread``.
+    and the one before it deleted. Nothing but one row a round reaches the driver. A node with
+    many edges never gathers them in one task: minima are aggregated partially and stored, and
+    joining them back is a plain join of two tables, whose large partitions Spark splits.
     """
     spark = edges.sparkSession
     first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a < b").distinct()
     path = write(first, "edges")
     schema = first.schema
-    before = None
     while True:
         held = spark.read.schema(schema).parquet(path)
-        now = tuple(held.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-        if now == before or not now[0]:
+        if _only_stars(held):
             break
-        before = now
         used = [path]
         step = _small_star(_large_star(held, used), used)
         path = write(step, "edges")
@@ -39,6 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     return result.unionByName(held.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or led to by a single centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("led")).unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("led")))
+    roles = ends.groupBy("node").agg(F.sum("led").alias("led"), F.min("led").alias("least"))
+    return roles.where((F.col("led") > 1) | ((F.col("led") == 1) & (F.col("least") == 0))).isEmpty()
+
+
 def _kept(df: DataFrame, used: list[str]) -> DataFrame:
     used.append(write(df, "star"))
     return df.sparkSession.read.schema(df.schema).parquet(used[-1])

@@ -162,6 +162,11 @@ def _sign(size: int, rows: int, n_bands: int):
     return sign
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if shared else 0.0
+
+
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     at = np.minimum(np.searchsorted(h1, h2), max(0, len(h1) - 1))
     same = h1[at] == h2 if len(h1) else np.zeros(len(h2), dtype=bool)
@@ -198,12 +203,34 @@ def _agree(least: int):
     return agree
 
 
-def _open_pairs(least: int):
-    """Rows (group, own, across, label, id, sketch) sorted by group: pairs of two labels whose sketches agree."""
+def _units(size: int):
+    """Texts as sets: the c-th occurrence of a shingle is an element of its own, so that the
+    Jaccard similarity of the sets is the weighted one of the texts."""
+
+    def units(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for first, last in _slices(texts):
+                h, weight, counts = shingles([t or "" for t in texts[first:last]], size)
+                nth = np.arange(int(weight.sum())) - np.repeat(offsets(weight)[:-1], weight)
+                with np.errstate(over="ignore"):
+                    element = np.repeat(h, weight) ^ mix64(nth.astype(np.uint64)) * (nth > 0)
+                sums = offsets(weight)[offsets(counts)].tolist()
+                sets = [np.unique(element[i:j]).tobytes() for i, j in zip(sums, sums[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["id", "units"])
+
+    return units
+
+
+def _open_links(least: int, threshold: float):
+    """Rows (group, own, across, band, label, id, sketch, bands, units) sorted by group: the
+    similar pairs of two labels, each looked at only in the first band that both have in common."""
 
     def compare(t: pa.Table):
-        group, own, across, label = (t.column(c).to_numpy() for c in ("group", "own", "across", "label"))
+        group, own, across, band, label = (t.column(c).to_numpy() for c in ("group", "own", "across", "band", "label"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        units = [np.frombuffer(u, dtype=np.uint64) for u in t.column("units").to_pylist()]
         ids = t.column("id").combine_chunks()
         ends = np.append(np.flatnonzero(np.diff(group)) + 1, t.num_rows)
         later = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(t.num_rows) - 1
@@ -214,8 +241,12 @@ def _open_pairs(least: int):
             use = (label[x] != label[y]) & (~across[x] | (own[x] != own[y]))
             x, y = x[use], y[use]
             near = (sketch[x] == sketch[y]).sum(axis=1) >= least
-            if near.any():
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[near])), ids.take(pa.array(y[near]))], names=["a", "b"])
+            x, y = x[near], y[near]
+            first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
+            keep = [(i, j) for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True) if _jaccard(units[i], units[j]) >= threshold]
+            if keep:
+                x, y = (pa.array(c) for c in zip(*keep, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y)], names=["a", "b"])
             at = to
 
     def run(batches):
@@ -250,9 +281,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their names.
 
     The documents of a bucket are first compared with its smallest id. Only pairs of a bucket that
-    are in different components then are compared as well, block against block inside tasks, and
-    of those only pairs with agreeing sketches leave the task: every link is found without the
-    pairs of a group being written out.
+    are in different components then are compared as well, block against block inside tasks, by
+    sketch and then exactly, and of those only links leave the task: every link that matters is
+    found without the pairs of a group being written out.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -265,10 +296,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = stored(usable.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
     nodes = usable.join(copies.select("content", F.col("rep").alias("id")), ["content", "id"], "left_semi")
 
-    placed = nodes.select("id", F.explode("bands").alias("bucket"))
+    placed = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = stored(placed.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(join_spread(placed, buckets, "bucket", "n", ["center", "n"], F.col("id")).where("center is not null"), "members")
-    sketches = stored(nodes.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sketches")
+    sketches = stored(nodes.select("id", "sketch", "bands").join(members.select("id"), "id", "left_semi"), "sketches")
 
     stars = stored(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     sketched = _with_end(stars, sketches, "a", "sketch").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
@@ -277,16 +308,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reached = stored(components(links), "components")
 
     label = F.coalesce("component", "id")
-    labelled = stored(members.join(reached, F.col("id") == F.col("node"), "left").select("bucket", "id", label.alias("label"), "n"), "labelled")
+    labelled = stored(members.join(reached, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", label.alias("label"), "n"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = labelled.join(mixed, "bucket", "left_semi").join(sketches, "id")
+    open_ = stored(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
+    sets = stored(texts.join(open_.select("id"), "id", "left_semi").mapInArrow(_units(shingle), f"id {kind}, units binary"), "units")
+    open_ = open_.join(sketches.join(sets, "id"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    grouped = open_.select(F.xxhash64("bucket", low, high).alias("group"), "own", (low != high).alias("across"), F.xxhash64("label").alias("label"), "id", "sketch")
-    met = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_open_pairs(least), f"a {kind}, b {kind}")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    more = stored(_checked(stored(met.join(near, ["a", "b"], "left_anti"), "more-pairs"), texts, shingle, threshold), "more-links")
+    grouped = open_.select(F.xxhash64("bucket", low, high).alias("group"), "own", (low != high).alias("across"), "band", F.xxhash64("label").alias("label"), "id", "sketch", "bands", "units")
+    more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_open_links(least, threshold), f"a {kind}, b {kind}"), "more-links")
 
     # links between components join them
     named = more.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -310,7 +341,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     ends = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ends")
     held = stored(texts.join(ends, "id", "left_semi"), "pair-texts")
     both = _with_end(pairs, held, "a", "text").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), f"a {kind}, b {kind}")
 
 
 def _finish(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
