@@ -51,14 +51,19 @@ def monthly_demand(plays: DataFrame, members: DataFrame) -> DataFrame:
     return mix.join(players, ["ship_name", "month"]).join(shares, ["ship_name", "month"])
 
 
-def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, parallelism: int = 6) -> dict[str, PipelineModel]:
+def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, parallelism: int = 8) -> dict[str, PipelineModel]:
     """One boosted regressor per target, fitted concurrently on the stored frame."""
-    stored = workdir.materialise(train, "demand-train")
+    return _fit_all([workdir.materialise(train, "demand-train")], trees, parallelism)[0]
+
+
+def _fit_all(frames: Sequence[DataFrame], trees: Trees, parallelism: int) -> list[dict[str, PipelineModel]]:
+    """The regressors of every frame; frames and targets share one pool of threads."""
     with ThreadPoolExecutor(parallelism) as pool:
-        jobs = {
-            t: pool.submit(fit_regressor, stored, t, CATEGORIES, NUMBERS, trees, False) for t in TARGETS
-        }
-        return {t: job.result() for t, job in jobs.items()}
+        jobs = [
+            {t: pool.submit(fit_regressor, frame, t, CATEGORIES, NUMBERS, trees, False) for t in TARGETS}
+            for frame in frames
+        ]
+        return [{t: job.result() for t, job in of_frame.items()} for of_frame in jobs]
 
 
 def predict(models: dict[str, PipelineModel], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -74,19 +79,21 @@ def predict(models: dict[str, PipelineModel], rows: DataFrame, keep: Sequence[st
     )
 
 
-def leave_one_group_out(rows: DataFrame, group: str, groups: Sequence[str], trees: Trees = DEMAND_BOOSTED) -> DataFrame:
+def leave_one_group_out(
+    rows: DataFrame, group: str, groups: Sequence[str], trees: Trees = DEMAND_BOOSTED, parallelism: int = 8
+) -> DataFrame:
     """Predictions for each group from models trained on all other groups.
 
     ``groups`` is the short list of held-out values (ships); the training frame is
-    written once and filtered per fold.
+    written once and filtered per fold, and all folds are fitted concurrently.
     """
     stored = workdir.materialise(rows, "demand-folds")
-    folds = []
-    for value in groups:
-        held_out = stored.where(F.col(group) == F.lit(value))
-        models = fit(stored.where(F.col(group) != F.lit(value)), trees)
-        keep = [group, "month", *TARGETS] if group not in CATEGORIES else ["ship_name", "month", *TARGETS]
-        folds.append(predict(models, held_out, keep))
+    fitted = _fit_all([stored.where(F.col(group) != F.lit(value)) for value in groups], trees, parallelism)
+    keep = [group, "month", *TARGETS] if group not in CATEGORIES else ["ship_name", "month", *TARGETS]
+    folds = [
+        predict(models, stored.where(F.col(group) == F.lit(value)), keep)
+        for value, models in zip(groups, fitted, strict=True)
+    ]
     return reduce(DataFrame.unionByName, folds)
 
 

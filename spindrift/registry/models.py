@@ -1,11 +1,12 @@
 """Training, scoring, generation, sinks and the streaming index.
 
-Ensemble sizes here are small so that a check run finishes; the library defaults are the
-production sizes. Training reads the whole tables.
+Every model has the documented production size, and training reads the whole tables.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import round_half_up
@@ -19,8 +20,6 @@ from spindrift.sources import parameters as P
 from spindrift.sources import sinks, synth, tables, workdir
 from spindrift.streaming import index_refresh
 
-SMALL_FOREST = E.Trees(rounds=10, depth=5, min_rows=5)
-SMALL_BOOSTED = E.Trees(rounds=3, depth=3)
 _fitted: dict = {}
 
 
@@ -41,12 +40,12 @@ def session_model(spark, sf):
         spark,
         sf,
         "session",
-        lambda: train.session_denomination(_session_rows(spark, sf), list(tables.PLAY_KEY), SMALL_FOREST),
+        lambda: train.session_denomination(_session_rows(spark, sf), list(tables.PLAY_KEY), E.FOREST),
     )
 
 
 def member_model(spark, sf, target, algorithm):
-    trees = SMALL_BOOSTED if algorithm == "boosted" else SMALL_FOREST
+    trees = E.BOOSTED if algorithm == "boosted" else E.FOREST
     return _once(
         spark,
         sf,
@@ -57,7 +56,7 @@ def member_model(spark, sf, target, algorithm):
 
 def win_rate_model(spark, sf):
     return _once(
-        spark, sf, "win-rate", lambda: train.win_rate_classifier(win_rate_training(spark, sf), SMALL_FOREST)
+        spark, sf, "win-rate", lambda: train.win_rate_classifier(win_rate_training(spark, sf), E.FOREST)
     )
 
 
@@ -82,14 +81,14 @@ def win_rate_confusion(spark, sf):
 @query("ml09_voyage_profit_regression")
 def voyage_regression(spark, sf):
     table = voyage.training(tables.plays(spark, sf), tables.members(spark, sf), mix.Groups())
-    _, scored = _once(spark, sf, "voyage", lambda: train.voyage_regressor(table, SMALL_BOOSTED))
+    _, scored = _once(spark, sf, "voyage", lambda: train.voyage_regressor(table, E.BOOSTED))
     return evaluation.regression_metrics(scored, "total_profit", "prediction", by=("ship_name",))
 
 
 @query("ml10_win_rate_regression")
 def win_rate_regression(spark, sf):
     _, scored = _once(
-        spark, sf, "win-rate-r", lambda: train.win_rate_regressor(win_rate_training(spark, sf), SMALL_BOOSTED)
+        spark, sf, "win-rate-r", lambda: train.win_rate_regressor(win_rate_training(spark, sf), E.BOOSTED)
     )
     return evaluation.regression_metrics(scored, "win_rate_pct", "prediction", by=("ship_name",))
 
@@ -108,7 +107,7 @@ def _monthly_demand(spark, sf):
 @query("ml11_demand_shares")
 def demand_shares(spark, sf):
     rows = _monthly_demand(spark, sf)
-    models = _once(spark, sf, "demand", lambda: multi_output.fit(rows, E.Trees(rounds=2, depth=3)))
+    models = _once(spark, sf, "demand", lambda: multi_output.fit(rows, E.DEMAND_BOOSTED))
     return multi_output.predict(models, rows, ["ship_name", "month"])
 
 
@@ -119,7 +118,7 @@ def leave_one_ship_out(spark, sf):
         spark,
         sf,
         "folds",
-        lambda: multi_output.leave_one_group_out(rows, "ship_name", P.SHIPS, E.Trees(rounds=1, depth=2)),
+        lambda: multi_output.leave_one_group_out(rows, "ship_name", P.SHIPS, E.DEMAND_BOOSTED),
     )
     return evaluation.regression_metrics(
         multi_output.errors_by_target(folds), "actual", "predicted", by=("target",)
@@ -367,8 +366,8 @@ def model_versions(spark, sf):
 
     root = workdir.fresh_path(spark, "model-store")
     inputs = {"win_rate": workdir.materialise(win_rate_training(spark, sf), "win-rate")}
-    for version, trees in (("V1", E.Trees(rounds=2, depth=3)), ("V2", E.Trees(rounds=4, depth=3))):
-        train.train("win_rate", inputs, root, trees, version)
+    for version, seed in (("V1", E.FOREST.seed), ("V2", E.FOREST.seed + 1)):
+        train.train("win_rate", inputs, root, replace(E.FOREST, seed=seed), version)
     return store.versions(spark, root).select("name", "version", "comment", "signature")
 
 
