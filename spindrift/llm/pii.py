@@ -1,7 +1,7 @@
 r"""Personal data: pattern spans, and terms that disclose them by corpus co-occurrence.
 
-Four patterns find the protected entities. A term near an entity discloses it in so far as its
-pointwise mutual information with the entity reaches the entity's own information content:
+Four patterns find the protected entities. A term that shares documents with an entity, at any
+distance, discloses it in so far as its pointwise mutual information with the entity reaches the entity's own information content:
 ``PMI(e, t) / IC(e)`` is 1 if the term occurs in no document without the entity, and 0 if it
 tells nothing. Terms at or above one threshold are removed, those at or above a lower one are
 generalised. Everything is made of DataFrame functions.
@@ -32,14 +32,16 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 ADDED = ("removed", "generalised")
 WORD = r"[\p{L}\p{N}]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Code points on each side of an entity in which terms count as its context.
-REACH = 80
-#: Different texts in which a term must stand near an entity before it can disclose it.
+#: Words of what ``_outside`` leaves: none that a span covers or cuts.
+FREE_WORD = r"(?<![\p{L}\p{N}\x00])[\p{L}\p{N}]++(?!\x00)"
+#: Code points on each side of an entity in which terms count: no text is as long, so all of it does.
+REACH = 1 << 31
+#: Different texts that must hold a term and an entity before it can disclose it.
 SUPPORT = 3
 REMOVE_AT, GENERALISE_AT = 0.9, 0.7
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value) of all matches, left to right."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -102,47 +104,79 @@ def _spans_of(text: Column, rank: int, kind: str) -> Column:
     return F.when(may, spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def _context(text: Column, span: Column, base: Column) -> Column:
-    """Words within ``REACH`` of a span, whole words only and none inside another span."""
-    left_at = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, (left_at + 1).cast("int"), (span["start"] - left_at).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(REACH))
-    before = F.filter(matches(left, WORD), lambda m: ((m["start"] > 0) | (left_at == 0)) & (m["end"] < F.length(left)))
-    after = F.filter(matches(right, WORD), lambda m: (m["start"] > 0) & ((m["end"] < F.length(right)) | (F.length(right) < REACH)))
-    words = F.concat(_moved(before, left_at), _moved(after, span["end"]))
-    free = F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return F.transform(free, lambda w: F.struct(span["entity"].alias("entity"), F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+def _outside(text: Column, base: Column) -> Column:
+    """The text with NUL for the inside of every span; the ends of spans stay, to show words they cut."""
+    text = F.translate(text, "\x00", " ")
 
+    def cut(start: Column, end: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
-def _moved(words: Column, by: Column) -> Column:
-    return F.transform(words, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+    def step(acc: Column, s: Column) -> Column:
+        before = F.when(s["start"] < acc["at"], F.lit("")).otherwise(cut(acc["at"], s["start"] + 1))
+        added = F.when(s["end"] <= acc["at"], F.lit("")).otherwise(F.concat(before, F.lit("\x00"), cut(s["end"] - 1, s["end"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["parts"], added).alias("parts"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(base, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), cut(acc["at"], F.length(text).cast("long"))))
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> tuple[DataFrame, DataFrame]:
-    """The contexts of all entities, and the (entity, term) pairs that disclose.
+    """The texts in which a term and an entity stand together, and the pairs that disclose.
+
+    Texts: ``text_key``, ``copies``, ``pair``. Pairs: ``pair``, ``n_both``, ``n_term``,
+    ``n_entity``, ``disclosure``, ``action`` (0 removed, 1 generalised). Counts are over all
+    documents; copies of a text count as documents but not as further support.
 
-    Contexts: ``text_key``, ``pair``, ``start``, ``end``, ``copies``. Pairs: ``pair``, ``n_both``,
-    ``n_term``, ``n_entity``, ``disclosure``, ``action`` (0 removed, 1 generalised). Counts are
-    over all documents; copies of a text count as documents but not as further support.
+    As ``n_both`` is at most ``n_entity``, a pair reaches ``generalise_at`` only if ``n_term`` is at
+    most ``total * (n_entity / total) ** generalise_at``. Pairs beyond that are not written.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = texts.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
     found = stored(found.groupBy("text", "base").agg(F.count("*").alias("copies")).withColumn("text_key", F.sha2("text", 256)), "protected")
-    near = found.select("text_key", "copies", F.explode(F.flatten(F.transform("base", lambda s: _context(F.col("text"), s, F.col("base"))))).alias("c"))
-    contexts = near.select("text_key", "copies", F.concat(F.col("c.entity"), F.lit("\n"), F.col("c.term")).alias("pair"), F.col("c.start").alias("start"), F.col("c.end").alias("end"))
-    contexts = stored(contexts.distinct(), "contexts")
+    total = docs.count()
 
-    both = contexts.select("pair", "text_key", "copies").distinct().groupBy("pair").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= support)
-    both = stored(both.select("pair", "n_both", F.split("pair", "\n")[0].alias("entity"), F.split("pair", "\n")[1].alias("term")), "pairs")
-    entities = found.select("copies", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    named = found.select("text_key", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    entities = stored(entities.where((F.col("texts") >= support) & (F.col("n_entity") < total)), "entities")
+    held = stored(join_spread(named, entities, "entity", "n_entity", ["n_entity"], F.col("text_key")).where("n_entity is not null").drop("copies"), "held")
+
+    def most(n_entity: Column) -> Column:
+        # a little more than the bound, as powers are rounded
+        return F.lit(float(total or 1)) * F.pow(n_entity / F.lit(float(total or 1)), F.lit(generalise_at)) * 1.000001
+
+    largest = F.lit(entities.agg(F.max("n_entity")).first()[0] or 0)
     # vocabulary counts of the whole corpus, partly summed before they are exchanged
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    joined = both.join(entities, "entity").join(words, "term")
+    words = stored(words.where((F.col("n_term") >= support) & (F.col("n_term") <= most(largest))), "terms")
+    shared = found.join(held.select("text_key").distinct(), "text_key", "left_semi")
+    free = F.regexp_extract_all(_outside(F.col("text"), F.col("base")), F.lit(FREE_WORD), F.lit(0))
+    shared = shared.select("text_key", "copies", F.explode(F.array_distinct(F.transform(free, F.lower))).alias("term"))
+    shared = join_spread(shared, words, "term", "n_term", ["n_term"], F.col("text_key")).where("n_term is not null")
+    together = shared.join(held, "text_key").where(F.col("n_term") <= most(F.col("n_entity")))
+    together = stored(together.select("text_key", "copies", F.concat("entity", F.lit("\n"), "term").alias("pair"), "n_term", "n_entity"), "together")
+
+    both = together.groupBy("pair").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     information = -F.log(F.col("n_entity") / F.lit(float(total or 1)))
     mutual = F.log(F.col("n_both") * F.lit(float(total or 1)) / (F.col("n_term") * F.col("n_entity")))
-    judged = joined.where(information > 0).withColumn("disclosure", mutual / information).where(F.col("disclosure") >= generalise_at)
-    return contexts, judged.select("pair", "n_both", "n_term", "n_entity", "disclosure", F.when(F.col("disclosure") >= remove_at, 0).otherwise(1).alias("action"))
+    judged = both.where(F.col("support") >= support).withColumn("disclosure", mutual / information).where(F.col("disclosure") >= generalise_at)
+    judged = judged.select("pair", "n_both", "n_term", "n_entity", "disclosure", F.when(F.col("disclosure") >= remove_at, 0).otherwise(1).alias("action"))
+    return together.select("text_key", "copies", "pair"), judged
+
+
+def _term_spans(text: Column, terms: Column, base: Column) -> Column:
+    """Array of (start, rank, end) of every whole word of ``terms`` that no base span touches."""
+    known = F.transform(terms, lambda t: t["term"])
+    removed = F.transform(F.filter(terms, lambda t: t["action"] == 0), lambda t: t["term"])
+    # only the spellings that occur are searched, so that as many matches are built as there are spans
+    spellings = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.array_contains(known, F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(spellings, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    free = F.filter(matches(text, pattern), lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+
+    def span(w: Column) -> Column:
+        action = F.when(F.array_contains(removed, F.lower(w["value"])), 0).otherwise(1)
+        return F.struct(w["start"].alias("start"), (F.lit(len(KINDS)) + action).cast("int").alias("rank"), w["end"].alias("end"))
+
+    return F.transform(free, span)
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
@@ -150,23 +184,23 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", support: int = S
 
     ``base`` and ``spans`` are arrays of (start, rank, end), sorted; ranks 0 to 3 are the kinds of
     ``KINDS``, 4 and 5 the terms to remove and to generalise. A base match counts if it passes its
-    kind's check; kinds may overlap one another. Added spans are words near an entity of the same
-    text, never inside a base span. Null texts count as empty, which have no spans. Rows may repeat
+    kind's check; kinds may overlap one another. Added spans are all words of a text that disclose
+    an entity in it, never inside a base span. Null texts count as empty, which have no spans. Rows may repeat
     and ids are not looked at; copies get the same spans. An empty table gives an empty result.
     Input columns may have any names, as they travel inside ``row``.
     """
-    contexts, pairs = disclosing_terms(docs, text_col, support, remove_at, generalise_at)
+    together, pairs = disclosing_terms(docs, text_col, support, remove_at, generalise_at)
     pairs = stored(pairs.select("pair", "action", "n_both"), "disclosing")
-    marked = join_spread(contexts, pairs, "pair", "n_both", ["action"], F.col("text_key")).where(F.col("action").isNotNull())
-    marked = marked.groupBy("text_key", "copies", "start", "end").agg(F.min("action").alias("action"))
-    span = F.struct("start", (F.lit(len(KINDS)) + F.col("action")).cast("int").alias("rank"), "end")
-    extra = stored(marked.groupBy("text_key").agg(F.collect_list(span).alias("extra"), F.max("copies").alias("copies")), "term-spans")
+    marked = join_spread(together, pairs, "pair", "n_both", ["action"], F.col("text_key")).where(F.col("action").isNotNull())
+    marked = marked.groupBy("text_key", F.split("pair", "\n")[1].alias("term")).agg(F.min("action").alias("action"), F.max("copies").alias("copies"))
+    terms = stored(marked.groupBy("text_key").agg(F.collect_list(F.struct("term", "action")).alias("terms"), F.max("copies").alias("copies")), "text-terms")
 
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = join_spread(rows.withColumn("text_key", F.sha2("text", 256)), extra, "text_key", "copies", ["extra"], F.xxhash64("row"))
+    rows = join_spread(rows.withColumn("text_key", F.sha2("text", 256)), terms, "text_key", "copies", ["terms"], F.xxhash64("row"))
     base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     rows = rows.withColumn("base", base)
-    both = F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:long,rank:int,end:long>>"))))
+    extra = F.when(F.col("terms").isNotNull(), _term_spans(F.col("text"), F.col("terms"), F.col("base")))
+    both = F.sort_array(F.concat("base", F.coalesce(extra, F.array().cast("array<struct<start:long,rank:int,end:long>>"))))
     return rows.select("row", "text", "base", both.alias("spans"))
 
 

@@ -257,3 +257,22 @@ def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     ok, note = compare(spark, duck(sf), QUERIES[name], ORACLES[name], sf)
     assert ok, note
+
+
+def test_terms_disclose_at_any_distance(spark):
+    filler = " ".join(f"common{i}" for i in range(60))
+    texts = [f"Dear Zoltan{i // 4}, {filler} zoltan{i // 4}: {filler} z{i // 4}@mail.example.org and 1ZOLTAN{i // 4} no {i}" for i in range(8)] + [filler] * 8
+    frame = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for r in pii.find_personal_data(frame).collect():
+        found = [(r.text[a:b], k) for a, k, b in r.spans if k > 3]
+        who = r.row.doc_id // 4
+        assert found == ([(f"Zoltan{who}", 4), (f"zoltan{who}", 4), (f"1ZOLTAN{who}", 4)] if who < 2 else [])
+
+
+def test_words_that_spans_cut_are_no_terms(spark):
+    text = "tel+49 170 1234567 é.mail@x.com émail@y.com 1.2.3.4abc a\x00b 漢 x@y.z"
+    frame = spark.createDataFrame([(text,)], "text string")
+    words = F.regexp_extract_all(pii._outside(F.col("text"), pii.base_spans(F.col("text"))), F.lit(pii.FREE_WORD), F.lit(0))
+    spans = base(text)
+    expected = [m.group() for m in re.finditer(r"[^\W_]+", text) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
+    assert frame.select(words).first()[0] == expected and {"tel", "é", "a", "b", "漢"} == set(expected)
