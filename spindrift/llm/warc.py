@@ -23,7 +23,6 @@ from spindrift.sources.workdir import fresh_path
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
-HEAD_LIMIT = 1 << 16
 CHUNK = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -40,11 +39,11 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     """Fields, payload and end of the record at ``at``, or what is wrong with it."""
     if not data.startswith(VERSION, at):
         return "no version line"
-    head_end = data.find(END, at, at + HEAD_LIMIT)
+    # a header ends before the next version line, so damaged starts do not search the same bytes again
+    next_line = _find(data, VERSION, at + len(VERSION))
+    head_end = data.find(END, at, next_line)
     if head_end < 0:
-        return "no end of header"
-    if data.find(VERSION, at + len(VERSION), head_end) >= 0:
-        return "header is cut off"
+        return "header is cut off" if next_line < len(data) else "no end of header"
     fields: dict[str, str] = {}
     for line in data[at + len(VERSION) : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")

@@ -77,3 +77,15 @@ def test_a_damaged_archive_is_read_by_spark(spark, tmp_path):
     got = warc.read_archives(spark, str(tmp_path)).collect()
     assert sorted(r.page_id for r in got if r.gap is None) == sorted([0, 2, 3, 0, 1, 2, 3])
     assert [(r.start, r.end, r.gap) for r in got if r.gap] == [(len(parts[0]), len(parts[0]) + len(parts[1]), "block digest differs")]
+
+
+def test_a_header_may_be_long(spark):
+    url = "data:," + "x" * 100_000
+    data = [(1, url, "y" * 200), (2, "u", "y" * 200)]
+    got = warc.through_archives(spark.createDataFrame(data, PAGES)).orderBy("page_id").collect()
+    assert [(r.page_id, r.url, r.record_type, r.refers_to, r.gap) for r in got] == [(1, url, "response", None, None), (2, "u", "revisit", 1, None)]
+
+
+def test_a_cut_header_ends_at_the_next_version_line():
+    bad = b"WARC/1.1\r\nWARC-Target-URI: " + b"x" * 100_000
+    assert read(bad + record(b"next")) == ([b"next"], [(0, len(bad))])
