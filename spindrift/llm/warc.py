@@ -8,7 +8,9 @@ after the failed start, and logs the bytes in between as a quarantined gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +23,9 @@ from spindrift.llm.common import join_spread, stored
 from spindrift.sources.workdir import fresh_path
 
 VERSION = b"WARC/1.1\r\n"
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: Digests that are checked, in hexadecimal or Base32; others are not.
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 CHUNK = 1 << 16
@@ -37,15 +42,16 @@ class Record:
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """Fields, payload and end of the record at ``at``, or what is wrong with it."""
-    if not data.startswith(VERSION, at):
+    version = VERSION_LINE.match(data, at)
+    if not version:
         return "no version line"
     # a header ends before the next version line, so damaged starts do not search the same bytes again
-    next_line = _find(data, VERSION, at + len(VERSION))
+    next_line = _find_version(data, version.end())
     head_end = data.find(END, at, next_line)
     if head_end < 0:
         return "header is cut off" if next_line < len(data) else "no end of header"
     fields: dict[str, str] = {}
-    for line in data[at + len(VERSION) : head_end].split(b"\r\n"):
+    for line in data[version.end() : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return "malformed header line"
@@ -57,7 +63,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
     if data[last : last + len(END)] != END:
         return "record does not end where its length says"
     block = data[first:last]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
+    if _differs(fields.get("warc-block-digest"), block):
         return "block digest differs"
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
@@ -65,12 +71,22 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | st
         if cut < 0:
             return "no end of http header"
         payload = block[cut + len(END) :]
-    if fields.get("warc-type") == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
+    if fields.get("warc-type") == "response" and _differs(fields.get("warc-payload-digest"), payload):
         return "payload digest differs"
     return fields, payload, last + len(END)
 
 
-def _member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+def _differs(named: str | None, data: bytes) -> bool:
+    """Whether a digest, written as algorithm:value, is known and is not that of the data."""
+    algorithm, _, value = (named or "").partition(":")
+    if algorithm.lower() not in ALGORITHMS:
+        return False
+    digest = hashlib.new(ALGORITHMS[algorithm.lower()], data, usedforsecurity=False).digest()
+    return value.lower() != digest.hex() and value.upper().rstrip("=") != base64.b32encode(digest).decode().rstrip("=")
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int] | str:
+    """Records and gaps of a gzip member, each with the place of the member, and its end."""
     inflate, parts, read = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof and read < len(data):
@@ -80,39 +96,51 @@ def _member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         return "damaged gzip member"
     if not inflate.eof:
         return "gzip member is cut off"
-    body = b"".join(parts)
-    parsed = parse_record(body, 0)
-    if isinstance(parsed, str):
-        return parsed
-    if parsed[2] != len(body):
-        return "gzip member holds more than a record"
-    return parsed[0], parsed[1], read - len(inflate.unused_data)
+    end = read - len(inflate.unused_data)
+    inner = list(salvage(b"".join(parts), packed=False))
+    found = [Record(at, end, x.fields, x.payload) if isinstance(x, Record) else (at, end, x[2]) for x in inner]
+    if not any(isinstance(x, Record) for x in found):
+        return found[0][2] if found else "no version line"
+    return found, end
+
 
+def salvage(data: bytes, packed: bool = True) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of one archive in order, and ``(start, end, reason)`` of every quarantined gap.
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of one archive in order, and ``(start, end, reason)`` of every quarantined gap."""
+    Versions 1.0 and 1.1; a gzip member (looked for if ``packed``) may hold any number of records.
+    """
     at, gap, reason = 0, None, ""
     next_line = next_member = -1  # found ahead and kept, so that no stretch is searched twice
     while at < len(data):
-        parsed = _member(data, at) if data.startswith(MAGIC, at) else parse_record(data, at)
+        if packed and data.startswith(MAGIC, at):
+            parsed = _member(data, at)
+        else:
+            parsed = parse_record(data, at)
+            if not isinstance(parsed, str):
+                parsed = [Record(at, parsed[2], parsed[0], parsed[1])], parsed[2]
         if not isinstance(parsed, str):
             if gap is not None:
                 yield gap, at, reason
                 gap = None
-            yield Record(at, parsed[2], parsed[0], parsed[1])
-            at = parsed[2]
+            yield from parsed[0]
+            at = parsed[1]
             continue
         if gap is None:
             gap, reason = at, parsed
         if -1 < next_line <= at or next_line == -1:
-            next_line = _find(data, VERSION, at + 1)
+            next_line = _find_version(data, at + 1)
         if -1 < next_member <= at or next_member == -1:
-            next_member = _find(data, MAGIC, at + 1)
+            next_member = _find(data, MAGIC, at + 1) if packed else len(data)
         at = min(next_line, next_member)
     if gap is not None:
         yield gap, len(data), reason
 
 
+def _find_version(data: bytes, at: int) -> int:
+    found = VERSION_LINE.search(data, at)
+    return found.start() if found else len(data)
+
+
 def _find(data: bytes, what: bytes, at: int) -> int:
     found = data.find(what, at)
     return len(data) if found < 0 else found

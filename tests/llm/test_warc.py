@@ -1,5 +1,6 @@
 """Archives: round trip, revisits and recovery of damaged files."""
 
+import base64
 import gzip
 import hashlib
 
@@ -89,3 +90,17 @@ def test_a_header_may_be_long(spark):
 def test_a_cut_header_ends_at_the_next_version_line():
     bad = b"WARC/1.1\r\nWARC-Target-URI: " + b"x" * 100_000
     assert read(bad + record(b"next")) == ([b"next"], [(0, len(bad))])
+
+
+def test_records_of_other_writers():
+    def with_digest(body, digest):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Block-Digest: {digest}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    sha1 = base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    good = with_digest(b"one", f"sha1:{sha1}") + with_digest(b"two", "blake3:00") + record(b"three")
+    bad = with_digest(b"One", f"sha1:{sha1}")
+    bodies = [b"one", b"two", b"three"]
+    assert read(good) == read(gzip.compress(good)) == (bodies, [])
+    assert read(good + bad) == (bodies, [(len(good), len(good) + len(bad))])
+    whole = gzip.compress(good + bad)
+    assert read(whole) == (bodies, [(0, len(whole))])
