@@ -48,7 +48,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary(), capacity=2048, end_id=0)
+    return packing.pack_documents(docs, vocabulary(), capacity=2048, end_id=0, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

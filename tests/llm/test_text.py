@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindrift.llm import pii, quality, toxicity
+from spindrift.llm import packing, pii, quality, toxicity
 from spindrift.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -276,3 +276,17 @@ def test_words_that_spans_cut_are_no_terms(spark):
     spans = base(text)
     expected = [m.group() for m in re.finditer(r"[^\W_]+", text) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
     assert frame.select(words).first()[0] == expected and {"tel", "é", "a", "b", "漢"} == set(expected)
+
+
+def test_the_pipeline_keeps_the_tokens_of_its_sequences(spark):
+    texts = ["one two three " * n for n in (1, 40, 900, 2000)] + [""]
+    packed = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(list(enumerate(texts)), DOCS), "").cache()
+    pieces = packed.collect()
+    assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in pieces)
+    whole = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
+    per_token = {len(bytes(r.ids)) / r.length for r in pieces}
+    assert len(per_token) == 1
+    size = int(per_token.pop())
+    for r in pieces:
+        assert whole[r.sequence_id][r.offset * size : (r.offset + r.length) * size] == bytes(r.ids)
+    packed.unpersist()
