@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import bpe, toxicity
 from spindrift.llm.embedding_dedup import embedding_dedup
 from spindrift.llm.exact_dedup import exact_dedup
+from spindrift.llm.fill_in_middle import fill_in_middle
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
@@ -134,4 +135,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op13_fill_in_middle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), with_text=False, with_digests=True)
+
+
 __all__ = ["ORACLES", "QUERIES"]
