@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from spindrift.llm.fill_in_middle import fill_in_middle
 from spindrift.llm.line_dedup import LineStore, drop_common_lines
 from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
+from spindrift.llm.periodic_runs import periodic_runs
 from spindrift.llm.pii import KINDS, find_personal_data, joined
 from spindrift.llm.quality import score_quality, train
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
@@ -135,6 +138,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def planted_period(doc_id, n: int) -> tuple[int, int] | None:
+    """Where the contract of op12 plants a period in a text of ``n`` words, and which."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), least=24, power=3, plant=planted_period, with_text=False, with_digests=True)
+
+
 @query("op13_fill_in_middle")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), with_text=False, with_digests=True)
