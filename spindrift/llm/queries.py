@@ -17,6 +17,7 @@ from spindrift.llm.minhash import near_dedup
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.periodic_runs import periodic_runs
 from spindrift.llm.pii import KINDS, find_personal_data, joined
+from spindrift.llm.prefix_free import remove_repeated
 from spindrift.llm.quality import score_quality, train
 from spindrift.llm.registry import ORACLES, QUERIES, query, table
 from spindrift.llm.warc import through_archives
@@ -138,6 +139,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+REPEATED_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM d),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN length(x) >= 2 * i + 100 THEN substr(x, 2 * i + 1, 100) END AS g FROM b),
+f AS (SELECT g, min(doc_id) AS first FROM s WHERE g IS NOT NULL GROUP BY g),
+r AS (SELECT s.doc_id, s.i, s.byte, coalesce(f.first < s.doc_id, false) AS starts FROM s LEFT JOIN f USING (g)),
+c AS (SELECT doc_id, i, byte, max(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT *, gone - coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS step FROM c),
+k AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (step = 1) AS n_spans,
+             string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op11_suffix_array_dedup", REPEATED_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(table(spark, sf_dir, "documents"), size=50, with_text=False, with_digests=True)
+
+
 def planted_period(doc_id, n: int) -> tuple[int, int] | None:
     """Where the contract of op12 plants a period in a text of ``n`` words, and which."""
     h = zlib.crc32(str(doc_id).encode())
