@@ -222,32 +222,29 @@ def _units(size: int):
     return units
 
 
-def _open_links(least: int, threshold: float):
-    """Rows (group, own, across, band, label, id, sketch, bands, units) sorted by group: the
-    similar pairs of two labels, each looked at only in the first band that both have in common."""
-
-    def compare(t: pa.Table):
-        group, own, across, band, label = (t.column(c).to_numpy() for c in ("group", "own", "across", "band", "label"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        units = [np.frombuffer(u, dtype=np.uint64) for u in t.column("units").to_pylist()]
-        ids = t.column("id").combine_chunks()
-        ends = np.append(np.flatnonzero(np.diff(group)) + 1, t.num_rows)
-        later = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(t.num_rows) - 1
-        upto, at = offsets(later), 0
-        while at < t.num_rows:
-            to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
-            x, y = np.repeat(np.arange(at, to), later[at:to]), ragged(np.arange(at, to) + 1, later[at:to])
-            use = (label[x] != label[y]) & (~across[x] | (own[x] != own[y]))
-            x, y = x[use], y[use]
-            near = (sketch[x] == sketch[y]).sum(axis=1) >= least
-            x, y = x[near], y[near]
-            first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
-            keep = [(i, j) for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True) if _jaccard(units[i], units[j]) >= threshold]
-            if keep:
-                x, y = (pa.array(c) for c in zip(*keep, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y)], names=["a", "b"])
-            at = to
+def _near(t: pa.Table, least: int):
+    """Pairs (x, y) of row numbers of each group (rows sorted by group) with two labels and similar
+    sketches, each only in the first band that both have in common; some pairs at a time."""
+    group, own, across, band, label = (t.column(c).to_numpy() for c in ("group", "own", "across", "band", "label"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, t.num_rows)
+    later = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(t.num_rows) - 1
+    upto, at = offsets(later), 0
+    while at < t.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+        x, y = np.repeat(np.arange(at, to), later[at:to]), ragged(np.arange(at, to) + 1, later[at:to])
+        use = (label[x] != label[y]) & (~across[x] | (own[x] != own[y]))
+        x, y = x[use], y[use]
+        near = (sketch[x] == sketch[y]).sum(axis=1) >= least
+        x, y = x[near], y[near]
+        first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
+        yield x[first], y[first]
+        at = to
+
+
+def _by_group(compare):
+    """Give ``compare`` tables of whole groups out of batches sorted by group."""
 
     def run(batches):
         held = None
@@ -264,6 +261,34 @@ def _open_links(least: int, threshold: float):
     return run
 
 
+def _candidates(least: int):
+    """The rows (group, id) that are near another row of their group by sketch."""
+
+    def compare(t: pa.Table):
+        some = np.zeros(t.num_rows, dtype=bool)
+        for x, y in _near(t, least):
+            some[x] = some[y] = True
+        mine = t.filter(pa.array(some)).select(["group", "id"])
+        yield from mine.to_batches()
+
+    return _by_group(compare)
+
+
+def _open_links(least: int, threshold: float):
+    """Of rows with their sets (``units``): the similar pairs of two labels."""
+
+    def compare(t: pa.Table):
+        units = [np.frombuffer(u, dtype=np.uint64) for u in t.column("units").to_pylist()]
+        ids = t.column("id").combine_chunks()
+        for x, y in _near(t, least):
+            keep = [(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if _jaccard(units[i], units[j]) >= threshold]
+            if keep:
+                x, y = (pa.array(c) for c in zip(*keep, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(x), ids.take(y)], names=["a", "b"])
+
+    return _by_group(compare)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
     """``<id_col>``, ``component_id``, ``group_size`` and ``kept`` for every row.
 
@@ -311,13 +336,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = stored(members.join(reached, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", label.alias("label"), "n"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     open_ = stored(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
-    sets = stored(texts.join(open_.select("id"), "id", "left_semi").mapInArrow(_units(shingle), f"id {kind}, units binary"), "units")
-    open_ = open_.join(sketches.join(sets, "id"), "id")
+    open_ = open_.join(sketches, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    grouped = open_.select(F.xxhash64("bucket", low, high).alias("group"), "own", (low != high).alias("across"), "band", F.xxhash64("label").alias("label"), "id", "sketch", "bands", "units")
-    more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_open_links(least, threshold), f"a {kind}, b {kind}"), "more-links")
+    grouped = open_.select(F.xxhash64("bucket", low, high).alias("group"), "own", (low != high).alias("across"), "band", F.xxhash64("label").alias("label"), "id", "sketch", "bands")
+    # sketches meet first; only rows that are near another bring their whole set
+    near = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_candidates(least), f"group long, id {kind}"), "candidates")
+    sets = stored(texts.join(near.select("id"), "id", "left_semi").mapInArrow(_units(shingle), f"id {kind}, units binary"), "units")
+    whole = grouped.join(near, ["group", "id"], "left_semi").join(sets, "id")
+    more = stored(whole.repartition("group").sortWithinPartitions("group").mapInArrow(_open_links(least, threshold), f"a {kind}, b {kind}"), "more-links")
 
     # links between components join them
     named = more.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(reached.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
