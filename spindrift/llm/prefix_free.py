@@ -275,7 +275,7 @@ def _send_phrases(size: int, bits: int, buckets: int):
         to = (mix64(np.where(single > 0, hashes, trigger) ^ np.uint64(0x5DEECE66D)) % np.uint64(buckets)).astype(np.int64)
         for bucket, mine in _split(to):
             length = high[mine] - low[mine] + size - 1
-            held = texts.data[ragged(low[mine], length)].tobytes()
+            held = pa.compress(texts.data[ragged(low[mine], length)].tobytes(), "zstd", asbytes=True)
             row = (key[0].as_py(), bucket, _planes(length.astype(np.uint32)), _deltas(ids[mine]), single[mine].tobytes(), held)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
@@ -350,7 +350,8 @@ def _sort_phrases(size: int):
         part = np.repeat(table.column("part").to_numpy(), [len(x) for x in length])
         ids = np.concatenate([_undelta(x, np.int64) for x in table.column("ids").to_pylist()])
         single = np.frombuffer(b"".join(table.column("single").to_pylist()), dtype=np.uint8) > 0
-        data = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=np.uint8)
+        packed = zip(table.column("data").to_pylist(), length, strict=True)
+        data = np.frombuffer(b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in packed), dtype=np.uint8)
         bounds = offsets(np.concatenate(length))
         hashes, trigger = np.zeros((2, len(ids)), dtype=np.uint64)
         first = 0
