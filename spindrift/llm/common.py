@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from spindrift.sources.workdir import fresh_path
 HEAVY_KEYS = 256
 #: Bytes that are sent to all tasks at once; larger structures are shipped in several turns.
 TURN_BYTES = 64 << 20
+#: Bytes of an Arrow batch between Spark and Python, so that long texts don't make batches of gigabytes.
+BATCH_BYTES = 4 << 20
 
 
 def write(df: DataFrame, label: str, partition_by: str | None = None) -> str:
@@ -23,6 +26,14 @@ def write(df: DataFrame, label: str, partition_by: str | None = None) -> str:
     return path
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Have the session cut Arrow batches by bytes, unless it cuts them smaller already; returns ``df``."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", df.sparkSession.conf.get(setting))) > BATCH_BYTES:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
+    return df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage."""
     return df.sparkSession.read.schema(df.schema).parquet(write(df, label))

@@ -9,6 +9,7 @@ filters; only hits meet the exact table.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import TURN_BYTES, join_spread, stored, turns, write
+from spindrift.llm.common import TURN_BYTES, bounded_batches, join_spread, stored, turns, write
 from spindrift.llm.cuckoo import CuckooFilter
 
 #: Common lines that one filter is laid out for.
@@ -157,13 +158,8 @@ def _hits(sent, shards: int, min_points: int):
 
 
 def text_key(text: str | None) -> bytes:
-    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
-
-
-def _with_key(batches):
-    for b in batches:
-        keys = pa.array([text_key(t) for t in b.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns, keys], names=["row", "text", "text_key"])
+    """Digest of a text, the same as Spark's ``md5`` of it."""
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
 def _drop(min_points: int):
@@ -182,7 +178,7 @@ def _drop(min_points: int):
 
 
 def drop_common_lines(docs: DataFrame, store: LineStore, id_col: str = "doc_id", text_col: str = "text", turn_bytes: int = TURN_BYTES) -> DataFrame:
-    """``row`` (a struct of all input columns), ``n_lines``, ``n_dropped`` and ``kept_text``.
+    """``row`` (a struct of the input columns but the text), ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     One row per input row. A line is dropped if its key (ASCII white space stripped at both ends,
     A-Z lower-cased, at least ``min_points`` code points) is held by ``min_docs`` documents of the
@@ -194,7 +190,7 @@ def drop_common_lines(docs: DataFrame, store: LineStore, id_col: str = "doc_id",
     Filters reach the tasks in turns of at most ``turn_bytes``; each turn reads the texts once.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text"))
     filters = store.filters()
     largest = filters.agg(F.max(F.length("filter"))).first()[0] or 1
     hits = None
@@ -208,9 +204,9 @@ def drop_common_lines(docs: DataFrame, store: LineStore, id_col: str = "doc_id",
     true = join_spread(pairs, common, "key", "n_docs", ["n_docs"], F.col("text_key")).where(F.col("n_docs").isNotNull())
     verdict = stored(true.groupBy("text_key").agg(F.collect_list("key").alias("drop"), F.max("copies").alias("copies")), "line-verdicts")
 
-    row = F.struct("*")
-    keyed = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    keyed = keyed.mapInArrow(_with_key, T.StructType([*keyed.schema, T.StructField("text_key", T.BinaryType())]))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    keyed = docs.select(rest.alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
     judged = join_spread(keyed, verdict, "text_key", "copies", ["drop"], F.col("row")[id_col])
     result = T.StructType([keyed.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
     return judged.select("row", "text", "drop").mapInArrow(_drop(store.min_points), result)

@@ -128,7 +128,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, chain).drop("row")
+    return toxicity.score_toxicity(docs, chain, carry=False)
 
 
 @query("op3_pii")

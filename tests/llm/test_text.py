@@ -245,7 +245,7 @@ def test_every_query_of_the_entry_is_there():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op2_exact_dedup", "op4_line_dedup", "op5_warc"])
