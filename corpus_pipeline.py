@@ -23,10 +23,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     """The columns of ``docs`` out of ``row``, with a new text and its length."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain rejects go, whole; rows without a text or an id stay."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, chain).where(~F.col("rejected")).select("row.*")
 
@@ -44,10 +45,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Patterns become their kind in brackets, disclosing words go or become general; all rows stay."""
     return _with_text(pii.sanitise(pii.find_personal_data(docs)), docs, F.col("clean_text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its tokens and its place; null texts are empty ones."""
     return packing.pack_documents(docs, vocabulary(), capacity=2048, end_id=0, with_ids=True)
 
 
