@@ -15,25 +15,35 @@ The stored training table holds binned features, targets and the running predict
 driver holds trees and split candidates, whose number does not depend on the rows.
 """
 
-from __future__ import annotations
-
 import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spindrift.ml.estimators import BINS, Trees
 from spindrift.sources import workdir
 
+# fixed value: split candidates of a number; categories get as many bins as they have values
+BINS = 64
 SQUARED, SOFTMAX = "squared", "softmax"
 REWRITE = 10
 
 
+@dataclass(frozen=True)
+class Trees:
+    """Ensemble size. ``min_rows`` bounds the rows per leaf."""
+
+    rounds: int = 200
+    depth: int = 5
+    step: float = 0.1
+    min_rows: int = 1
+    seed: int = 42
+
+
 @dataclass
 class Boosted:
     """A fitted model. ``nodes[r]`` are the split feature (-1: leaf), its bin and the values of round
@@ -65,7 +75,7 @@ class Boosted:
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Boosted:
+    def from_bytes(cls, data: bytes) -> "Boosted":
         held = np.load(io.BytesIO(data), allow_pickle=False)
         features = tuple(held["features"].tolist())
         nodes = list(zip(held["feature"], held["bin"], held["value"], strict=True)) if held["feature"].size else []
@@ -160,31 +170,28 @@ def _histograms(kind: str, shape, pending, nodes, level: int, depth: int, bins:
     return add
 
 
-def best_splits(sums: np.ndarray, bins: Sequence[int], min_rows: int):
-    """Of a tree's summed histograms (channel, feature, node, bin): per node the split feature (-1 if
-    none saves anything), its last left bin, what it saves, and the sums left and right of it.
+def best_splits(sums: np.ndarray, min_rows: int) -> list[tuple[int, int, float]]:
+    """Of a tree's summed histograms (count and gradients, feature, node, bin): per node the split
+    feature (-1 if none saves anything), its last left bin, and what it saves.
 
-    The first channel is the count; the loss a split saves is the sum, over the gradients, of
-    left squared / left count + right squared / right count - all squared / count.
+    The loss that a split saves is the sum, over the gradients, of left squared / left count +
+    right squared / right count - all squared / count.
     """
-    gradients = sums[1:2] if len(sums) == 3 and sums.shape[0] == 3 and bins is None else sums[1:]
     left = np.cumsum(sums, axis=-1)
     everything = left[..., -1:]
     right = everything - left
-    n_left, n_right, n = left[0], right[0], everything[0]
 
-    def worth(part, count):
-        return (part**2).sum(axis=0) / np.maximum(count, 1)
+    def worth(part):
+        return (part[1:] ** 2).sum(axis=0) / np.maximum(part[0], 1)
 
-    k = slice(1, 1 + len(gradients))
-    gain = worth(left[k], n_left) + worth(right[k], n_right) - worth(everything[k], n)
-    gain = np.where((n_left >= min_rows) & (n_right >= min_rows), gain, -np.inf)
+    whole = worth(everything)
+    gain = np.where((left[0] >= min_rows) & (right[0] >= min_rows), worth(left) + worth(right) - whole, -np.inf)
     found = []
     for node in range(sums.shape[2]):
         f, b = np.unravel_index(int(gain[:, node].argmax()), gain[:, node].shape)
-        g = float(gain[f, node, b])
-        ok = np.isfinite(g) and g > 1e-12 * max(1.0, float(worth(everything[k], n)[f, node, 0]))
-        found.append((int(f) if ok else -1, int(b), g if ok else 0.0, left[:, f, node, b], right[:, f, node, b], everything[:, 0, node, 0]))
+        saved = float(gain[f, node, b])
+        some = saved > 1e-12 * max(1.0, float(whole[f, node, 0]))
+        found.append((int(f), int(b), saved) if some else (-1, 0, 0.0))
     return found
 
 
@@ -192,10 +199,9 @@ def _best(kind: str, features: int, width: int, bins: int, min_rows: int):
     def best(key, table):
         sums = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
         sums = sums.reshape(-1, features, width, bins)
-        # the curvature is no gradient: it only scales leaves
-        splits = best_splits(sums if kind == SQUARED else sums[:2], (), min_rows)
         rows = []
-        for node, (f, b, gain, *_) in enumerate(splits):
+        # the curvature is no gradient: it only scales leaves
+        for node, (f, b, gain) in enumerate(best_splits(sums if kind == SQUARED else sums[:2], min_rows)):
             parts = np.cumsum(sums[:, max(f, 0), node, :], axis=-1)
             left, whole = parts[:, b], parts[:, -1]
             rows.append((key[0].as_py(), node, f, b, gain, left.tobytes(), (whole - left).tobytes(), whole.tobytes()))
@@ -349,27 +355,18 @@ def predict(model: Boosted, df: DataFrame, name: str = "scores", fold: Column |
     depth = int(np.log2(model.nodes[0][0].shape[1] + 1)) - 1 if model.nodes else 0
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def scores(batches):
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = sent.value
         for x, fold_at in batches:
             n = len(x)
-            raw = x.to_numpy()
-            values = np.stack(raw) if n else np.zeros((0, len(m.features)))
+            values = np.stack(x.to_numpy()) if n else np.zeros((0, len(m.features)))
             coded = np.column_stack([np.searchsorted(e, values[:, i], side="left") for i, e in enumerate(m.edges)])
             state = _add(m.kind, np.broadcast_to(m.start, (n, *m.start.shape)), m.nodes, coded, depth)
             out = softmax(state[:, 0, :]) if m.kind == SOFTMAX else state[np.arange(n), fold_at.to_numpy(dtype=np.int64)]
-            yield _series(out)
+            yield pd.Series(list(out))
 
     which = F.array_position(F.array(*[F.lit(f) for f in model.folds]), fold) - 1 if fold is not None else F.lit(0)
-    udf = F.pandas_udf(scores, "array<double>", _ITERATOR)
     inputs = F.array(*[_value(f, model.categories) for f in model.features])
-    return df.withColumn(name, udf(inputs, F.greatest(F.coalesce(which, F.lit(0)), F.lit(0)).cast("int")))
-
-
-_ITERATOR = F.PandasUDFType.SCALAR_ITER
-
-
-def _series(rows: np.ndarray):
-    import pandas as pd
+    return df.withColumn(name, scores(inputs, F.greatest(F.coalesce(which, F.lit(0)), F.lit(0)).cast("int")))
 
-    return pd.Series(list(rows))

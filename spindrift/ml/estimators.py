@@ -7,32 +7,21 @@ counts and depths are arguments; the defaults are the documented production size
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spindrift.ml import boosting
+from spindrift.ml.boosting import BINS, Boosted, Trees
 from spindrift.sources import workdir
 
-# fixed value: split candidates of a number; categories get as many bins as they have values
-BINS = 64
-
-
-@dataclass(frozen=True)
-class Trees:
-    """Ensemble size. ``min_rows`` bounds the rows per leaf."""
-
-    rounds: int = 200
-    depth: int = 5
-    step: float = 0.1
-    min_rows: int = 1
-    seed: int = 42
-
-
+#: Memory for the statistics of the nodes that one pass of a forest grows.
+GATHERED_MB = 1024
 FOREST = Trees(rounds=100, depth=15, min_rows=5)
 BOOSTED = Trees(rounds=200, depth=5)
 DEMAND_BOOSTED = Trees(rounds=200, depth=4)
@@ -57,21 +46,15 @@ VOYAGE_NUMBERS = (
 
 
 def class_labels(df: DataFrame, label: str, numeric: bool) -> list[str]:
-    """Distinct label values in order; numeric labels are ordered as numbers.
-
-    A classifier holds all its classes, so they are as few as a model can have anyway.
-    """
-    values = df.select(F.col(label).cast("string").alias("v")).where("v is not null").distinct()
-    found = [r["v"] for r in values.collect()]
-    return sorted(found, key=float) if numeric else sorted(found)
+    """Distinct label values in order, as an indexer finds them; numeric labels are ordered as numbers."""
+    text = df.select(F.col(label).cast("string").alias("v")).where("v is not null")
+    found = list(StringIndexer(inputCol="v", outputCol="code", stringOrderType="alphabetAsc").fit(text).labels)
+    return sorted(found, key=float) if numeric else found
 
 
-def bins(rows: DataFrame, categories: Sequence[str]) -> int:
+def bins(indexer: StringIndexerModel | None) -> int:
     """Bins for the trees: one per value of the widest category and one for unseen values."""
-    if not categories:
-        return BINS
-    widest = rows.agg(F.greatest(F.lit(0), *[F.count_distinct(c) for c in categories])).first()[0]
-    return max(BINS, widest + 1)
+    return max([BINS, *(len(labels) + 1 for labels in (indexer.labelsArray if indexer else ()))])
 
 
 def prepared(df: DataFrame, categories: Sequence[str], numbers: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -109,15 +92,14 @@ def fit_classifier(
     label: str,
     categories: Sequence[str] = (),
     numbers: Sequence[str] = (),
-    algorithm: str = "forest",
-    trees: Trees | None = None,
+    trees: Trees = FOREST,
     numeric_label: bool = False,
-    parallelism: int = 4,
 ) -> PipelineModel:
-    """Multiclass forest, or one-versus-rest boosted trees (MLlib boosting is binary).
+    """Multiclass forest (``boosting.fit`` is the boosted classifier).
 
-    The training frame is written once to the shared folder, because indexing, split
-    finding and every boosting round read it again.
+    The training frame is written once to the shared folder, because indexing and split finding
+    read it again. Node assignments of rows are kept and statistics of many nodes are gathered in
+    one pass, so that a deep forest takes a pass a level rather than one for every few nodes.
     """
     spark = train.sparkSession
     workdir.ensure_checkpoint_dir(spark)
@@ -125,45 +107,32 @@ def fit_classifier(
     stored = workdir.materialise(rows, f"train-{label}")
     index, back = _label_stages(spark, class_labels(stored, "label_text", numeric_label))
     indexed = index.transform(stored)
-    max_bins = bins(stored, categories)
-    if algorithm == "forest":
-        t = trees or FOREST
-        model = RandomForestClassifier(
-            numTrees=t.rounds, maxDepth=t.depth, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=max_bins
-        )
-    else:
-        t = trees or BOOSTED
-        boosted = GBTClassifier(
-            maxIter=t.rounds, maxDepth=t.depth, stepSize=t.step, minInstancesPerNode=t.min_rows, seed=t.seed, maxBins=max_bins
-        )
-        model = OneVsRest(classifier=boosted, parallelism=parallelism)
-    return Pipeline(stages=[*_inputs(categories, numbers), model, back]).fit(indexed)
-
-
-def fit_regressor(
-    train: DataFrame,
-    target: str,
-    categories: Sequence[str] = (),
-    numbers: Sequence[str] = (),
-    trees: Trees = BOOSTED,
-    stored: bool = True,
-) -> PipelineModel:
-    workdir.ensure_checkpoint_dir(train.sparkSession)
-    rows = prepared(train.withColumn("label", F.col(target).cast("double")), categories, numbers, ["label"])
-    rows = workdir.materialise(rows, f"train-{target}") if stored else rows
-    model = GBTRegressor(
-        maxIter=trees.rounds,
+    stages = _inputs(categories, numbers)
+    codes = stages[0].fit(stored) if categories else None
+    model = RandomForestClassifier(
+        numTrees=trees.rounds,
         maxDepth=trees.depth,
-        stepSize=trees.step,
         minInstancesPerNode=trees.min_rows,
         seed=trees.seed,
-        maxBins=bins(rows, categories),
+        maxBins=bins(codes),
+        maxMemoryInMB=GATHERED_MB,
+        cacheNodeIds=True,
+        checkpointInterval=10,
     )
-    return Pipeline(stages=[*_inputs(categories, numbers), model]).fit(rows)
-
-
-def apply(model: PipelineModel, df: DataFrame, categories: Sequence[str], numbers: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Score a frame; ``keep`` columns travel along."""
+    return Pipeline(stages=[*([codes] if codes else []), stages[-1], model, back]).fit(indexed)
+
+
+def apply(model: PipelineModel | Boosted, df: DataFrame, categories: Sequence[str], numbers: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Score a frame: ``predicted`` (class), ``prediction`` and ``probability``, as the model has them;
+    ``keep`` columns travel along."""
+    if isinstance(model, Boosted):
+        scored = boosting.predict(model, df, "_scores")
+        kept = [c for c in keep if c not in ("predicted", "prediction", "probability")]
+        if model.kind == boosting.SQUARED:
+            return scored.select(*kept, F.get("_scores", F.lit(0)).alias("prediction"))
+        best = F.array_position("_scores", F.array_max("_scores")).cast("int")
+        names = F.array(*[F.lit(c) for c in model.outputs])
+        return scored.select(*kept, F.element_at(names, best).alias("predicted"), (best - 1).cast("double").alias("prediction"), F.col("_scores").alias("probability"))
     clean = df.withColumns(
         {
             **{c: F.col(c).cast("string") for c in categories},
@@ -175,28 +144,23 @@ def apply(model: PipelineModel, df: DataFrame, categories: Sequence[str], number
     return scored.select(*[c for c in keep if c not in extra], *extra)
 
 
-def input_names(model: PipelineModel) -> list[str]:
-    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    return assembler.getInputCols()
-
-
-def importance(model: PipelineModel) -> DataFrame:
-    """Feature importance, largest first; one-versus-rest models are averaged."""
-    from pyspark.sql import SparkSession
-
-    fitted = next(s for s in reversed(model.stages) if hasattr(s, "featureImportances") or hasattr(s, "models"))
-    parts = [m.featureImportances for m in fitted.models] if hasattr(fitted, "models") else [fitted.featureImportances]
-    names = input_names(model)
-    values = [(n, float(sum(p[i] for p in parts) / len(parts))) for i, n in enumerate(names)]
+def importance(model: PipelineModel | Boosted) -> DataFrame:
+    """Feature importance, largest first: each feature's share of what splits have saved."""
+    if isinstance(model, Boosted):
+        values = list(model.importance().items())
+    else:
+        forest = next(s for s in reversed(model.stages) if hasattr(s, "featureImportances"))
+        names = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+        values = [(n, float(forest.featureImportances[i])) for i, n in enumerate(names)]
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(values, "feature string, score double").orderBy(F.desc("score"), "feature")
 
 
 def probabilities(scored: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:
     """One row per key and class with the class probability (missing = 0)."""
-    from pyspark.ml.functions import vector_to_array
-
-    array = vector_to_array("probability")
+    array = F.col("probability")
+    if not isinstance(scored.schema["probability"].dataType, T.ArrayType):
+        array = vector_to_array("probability")
     cells = F.transform(
         F.array(*[F.lit(x) for x in labels]),
         lambda name, i: F.struct(name.alias("label"), F.coalesce(F.get(array, i), F.lit(0.0)).alias("p")),
@@ -206,5 +170,5 @@ def probabilities(scored: DataFrame, key: str, labels: Sequence[str]) -> DataFra
     )
 
 
-def labels_of(model: PipelineModel) -> list[str]:
-    return model.stages[-1].getLabels()
+def labels_of(model: PipelineModel | Boosted) -> list[str]:
+    return list(model.outputs) if isinstance(model, Boosted) else model.stages[-1].getLabels()

@@ -1,20 +1,20 @@
-"""Demand-share regression with one model per denomination, and grouped validation."""
+"""Demand-share regression for all denominations at once, and grouped validation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.labels import share_column
-from spindrift.functions.numeric import clip
-from spindrift.ml.estimators import DEMAND_BOOSTED, Trees, fit_regressor, prepared
+from spindrift.functions.numeric import clip, ratio
+from spindrift.ml import boosting
+from spindrift.ml.boosting import Boosted
+from spindrift.ml.estimators import DEMAND_BOOSTED, Trees
 from spindrift.operators.allocate import normalise
-from spindrift.plans.demand import ship_mix
+from spindrift.plans.demand import mix_means
+from spindrift.plans.mix import Groups, flags, mix_sums
 from spindrift.sources import parameters as P
 from spindrift.sources import workdir
 
@@ -32,69 +32,37 @@ TARGETS = tuple(share_column(float(d)) for d in P.DENOMINATIONS)
 
 
 def monthly_demand(plays: DataFrame, members: DataFrame) -> DataFrame:
-    """Training rows: one per ship and month, with the mix and nine demand shares."""
-    monthly = plays.withColumn("month", F.trunc("play_date", "MM"))
-    mix = ship_mix(monthly, members, by=("ship_name", "month"))
-    prices = [float(d) for d in P.DENOMINATIONS]
-    counts = (
-        monthly.withColumn("price", F.col("denomination").cast("double"))
-        .groupBy("ship_name", "month")
-        .pivot("price", prices)
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-    )
-    total = reduce(lambda a, b: a + b, [F.col(f"`{p}`") for p in prices])
-    shares = counts.select(
-        "ship_name", "month", *[(F.col(f"`{p}`") * 100.0 / total).alias(share_column(p)) for p in prices]
+    """Training rows: one per ship and month, with the mix and nine demand shares.
+
+    One pass over the sessions: they are counted by ship, month, member and price, and these counts
+    carry the mix, the players and the shares.
+    """
+    price = F.col("denomination").cast("double")
+    per_member = plays.groupBy("ship_name", F.trunc("play_date", "MM").alias("month"), "member_id").agg(
+        F.count("*").alias("sessions"), *[F.count_if(price == float(d)).alias(f"_{t}") for d, t in zip(P.DENOMINATIONS, TARGETS, strict=True)]
     )
-    players = monthly.groupBy("ship_name", "month").agg(F.countDistinct("member_id").alias("unique_players"))
-    return mix.join(players, ["ship_name", "month"]).join(shares, ["ship_name", "month"])
+    joined = per_member.join(flags(members, Groups()), "member_id", "left")
+    sums = {**mix_sums(), "unique_players": F.count("member_id"), **{f"_{t}": F.sum(f"_{t}") for t in TARGETS}, "_known": F.sum(sum((F.col(f"_{t}") for t in TARGETS), F.lit(0)))}
+    monthly = joined.groupBy("ship_name", "month").agg(*[c.alias(n) for n, c in sums.items()]).where("mix_sessions > 0")
+    shares = [ratio(F.col(f"_{t}") * 100.0, F.col("_known")).alias(t) for t in TARGETS]
+    return monthly.select("ship_name", "month", *mix_means(), "unique_players", *shares)
 
 
-def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, parallelism: int = 8) -> dict[str, PipelineModel]:
-    """One boosted regressor per target, fitted concurrently on the stored frame."""
-    return _fit_all([workdir.materialise(train, "demand-train")], trees, parallelism)[0]
+def fit(train: DataFrame, trees: Trees = DEMAND_BOOSTED, group: str | None = None) -> Boosted:
+    """One boosted model of all targets; with ``group`` also one without each of its values."""
+    return boosting.fit(workdir.materialise(train, "demand-train"), TARGETS, CATEGORIES, NUMBERS, boosting.SQUARED, trees, group)
 
 
-def _fit_all(frames: Sequence[DataFrame], trees: Trees, parallelism: int) -> list[dict[str, PipelineModel]]:
-    """The regressors of every frame; frames and targets share one pool of threads."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        jobs = [
-            {t: pool.submit(fit_regressor, frame, t, CATEGORIES, NUMBERS, trees, False) for t in TARGETS}
-            for frame in frames
-        ]
-        return [{t: job.result() for t, job in of_frame.items()} for of_frame in jobs]
-
-
-def predict(models: dict[str, PipelineModel], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Shares per row, clipped to [0, 100] and scaled back to 100."""
-    scored = prepared(rows, CATEGORIES, NUMBERS, keep)
-    for target, model in models.items():
-        columns = scored.columns
-        scored = model.transform(scored).select(*columns, F.col("prediction").alias(f"raw_{target}"))
-    clipped = F.array(*[clip(F.col(f"raw_{t}"), 0.0, 100.0) for t in models])
-    shares = scored.withColumn("_shares", normalise(clipped))
-    return shares.select(
-        *keep, *[F.get("_shares", F.lit(i)).alias(f"predicted_{t}") for i, t in enumerate(models)]
-    )
-
+def predict(model: Boosted, rows: DataFrame, keep: Sequence[str], fold: Column | None = None) -> DataFrame:
+    """Shares per row, clipped to [0, 100] and scaled back to 100; ``fold`` as in ``boosting.predict``."""
+    scored = boosting.predict(model, rows, "_raw", fold)
+    shares = scored.withColumn("_shares", normalise(F.transform("_raw", lambda s: clip(s, 0.0, 100.0))))
+    return shares.select(*keep, *[F.get("_shares", F.lit(i)).alias(f"predicted_{t}") for i, t in enumerate(model.outputs)])
 
-def leave_one_group_out(
-    rows: DataFrame, group: str, groups: Sequence[str], trees: Trees = DEMAND_BOOSTED, parallelism: int = 8
-) -> DataFrame:
-    """Predictions for each group from models trained on all other groups.
 
-    ``groups`` is the short list of held-out values (ships); the training frame is
-    written once and filtered per fold, and all folds are fitted concurrently.
-    """
-    stored = workdir.materialise(rows, "demand-folds")
-    fitted = _fit_all([stored.where(F.col(group) != F.lit(value)) for value in groups], trees, parallelism)
-    keep = [group, "month", *TARGETS] if group not in CATEGORIES else ["ship_name", "month", *TARGETS]
-    folds = [
-        predict(models, stored.where(F.col(group) == F.lit(value)), keep)
-        for value, models in zip(groups, fitted, strict=True)
-    ]
-    return reduce(DataFrame.unionByName, folds)
+def leave_one_group_out(model: Boosted, rows: DataFrame, group: str) -> DataFrame:
+    """Predictions for the rows of each group from the model of all other groups."""
+    return predict(model, rows, ["ship_name", "month", *TARGETS], F.col(group).cast("string"))
 
 
 def errors_by_target(predictions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from spindrift.functions import encode
 from spindrift.functions.calendar import with_calendar
 from spindrift.functions.numeric import uniform
 from spindrift.ml import estimators as E
-from spindrift.ml import multi_output, store
+from spindrift.ml import boosting, multi_output, store
 from spindrift.operators import evaluation
 from spindrift.operators.split import stratified_split
 from spindrift.plans import daily, features
@@ -24,55 +24,70 @@ def session_rows(plays: DataFrame, members: DataFrame) -> DataFrame:
     return with_calendar(plays.join(members, "member_id"), "play_date")
 
 
-def session_denomination(rows: DataFrame, key: list[str], trees: E.Trees = E.FOREST) -> tuple[PipelineModel, DataFrame]:
-    """Session-level forest; returns the model and its scored stratified test rows."""
-    split = stratified_split(rows, "denomination", key)
-    train = split.where("split = 'TRAIN'")
-    model = E.fit_classifier(
-        train, "denomination", E.SESSION_CATEGORIES, E.SESSION_NUMBERS, "forest", trees, numeric_label=True
-    )
-    test = split.where("split = 'TEST'")
-    return model, E.apply(model, test, E.SESSION_CATEGORIES, E.SESSION_NUMBERS, [*key, "denomination"])
-
-
-def member_classifier(
-    encoded: DataFrame, target: str, algorithm: str = "boosted", trees: E.Trees | None = None
-) -> tuple[PipelineModel, DataFrame]:
-    """Classifier on the member features: target "denomination" or "bet"."""
-    if target == "denomination":
-        label, numeric = F.col("preferred_denomination"), True
-    else:
-        label, numeric = encode.bet_category(F.col("avg_bet_per_spin")), False
-    table = encoded.withColumn("target", label.cast("string"))
-    train = features.training_view(table, F.col("target"), "target")
-    model = E.fit_classifier(train, "target", (), features.FEATURE_COLUMNS, algorithm, trees, numeric)
-    test = table.where("split = 'TEST'")
-    return model, E.apply(model, test, (), features.FEATURE_COLUMNS, ["member_id", "target"])
-
-
-def win_rate_classifier(training: DataFrame, trees: E.Trees | None = None) -> tuple[PipelineModel, DataFrame]:
-    model = E.fit_classifier(
-        daily.win_rate_view(training), "win_rate_category", (), daily.WIN_RATE_FEATURES, "forest", trees
-    )
+def session_fit(rows: DataFrame, key: list[str], trees: E.Trees = E.FOREST) -> PipelineModel:
+    """Session-level forest on the stratified training rows."""
+    train_rows = stratified_split(rows, "denomination", key).where("split = 'TRAIN'")
+    return E.fit_classifier(train_rows, "denomination", E.SESSION_CATEGORIES, E.SESSION_NUMBERS, trees, numeric_label=True)
+
+
+def session_test(model: PipelineModel, rows: DataFrame, key: list[str]) -> DataFrame:
+    """The stratified test rows with their prediction."""
+    test = stratified_split(rows, "denomination", key).where("split = 'TEST'")
+    return E.apply(model, test, E.SESSION_CATEGORIES, E.SESSION_NUMBERS, [*key, "denomination"])
+
+
+def member_table(encoded: DataFrame, target: str) -> DataFrame:
+    """Member features with the class as ``target``: "denomination" or "bet"."""
+    label = F.col("preferred_denomination") if target == "denomination" else encode.bet_category(F.col("avg_bet_per_spin"))
+    return encoded.withColumn("target", label.cast("string"))
+
+
+def member_fit(encoded: DataFrame, target: str, algorithm: str = "boosted", trees: E.Trees | None = None) -> store.Model:
+    """Classifier on the member features: a forest, or softmax boosting."""
+    view = features.training_view(member_table(encoded, target), F.col("target"), "target")
+    if algorithm == "forest":
+        return E.fit_classifier(view, "target", (), features.FEATURE_COLUMNS, trees or E.FOREST, target == "denomination")
+    return boosting.fit(view, ["target"], (), features.FEATURE_COLUMNS, boosting.SOFTMAX, trees or E.BOOSTED)
+
+
+def member_test(model: store.Model, encoded: DataFrame, target: str) -> DataFrame:
+    test = member_table(encoded, target).where("split = 'TEST'")
+    return E.apply(model, test, (), features.FEATURE_COLUMNS, ["member_id", "target"])
+
+
+def win_rate_fit(training: DataFrame, trees: E.Trees = E.FOREST) -> PipelineModel:
+    return E.fit_classifier(daily.win_rate_view(training), "win_rate_category", (), daily.WIN_RATE_FEATURES, trees)
+
+
+def win_rate_test(model: store.Model, training: DataFrame) -> DataFrame:
     test = training.where("split = 'TEST'")
-    scored = E.apply(model, test, (), daily.WIN_RATE_FEATURES, ["ship_name", "play_date", "win_rate_category"])
-    return model, scored
+    return E.apply(model, test, (), daily.WIN_RATE_FEATURES, ["ship_name", "play_date", "win_rate_category"])
+
+
+def win_rate_regression_fit(training: DataFrame, trees: E.Trees = E.BOOSTED) -> store.Model:
+    rows = training.where("split = 'TRAIN' and win_rate_pct is not null")
+    return boosting.fit(rows, ["win_rate_pct"], (), daily.WIN_RATE_FEATURES, trees=trees)
 
 
-def win_rate_regressor(training: DataFrame, trees: E.Trees = E.BOOSTED) -> tuple[PipelineModel, DataFrame]:
-    train = training.where("split = 'TRAIN' and win_rate_pct is not null")
-    model = E.fit_regressor(train, "win_rate_pct", (), daily.WIN_RATE_FEATURES, trees)
+def win_rate_regression_test(model: store.Model, training: DataFrame) -> DataFrame:
     test = training.where("split = 'TEST' and win_rate_pct is not null")
-    return model, E.apply(model, test, (), daily.WIN_RATE_FEATURES, ["ship_name", "play_date", "win_rate_pct"])
+    return E.apply(model, test, (), daily.WIN_RATE_FEATURES, ["ship_name", "play_date", "win_rate_pct"])
 
 
-def voyage_regressor(table: DataFrame, trees: E.Trees = E.BOOSTED) -> tuple[PipelineModel, DataFrame]:
-    """Profit model, evaluated on a seeded random 20 % of the voyages."""
+def _voyage_side(table: DataFrame) -> DataFrame:
+    """Voyages with a seeded draw; a fifth is kept for the test."""
     u = uniform("ship_name", F.col("departure_date").cast("string"), F.col("voyage_duration").cast("string"), salt="42")
-    marked = table.withColumn("u", u)
-    model = E.fit_regressor(marked.where("u < 0.8"), "total_profit", ("ship_name",), E.VOYAGE_NUMBERS, trees)
+    return table.withColumn("u", u)
+
+
+def voyage_fit(table: DataFrame, trees: E.Trees = E.BOOSTED) -> store.Model:
+    """Profit of a voyage from its month, ship, duration and passenger mix."""
+    return boosting.fit(_voyage_side(table).where("u < 0.8"), ["total_profit"], ("ship_name",), E.VOYAGE_NUMBERS, trees=trees)
+
+
+def voyage_test(model: store.Model, table: DataFrame) -> DataFrame:
     keep = ["ship_name", "departure_date", "voyage_duration", "total_profit"]
-    return model, E.apply(model, marked.where("u >= 0.8"), ("ship_name",), E.VOYAGE_NUMBERS, keep)
+    return E.apply(model, _voyage_side(table).where("u >= 0.8"), ("ship_name",), E.VOYAGE_NUMBERS, keep)
 
 
 def train(which: str, tables: Mapping[str, DataFrame], root: str, trees: E.Trees | None = None, version: str = "V1") -> list[str]:
@@ -100,21 +115,20 @@ def train(which: str, tables: Mapping[str, DataFrame], root: str, trees: E.Trees
 
     for name in chosen:
         if name == "denomination":
-            rows = session_rows(tables["plays"], tables["members"])
-            model, scored = session_denomination(rows, list(tables["play_key"]), trees or E.FOREST)
-            keep("session_denomination", model, rows, accuracy_of(scored, "denomination"), "forest on session context")
+            rows, key = session_rows(tables["plays"], tables["members"]), list(tables["play_key"])
+            model = session_fit(rows, key, trees or E.FOREST)
+            keep("session_denomination", model, rows, accuracy_of(session_test(model, rows, key), "denomination"), "forest on session context")
         elif name == "registry":
             for target in ("denomination", "bet"):
-                model, scored = member_classifier(tables["encoded"], target, "boosted", trees)
-                keep(f"member_{target}", model, tables["encoded"], accuracy_of(scored, "target"), "boosted trees")
+                model = member_fit(tables["encoded"], target, "boosted", trees)
+                keep(f"member_{target}", model, tables["encoded"], accuracy_of(member_test(model, tables["encoded"], target), "target"), "boosted trees")
         elif name == "win_rate":
-            model, scored = win_rate_classifier(tables["win_rate"], trees)
-            keep("ship_win_rate", model, tables["win_rate"], accuracy_of(scored, "win_rate_category"), "forest")
+            model = win_rate_fit(tables["win_rate"], trees or E.FOREST)
+            keep("ship_win_rate", model, tables["win_rate"], accuracy_of(win_rate_test(model, tables["win_rate"]), "win_rate_category"), "forest")
         elif name == "bank":
             rows = multi_output.monthly_demand(tables["plays"], tables["members"])
-            for target, model in multi_output.fit(rows, trees or E.DEMAND_BOOSTED).items():
-                keep(f"bank_{target}", model, rows, {}, "demand share of one denomination")
+            keep("bank_demand", multi_output.fit(rows, trees or E.DEMAND_BOOSTED), rows, {}, "demand shares of all denominations")
         else:
-            model, scored = voyage_regressor(tables["voyages"], trees or E.BOOSTED)
-            keep("voyage_profit", model, tables["voyages"], errors_of(scored, "total_profit"), "boosted trees")
+            model = voyage_fit(tables["voyages"], trees or E.BOOSTED)
+            keep("voyage_profit", model, tables["voyages"], errors_of(voyage_test(model, tables["voyages"]), "total_profit"), "boosted trees")
     return stored

@@ -77,17 +77,13 @@ def bank_demand(plays: DataFrame, members: DataFrame, groups: Groups = Groups())
     )
 
 
-def ship_mix(plays: DataFrame, members: DataFrame, groups: Groups = Groups(), by: tuple[str, ...] = ("ship_name",)) -> DataFrame:
-    """Passenger mix per group as session-weighted averages."""
-    partials = plays.groupBy(*by, "member_id").agg(F.count("*").alias("sessions"))
-    joined = partials.join(flags(members, groups), "member_id")
-    sums = joined.groupBy(*by).agg(*[c.alias(n) for n, c in mix_sums().items()])
+def mix_means() -> list[Column]:
+    """Session-weighted averages out of ``mix_sums``."""
 
     def mean(name: str, digits: int) -> Column:
         return round_half_up(ratio(F.col(name), F.col("mix_sessions")), digits)
 
-    return sums.select(
-        *by,
+    return [
         mean("mix_age", 1).alias("avg_passenger_age"),
         mean("mix_male", 3).alias("pct_male"),
         mean("mix_high_tier", 3).alias("pct_high_tier"),
@@ -95,7 +91,15 @@ def ship_mix(plays: DataFrame, members: DataFrame, groups: Groups = Groups(), by
         mean("mix_high_risk", 3).alias("pct_high_risk"),
         mean("mix_cruises", 1).alias("avg_cruises"),
         mean("mix_spend", 0).alias("avg_lifetime_spend"),
-    )
+    ]
+
+
+def ship_mix(plays: DataFrame, members: DataFrame, groups: Groups = Groups(), by: tuple[str, ...] = ("ship_name",)) -> DataFrame:
+    """Passenger mix per group as session-weighted averages."""
+    partials = plays.groupBy(*by, "member_id").agg(F.count("*").alias("sessions"))
+    joined = partials.join(flags(members, groups), "member_id")
+    sums = joined.groupBy(*by).agg(*[c.alias(n) for n, c in mix_sums().items()])
+    return sums.select(*by, *mix_means())
 
 
 def demand_profiles(demand: DataFrame) -> DataFrame:

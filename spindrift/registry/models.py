@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import round_half_up
 from spindrift.ml import estimators as E
-from spindrift.ml import multi_output, scoring, train
+from spindrift.ml import multi_output, scoring, store, train
 from spindrift.operators import evaluation
 from spindrift.plans import mix, voyage
 from spindrift.registry.base import query, rounded, with_views
@@ -20,106 +20,105 @@ from spindrift.sources import parameters as P
 from spindrift.sources import sinks, synth, tables, workdir
 from spindrift.streaming import index_refresh
 
-_fitted: dict = {}
-
-
-def _once(spark, sf, name, build):
-    """Fit a model once per application and input folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _fitted:
-        _fitted[key] = build()
-    return _fitted[key]
-
-
 def _session_rows(spark, sf):
     return train.session_rows(tables.plays(spark, sf), tables.members(spark, sf))
 
 
 def session_model(spark, sf):
-    return _once(
-        spark,
-        sf,
-        "session",
-        lambda: train.session_denomination(_session_rows(spark, sf), list(tables.PLAY_KEY), E.FOREST),
-    )
+    """The stored session forest of these sessions and members; fitted first if there is none."""
+    inputs = [tables.plays(spark, sf), tables.members(spark, sf)]
+
+    def fit():
+        rows = _session_rows(spark, sf)
+        return store.Fit(train.session_fit(rows, list(tables.PLAY_KEY), E.FOREST), rows, comment="forest on session context")
+
+    return store.fitted(spark, "session_denomination", inputs, E.FOREST, fit)
 
 
 def member_model(spark, sf, target, algorithm):
     trees = E.BOOSTED if algorithm == "boosted" else E.FOREST
-    return _once(
-        spark,
-        sf,
-        f"member-{target}-{algorithm}",
-        lambda: train.member_classifier(encoded(spark, sf), target, algorithm, trees),
-    )
+    rows = encoded(spark, sf)
+
+    def fit():
+        return store.Fit(train.member_fit(rows, target, algorithm, trees), rows, comment=f"{algorithm} on member features")
+
+    return store.fitted(spark, f"member_{target}_{algorithm}", [tables.plays(spark, sf), tables.members(spark, sf)], trees, fit)
 
 
 def win_rate_model(spark, sf):
-    return _once(
-        spark, sf, "win-rate", lambda: train.win_rate_classifier(win_rate_training(spark, sf), E.FOREST)
-    )
+    rows = win_rate_training(spark, sf)
+    return store.fitted(spark, "ship_win_rate", [tables.plays(spark, sf)], E.FOREST, lambda: store.Fit(train.win_rate_fit(rows, E.FOREST), rows, comment="forest on ship days"))
+
+
+def win_rate_regression_model(spark, sf):
+    rows = win_rate_training(spark, sf)
+    return store.fitted(spark, "ship_win_rate_regression", [tables.plays(spark, sf)], E.BOOSTED, lambda: store.Fit(train.win_rate_regression_fit(rows, E.BOOSTED), rows, comment="boosting on ship days"))
+
+
+def voyages(spark, sf):
+    return voyage.training(tables.plays(spark, sf), tables.members(spark, sf), mix.Groups())
+
+
+def voyage_model(spark, sf):
+    inputs = [tables.plays(spark, sf), tables.members(spark, sf)]
+
+    def fit():
+        rows = workdir.materialise(voyages(spark, sf), "voyages")
+        return store.Fit(train.voyage_fit(rows, E.BOOSTED), rows, comment="boosting on voyages")
+
+    return store.fitted(spark, "voyage_profit", inputs, E.BOOSTED, fit)
+
+
+def demand_model(spark, sf, rows):
+    """Demand shares of all denominations, of all ships and without each of them."""
+    return store.fitted(spark, "bank_demand", [rows], E.DEMAND_BOOSTED, lambda: store.Fit(multi_output.fit(rows, E.DEMAND_BOOSTED, "ship_name"), rows, comment="boosting on ship months"))
 
 
 @query("ml06_forest_session_denomination")
 def forest_confusion(spark, sf):
-    _, scored = session_model(spark, sf)
+    scored = train.session_test(session_model(spark, sf), _session_rows(spark, sf), list(tables.PLAY_KEY))
     return evaluation.confusion(scored, "denomination", "predicted")
 
 
 @query("ml07_boosted_bet_category")
 def boosted_bet(spark, sf):
-    _, scored = member_model(spark, sf, "bet", "boosted")
+    scored = train.member_test(member_model(spark, sf, "bet", "boosted"), encoded(spark, sf), "bet")
     return evaluation.confusion(scored, "target", "predicted")
 
 
 @query("ml08_win_rate_classifier")
 def win_rate_confusion(spark, sf):
-    _, scored = win_rate_model(spark, sf)
+    scored = train.win_rate_test(win_rate_model(spark, sf), win_rate_training(spark, sf))
     return evaluation.confusion(scored, "win_rate_category", "predicted")
 
 
 @query("ml09_voyage_profit_regression")
 def voyage_regression(spark, sf):
-    table = voyage.training(tables.plays(spark, sf), tables.members(spark, sf), mix.Groups())
-    _, scored = _once(spark, sf, "voyage", lambda: train.voyage_regressor(table, E.BOOSTED))
+    scored = train.voyage_test(voyage_model(spark, sf), voyages(spark, sf))
     return evaluation.regression_metrics(scored, "total_profit", "prediction", by=("ship_name",))
 
 
 @query("ml10_win_rate_regression")
 def win_rate_regression(spark, sf):
-    _, scored = _once(
-        spark, sf, "win-rate-r", lambda: train.win_rate_regressor(win_rate_training(spark, sf), E.BOOSTED)
-    )
+    scored = train.win_rate_regression_test(win_rate_regression_model(spark, sf), win_rate_training(spark, sf))
     return evaluation.regression_metrics(scored, "win_rate_pct", "prediction", by=("ship_name",))
 
 
 def _monthly_demand(spark, sf):
-    return _once(
-        spark,
-        sf,
-        "monthly-demand",
-        lambda: workdir.materialise(
-            multi_output.monthly_demand(tables.plays(spark, sf), tables.members(spark, sf)), "monthly-demand"
-        ),
-    )
+    rows = multi_output.monthly_demand(tables.plays(spark, sf), tables.members(spark, sf))
+    return workdir.materialise(rows, "monthly-demand")
 
 
 @query("ml11_demand_shares")
 def demand_shares(spark, sf):
     rows = _monthly_demand(spark, sf)
-    models = _once(spark, sf, "demand", lambda: multi_output.fit(rows, E.DEMAND_BOOSTED))
-    return multi_output.predict(models, rows, ["ship_name", "month"])
+    return multi_output.predict(demand_model(spark, sf, rows), rows, ["ship_name", "month"])
 
 
 @query("ml12_leave_one_ship_out")
 def leave_one_ship_out(spark, sf):
     rows = _monthly_demand(spark, sf)
-    folds = _once(
-        spark,
-        sf,
-        "folds",
-        lambda: multi_output.leave_one_group_out(rows, "ship_name", P.SHIPS, E.DEMAND_BOOSTED),
-    )
+    folds = multi_output.leave_one_group_out(demand_model(spark, sf, rows), rows, "ship_name")
     return evaluation.regression_metrics(
         multi_output.errors_by_target(folds), "actual", "predicted", by=("target",)
     )
@@ -127,38 +126,39 @@ def leave_one_ship_out(spark, sf):
 
 @query("ml14_feature_importance")
 def feature_importance(spark, sf):
-    model, _ = member_model(spark, sf, "bet", "forest")
+    model = member_model(spark, sf, "bet", "forest")
     return E.importance(model)
 
 
 @query("top05_important_features")
 def important_features(spark, sf):
-    model, _ = member_model(spark, sf, "bet", "forest")
+    model = member_model(spark, sf, "bet", "forest")
     return E.importance(model).limit(15)
 
 
 @query("ml15_test_predictions")
 def test_predictions(spark, sf):
-    _, scored = member_model(spark, sf, "denomination", "forest")
+    scored = train.member_test(member_model(spark, sf, "denomination", "forest"), encoded(spark, sf), "denomination")
     return scored.select("member_id", "target", "predicted")
 
 
 @query("ml16_class_probabilities")
 def class_probabilities(spark, sf):
-    model, scored = member_model(spark, sf, "denomination", "forest")
+    model = member_model(spark, sf, "denomination", "forest")
+    scored = train.member_test(model, encoded(spark, sf), "denomination")
     return E.probabilities(scored, "member_id", E.labels_of(model))
 
 
 @query("ml17_score_members")
 def score_members(spark, sf):
-    models = {t: member_model(spark, sf, t, "forest")[0] for t in ("denomination", "bet")}
+    models = {t: member_model(spark, sf, t, "forest") for t in ("denomination", "bet")}
     ids = tables.read(spark, sf, "events").select(F.col("user_id").alias("member_id")).distinct()
     return scoring.score_members(models, encoded(spark, sf), ids)
 
 
 @query("ml18_score_members_in_context")
 def score_in_context(spark, sf):
-    model, _ = session_model(spark, sf)
+    model = session_model(spark, sf)
     ids = tables.read(spark, sf, "events").select(F.col("user_id").alias("member_id")).distinct()
     return scoring.score_members_in_context(
         model,
@@ -174,7 +174,7 @@ def score_in_context(spark, sf):
 @query("ml19_what_if")
 def what_if(spark, sf):
     """Every combination of ship, game type and tier that occurs, for its average guest."""
-    model, _ = session_model(spark, sf)
+    model = session_model(spark, sf)
     keys = ["ship_name", "game_type", "membership_tier", "gender", "risk_appetite", "income_bracket"]
     rows = _session_rows(spark, sf)
     requests = rows.groupBy(*keys).agg(
@@ -224,7 +224,7 @@ def ship_day_features(spark, sf):
 
 @query("ml20_score_ship_days")
 def score_ship_days(spark, sf):
-    model, _ = win_rate_model(spark, sf)
+    model = win_rate_model(spark, sf)
     return scoring.score_ship_days(model, _ship_day_requests(spark, sf), AS_OF)
 
 
@@ -362,8 +362,6 @@ def label_codes(spark, sf):
 @query("snk09_model_versions")
 def model_versions(spark, sf):
     """Train, store and list models by name."""
-    from spindrift.ml import store
-
     root = workdir.fresh_path(spark, "model-store")
     inputs = {"win_rate": workdir.materialise(win_rate_training(spark, sf), "win-rate")}
     for version, seed in (("V1", E.FOREST.seed), ("V2", E.FOREST.seed + 1)):

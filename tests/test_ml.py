@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.ml import boosting
 from spindrift.ml import estimators as E
 from spindrift.ml import scoring, store
 from spindrift.operators import evaluation
@@ -20,7 +21,7 @@ def planted(spark):
 
 @pytest.fixture(scope="module")
 def forest(planted):
-    return E.fit_classifier(planted.where("id < 450"), "y", ("tier",), ("x",), "forest", E.Trees(5, 4), numeric_label=True)
+    return E.fit_classifier(planted.where("id < 450"), "y", ("tier",), ("x",), E.Trees(5, 4), numeric_label=True)
 
 
 def test_labels_are_ordered_as_numbers(forest):
@@ -30,7 +31,10 @@ def test_labels_are_ordered_as_numbers(forest):
 @pytest.mark.parametrize("algorithm", ["forest", "boosted"])
 def test_beats_the_majority_class(planted, algorithm):
     train, test = planted.where("id < 450"), planted.where("id >= 450")
-    model = E.fit_classifier(train, "y", ("tier",), ("x",), algorithm, E.Trees(4, 3))
+    if algorithm == "forest":
+        model = E.fit_classifier(train, "y", ("tier",), ("x",), E.Trees(4, 3))
+    else:
+        model = boosting.fit(train, ["y"], ("tier",), ("x",), boosting.SOFTMAX, E.Trees(4, 3, 0.5))
     scored = E.apply(model, test, ("tier",), ("x",), ["id", "y"])
     ours = evaluation.accuracy(evaluation.confusion(scored, "y", "predicted")).first()["accuracy_pct"]
     base = evaluation.majority_baseline(train, test, "y").first()["baseline_accuracy_pct"]
@@ -38,7 +42,7 @@ def test_beats_the_majority_class(planted, algorithm):
 
 
 def test_same_seed_same_result_and_stored_round_trip(spark, planted, forest, tmp_path):
-    again = E.fit_classifier(planted.where("id < 450"), "y", ("tier",), ("x",), "forest", E.Trees(5, 4), numeric_label=True)
+    again = E.fit_classifier(planted.where("id < 450"), "y", ("tier",), ("x",), E.Trees(5, 4), numeric_label=True)
     score = lambda m: E.apply(m, planted, ("tier",), ("x",), ["id"]).select("id", "predicted")
     assert score(forest).exceptAll(score(again)).count() == 0
     root = str(tmp_path)
@@ -64,7 +68,7 @@ def test_probabilities_sum_to_one(planted, forest):
 def test_importance_and_regression(planted, forest):
     ranked = E.importance(forest).collect()
     assert {r["feature"] for r in ranked} == {"tier_code", "x"} and sum(r["score"] for r in ranked) == pytest.approx(1)
-    model = E.fit_regressor(planted.where("id < 450"), "z", ("tier",), ("x",), E.Trees(10, 4))
+    model = boosting.fit(planted.where("id < 450"), ["z"], ("tier",), ("x",), trees=E.Trees(10, 4, 0.3))
     scored = E.apply(model, planted.where("id >= 450"), ("tier",), ("x",), ["id", "z"])
     assert evaluation.regression_metrics(scored, "z", "prediction").first()["r2"] > 0.9
 
@@ -74,7 +78,7 @@ def test_unknown_member_is_reported(spark, rows):
     from spindrift.plans.features import FEATURE_COLUMNS
 
     table = encoded.select("member_id", *[F.col("v").alias(c) for c in FEATURE_COLUMNS], F.when(F.col("v") > 20, "5.0").otherwise("1.0").alias("y"))
-    model = E.fit_classifier(table, "y", (), FEATURE_COLUMNS, "forest", E.Trees(3, 3))
+    model = E.fit_classifier(table, "y", (), FEATURE_COLUMNS, E.Trees(3, 3))
     ids = spark.createDataFrame([(3,), (777,)], "member_id long")
     got = {r["member_id"]: r for r in scoring.score_members({"denomination": model, "bet": model}, table, ids).collect()}
     assert got[3]["denomination_text"] == "Predicted preferred denomination for member 3: $1.00"
@@ -90,5 +94,7 @@ def test_ship_day_defaults(spark):
 
 def test_categories_with_many_values(spark):
     rows = spark.range(400).select(F.concat(F.lit("c"), F.col("id") % 90).alias("code"), (F.col("id") % 90).cast("double").alias("z"))
-    model = E.fit_regressor(rows, "z", ("code",), (), E.Trees(1, 2))
+    model = boosting.fit(rows, ["z"], ("code",), (), trees=E.Trees(1, 2))
     assert E.apply(model, rows, ("code",), (), ["z"]).count() == 400
+    forest = E.fit_classifier(rows.withColumn("z", F.col("z").cast("string")), "z", ("code",), (), E.Trees(1, 2))
+    assert E.apply(forest, rows, ("code",), (), ["z"]).count() == 400

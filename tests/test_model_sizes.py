@@ -1,13 +1,12 @@
-"""The registered model queries fit ensembles of the documented sizes."""
+"""The registered model queries fit ensembles of the documented sizes, once per training input."""
 
 from dataclasses import replace
 
 import pytest
 
 import __spark_entry__ as entry_module
+from spindrift.ml import boosting, store
 from spindrift.ml import estimators as E
-from spindrift.ml import multi_output
-from spindrift.registry import models
 
 SF = "/root/testdata/sf0.001"
 FORESTS = ("ml06_forest_session_denomination", "ml08_win_rate_classifier", "ml14_feature_importance", "top05_important_features", "ml15_test_predictions", "ml16_class_probabilities", "ml17_score_members", "ml18_score_members_in_context", "ml19_what_if", "ml20_score_ship_days", "snk09_model_versions")
@@ -20,31 +19,16 @@ class Fitted(Exception):
 
 
 @pytest.mark.parametrize("name", sorted(SIZES))
-def test_ensembles_have_the_documented_size(spark, monkeypatch, name):
-    def classifier(train, label, categories=(), numbers=(), algorithm="forest", trees=None, *rest, **more):
-        raise Fitted(trees or (E.FOREST if algorithm == "forest" else E.BOOSTED))
+def test_ensembles_have_the_documented_size(spark, monkeypatch, tmp_path, name):
+    def forest(train, label, categories=(), numbers=(), trees=E.FOREST, numeric_label=False):
+        raise Fitted(trees)
 
-    def regressor(train, target, categories=(), numbers=(), trees=E.BOOSTED, *rest, **more):
+    def boosted(train, targets, categories=(), numbers=(), kind="squared", trees=E.Trees(), group=None, bins=64):
         raise Fitted(trees)
 
-    monkeypatch.setattr(E, "fit_classifier", classifier)
-    monkeypatch.setattr(E, "fit_regressor", regressor)
-    monkeypatch.setattr(multi_output, "fit_regressor", regressor)
-    monkeypatch.setattr(models, "_fitted", {})
+    monkeypatch.setattr(E, "fit_classifier", forest)
+    monkeypatch.setattr(boosting, "fit", boosted)
+    monkeypatch.setattr(store, "shared_root", lambda spark: str(tmp_path))
     with pytest.raises(Fitted) as asked:
         entry_module.queries()[name](spark, SF)
     assert replace(asked.value.args[0], seed=42) == SIZES[name]
-
-
-def test_each_fold_is_predicted_by_models_of_the_other_groups(spark, monkeypatch):
-    seen = []
-
-    def fit_all(frames, trees, parallelism):
-        seen.extend(sorted(r["ship_name"] for r in f.collect()) for f in frames)
-        return [{"of": i} for i, _ in enumerate(frames)]
-
-    monkeypatch.setattr(multi_output, "_fit_all", fit_all)
-    monkeypatch.setattr(multi_output, "predict", lambda fitted, rows, keep: rows.selectExpr("ship_name", f"{fitted['of']} AS fold"))
-    rows = spark.createDataFrame([(s,) for s in "abc"], "ship_name string")
-    got = multi_output.leave_one_group_out(rows, "ship_name", ["a", "b", "c"])
-    assert seen == [["b", "c"], ["a", "c"], ["a", "b"]] and sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2)]
