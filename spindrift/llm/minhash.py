@@ -21,13 +21,13 @@ from spindrift.llm.common import join_spread, mix64, offsets, ragged, stored
 from spindrift.llm.components import components
 
 ROWS, BANDS = 4, 24
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 19
 #: Standard deviations below the expected agreement at the threshold that a candidate may show.
 SLACK = 6.0
 #: Rows of a bucket that are compared with one another in one group; larger buckets are cut into blocks.
 BLOCK = 512
 #: Pairs compared at once.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
