@@ -1,4 +1,7 @@
-"""Arg-max / arg-min per key as map-side reducible aggregates (no sort, no window)."""
+"""Arg-max / arg-min per key as partial aggregates: each task sends one row per key it holds.
+
+Buffers are structs, so Spark sorts a partition by key before it aggregates; no window is needed.
+"""
 
 from __future__ import annotations
 

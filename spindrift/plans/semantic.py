@@ -1,9 +1,9 @@
 """Declarative metric layer: named metrics, dimensions and filters become one DataFrame.
 
 A request names metrics, dimensions and filters. Every metric is aggregated on its own
-table; a dimension of a related table is joined along a many-to-one (or one-to-one)
-edge only, so a join can never multiply the rows behind a metric. Before such a join
-the metric's table is reduced to partial sums per foreign key.
+table; a dimension of another table is joined along relationships that are proven many-to-one
+(or one-to-one), any number of them, so a join can never multiply the rows behind a metric.
+Before such a join the metric's table is reduced to partial sums per foreign key.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import ratio, round_half_up
@@ -62,11 +62,53 @@ class Model:
     tables: Mapping[str, LogicalTable]
     relationships: tuple[Relationship, ...]
 
-    def parents(self, table: str) -> dict[str, str]:
-        """Tables reachable without fan-out, with the join column."""
-        edges = {r.parent: r.column for r in self.relationships if r.child == table}
-        edges |= {r.child: r.column for r in self.relationships if r.parent == table and r.one_to_one}
-        return edges
+    def steps(self, table: str) -> list[tuple[str, str]]:
+        """(table, column) one join away that adds no rows: at most one row there has the column's value.
+
+        A relationship leads from the child to the parent, and back if it is one to one. Either way
+        the column must be the key of the table it leads to, or declared unique there.
+        """
+        found = [(r.parent, r.column) for r in self.relationships if r.child == table]
+        found += [(r.child, r.column) for r in self.relationships if r.parent == table and r.one_to_one]
+        return [(t, c) for t, c in found if self.is_unique(t, c)]
+
+    def is_unique(self, table: str, column: str) -> bool:
+        known = self.tables[table]
+        return column == known.key or any(d.unique and d.expr == column for d in known.dimensions.values())
+
+    def path(self, table: str, target: str) -> list[tuple[str, str, str]]:
+        """The joins (from, to, column) of the one shortest way that multiplies no row of ``table``."""
+        ways: dict[str, list[list[tuple[str, str, str]]]] = {table: [[]]}
+        frontier = [table]
+        while frontier and target not in ways:
+            reached: dict[str, list[list[tuple[str, str, str]]]] = {}
+            for at in frontier:
+                for to, column in self.steps(at):
+                    if to not in ways:
+                        reached.setdefault(to, []).extend([*way, (at, to, column)] for way in ways[at])
+            ways |= reached
+            frontier = list(reached)
+        if target not in ways:
+            raise SemanticError(f"{target} would multiply the rows of {table}: {self._fan_out(table, target)}")
+        if len(ways[target]) > 1:
+            named = " or ".join(" -> ".join([table, *(to for _, to, _ in way)]) for way in ways[target])
+            raise SemanticError(f"more than one way from {table} to {target}: {named}")
+        return ways[target][0]
+
+    def _fan_out(self, table: str, target: str) -> str:
+        """The first step towards ``target`` that is one to many, or that there is no way at all."""
+        seen, frontier = {table}, [(table, "")]
+        while frontier:
+            at, blame = frontier.pop(0)
+            if at == target:
+                return blame
+            for r in self.relationships:
+                to = r.parent if r.child == at else r.child if r.parent == at else None
+                if to and to not in seen:
+                    seen.add(to)
+                    many = (to, r.column) not in self.steps(at)
+                    frontier.append((to, blame or (f"{at} -> {to} is one to many" if many else "")))
+        return "no relationship leads there"
 
     def find(self, name: str, section: str, prefer: str | None = None) -> tuple[str, str]:
         """(table, canonical name) of a metric, dimension, fact or filter.
@@ -148,47 +190,58 @@ def _predicate(model: Model, spec, prefer: str) -> tuple[str, Column]:
 
 
 def _one_table(model, frames, table, metrics, dimensions, filters, grain) -> DataFrame:
-    """Aggregate the metrics of one table by the requested dimensions."""
-    edges = model.parents(table)
+    """Aggregate the metrics of one table by the requested dimensions.
+
+    Tables that dimensions or filters need are joined along ``Model.path``, one after another, to
+    partial sums by the foreign keys of the first joins.
+    """
     local: dict[str, Column] = {}
     remote: dict[str, dict[str, Column]] = {}
     for output, name in dimensions.items():
         owner, canonical = model.find(name, "dimensions", table)
         column = _dimension_column(model, owner, canonical, grain)
-        if owner == table:
-            local[output] = column
-        elif owner in edges:
-            remote.setdefault(owner, {})[output] = column
-        else:
-            raise SemanticError(f"{name} would multiply the rows of {table}")
+        (local if owner == table else remote.setdefault(owner, {}))[output] = column
     base, parent_filters = frames[table], {}
     for spec in filters:
         owner, predicate = _predicate(model, spec, table)
         if owner == table:
             base = base.where(predicate)
-        elif owner in edges:
-            parent_filters[owner] = parent_filters[owner] & predicate if owner in parent_filters else predicate
         else:
-            raise SemanticError(f"filter {spec} does not apply to {table}")
+            parent_filters[owner] = parent_filters[owner] & predicate if owner in parent_filters else predicate
+    joins: dict[str, tuple[str, str]] = {}
+    for owner in sorted(set(remote) | set(parent_filters)):
+        for at, to, column in model.path(table, owner):
+            if joins.setdefault(to, (at, column)) != (at, column):
+                raise SemanticError(f"{to} is needed over {joins[to][0]} and over {at}")
     distincts = {f"{n}__d": F.expr(m.expr) for n, m in metrics.items() if m.kind == "count_distinct"}
-    parents = sorted(set(remote) | set(parent_filters))
-    keys = {f"_key_{p}": F.col(edges[p]) for p in parents}
+    keys = {f"_{table}_{column}": F.col(column) for at, column in joins.values() if at == table}
     partials = {k: v for n, m in metrics.items() if m.kind != "count_distinct" for k, v in _partial(n, m).items()}
     group = [c.alias(n) for n, c in {**keys, **local, **distincts}.items()]
     # count("*") keeps the aggregation valid when only distinct counts are asked for
     reduced = base.groupBy(*group).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in partials.items()])
-    for parent in parents:
-        side = frames[parent]
-        if parent in parent_filters:
-            side = side.where(parent_filters[parent])
-        columns = [c.alias(n) for n, c in remote.get(parent, {}).items()]
-        side = side.select(F.col(edges[parent]).alias(f"_key_{parent}"), *columns)
-        # an attribute-less parent only filters; otherwise rows without a parent keep NULLs
-        how = "inner" if parent in parent_filters else "left"
-        reduced = reduced.join(side, f"_key_{parent}", how)
+    for to, (at, column) in _nearest_first(joins, table):
+        side = frames[to]
+        if to in parent_filters:
+            side = side.where(parent_filters[to])
+        columns = [c.alias(n) for n, c in remote.get(to, {}).items()]
+        onward = {f"_{to}_{c}": F.col(c) for a, c in joins.values() if a == to}
+        side = side.select(F.col(column).alias("_on"), *columns, *[c.alias(n) for n, c in onward.items()])
+        # a table that filters drops the rest; otherwise rows without a match keep NULLs
+        how = "inner" if to in parent_filters else "left"
+        reduced = reduced.join(side, F.col(f"_{at}_{column}") == F.col("_on"), how).drop("_on")
     return reduced.groupBy(*dimensions).agg(*[_final(n, m).alias(n) for n, m in metrics.items()])
 
 
+def _nearest_first(joins: Mapping[str, tuple[str, str]], table: str) -> list[tuple[str, tuple[str, str]]]:
+    """Joins in an order in which the table that a join starts from is there already."""
+    done, ordered = {table}, []
+    while len(ordered) < len(joins):
+        ready = [(to, j) for to, j in joins.items() if to not in done and j[0] in done]
+        ordered += ready
+        done |= {to for to, _ in ready}
+    return ordered
+
+
 def compile_request(
     model: Model,
     frames: Mapping[str, DataFrame],
@@ -256,6 +309,44 @@ def enum_violations(model: Model, frames: Mapping[str, DataFrame], table: str) -
     return unlisted_values(frames[table], enums)
 
 
+def data_checks(model: Model, frames: Mapping[str, DataFrame], table: str) -> DataFrame:
+    """What a table breaks of its declaration: ``table_name``, ``column_name``, ``check``, ``n_rows``.
+
+    ``listed``: rows whose value is not in the dimension's list; ``present``: rows without a value in
+    a declared column; ``unique``: rows beyond the first of a value that is declared unique (the key,
+    too). One pass does it all: the counts are observed while the values of the unique columns, as
+    (column, hash) rows, are counted.
+    """
+    known = model.tables[table]
+    enums = {d.expr: d.values for d in known.dimensions.values() if d.values}
+    declared = list(dict.fromkeys(d.expr for d in known.dimensions.values()))
+    single = [d.expr for d in known.dimensions.values() if d.unique]
+    if known.key in frames[table].columns:
+        single = list(dict.fromkeys([known.key, *single]))
+    seen = Observation(f"checks of {table}")
+    counts = [F.count_if(~F.expr(e).cast("string").isin(*values)).alias(f"listed:{e}") for e, values in enums.items()]
+    counts += [F.count_if(F.expr(e).isNull()).alias(f"present:{e}") for e in declared]
+    observed = frames[table].observe(seen, F.count("*").alias("rows"), *counts)
+    repeated: dict[str, int] = {}
+    if frames[table].isEmpty():
+        # Spark drops an empty plan together with what it should observe
+        metrics = {f"listed:{e}": 0 for e in enums} | {f"present:{e}": 0 for e in declared}
+    elif not single:
+        observed.agg(F.count("*")).collect()
+        metrics = seen.get
+    else:
+        cells = F.array(*[F.struct(F.lit(e).alias("column_name"), F.expr(e).cast("string").alias("value")) for e in single])
+        values = observed.select(F.explode(cells).alias("c")).where("c.value is not null")
+        # 96 bits of hash stand for a value, so that wide values are not shuffled
+        per_value = values.groupBy("c.column_name", F.xxhash64("c.value").alias("h1"), F.hash("c.value").alias("h2")).agg(F.count("*").alias("n"))
+        repeated = {r["column_name"]: r["n"] for r in per_value.groupBy("column_name").agg(F.sum(F.col("n") - 1).alias("n")).collect()}
+        metrics = seen.get
+    found = [(table, *name.split(":", 1)[::-1], n) for name, n in metrics.items() if name != "rows"]
+    found += [(table, e, "unique", repeated.get(e, 0)) for e in single]
+    spark = frames[table].sparkSession
+    return spark.createDataFrame(found, "table_name string, column_name string, check string, n_rows long")
+
+
 # fixed values: names and synonyms of the model
 _MEMBER_DIMENSIONS = {
     "member_id": Dimension("member_id", unique=True),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.functions import calendar, encode
 from spindrift.functions.labels import share_column
@@ -68,7 +69,7 @@ query("agg09_member_aggregates", FEATURES + "SELECT * EXCLUDE (preferred_denomin
     SELECT (SELECT CAST(v AS DOUBLE) FROM d WHERE rn = 1) AS denomination, (SELECT v FROM bb WHERE rn = 1) AS bet_category""",
 )
 def global_modes(spark, sf):
-    return tables.plays(spark, sf).agg(
+    return tables.plays(spark, sf, games=False).agg(
         F.mode("denomination", True).cast("double").alias("denomination"),
         F.mode(encode.bet_category(F.col("bet_per_spin")), True).alias("bet_category"),
     )
@@ -231,7 +232,7 @@ LATEST_CTE = """latest AS (SELECT member_id, ship_name, play_date FROM (
 )
 def latest_ship(spark, sf):
     newest = pick.latest(
-        tables.plays(spark, sf), "member_id", "play_date", list(tables.PLAY_KEY), ["ship_name", "play_date"]
+        tables.plays(spark, sf, games=False), "member_id", "play_date", list(tables.PLAY_KEY), ["ship_name", "play_date"]
     )
     return (
         tables.members(spark, sf)
@@ -257,9 +258,8 @@ def session_recency(spark, sf):
     A member's rank is (sessions on later days) + (rank within the day): the day counts
     carry a member with very many sessions, so no task sorts a whole member.
     """
-    from pyspark.sql.window import Window
 
-    plays = tables.plays(spark, sf).select("member_id", "play_date", *tables.PLAY_KEY)
+    plays = tables.plays(spark, sf, games=False).select("member_id", "play_date", *tables.PLAY_KEY)
     later = Window.partitionBy("member_id").orderBy(F.desc("play_date")).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -338,9 +338,10 @@ def chronological(spark, sf):
     + """SELECT ship_name, play_date FROM daily WHERE play_date <= (SELECT max(play_date) FROM daily) - 7""",
 )
 def tail_cut(spark, sf):
-    days = tables.plays(spark, sf).select("ship_name", "play_date")
-    last = days.agg(F.date_sub(F.max("play_date"), 7).alias("last"))
-    return days.where(F.col("play_date") <= last.scalar()).distinct()
+    days = tables.plays(spark, sf, games=False).select("ship_name", "play_date").distinct()
+    # one row per ship and calendar day is left for the window
+    last = F.max("play_date").over(Window.partitionBy())
+    return days.withColumn("last", last).where(F.col("play_date") <= F.date_sub("last", 7)).drop("last")
 
 
 # --- demand -------------------------------------------------------------------------------
@@ -371,14 +372,14 @@ CDF_CTE = (
 )
 def ship_cdf(spark, sf):
     """Empirical CDF of the denominations played on each ship."""
-    seen = tables.plays(spark, sf).groupBy("ship_name", "denomination").agg(F.count("*").alias("n"))
+    seen = tables.plays(spark, sf, games=False).groupBy("ship_name", "denomination").agg(F.count("*").alias("n"))
     return cdf.cumulative_shares(seen, "ship_name", "denomination", "n").withColumn(
         "denomination", F.col("denomination").cast("double")
     )
 
 
 def redistributed(spark, sf):
-    return demand.redistribute(tables.plays(spark, sf), P.ship_weights(spark))
+    return demand.redistribute(tables.plays(spark, sf, games=False), P.ship_weights(spark))
 
 
 @query(
@@ -406,7 +407,7 @@ def redistribute(spark, sf):
       FROM redrawn GROUP BY ALL""",
 )
 def cdf_assign(spark, sf):
-    assigned = cdf.assign_category_by_cdf(tables.plays(spark, sf), P.ship_weights(spark), "u")
+    assigned = cdf.assign_category_by_cdf(tables.plays(spark, sf, games=False), P.ship_weights(spark), "u")
     return assigned.groupBy("ship_name", F.col("denomination").cast("double").alias("denomination")).agg(
         F.count("*").alias("sessions")
     )
@@ -420,7 +421,7 @@ def cdf_assign(spark, sf):
 )
 def net_result(spark, sf):
     return (
-        tables.plays(spark, sf)
+        tables.plays(spark, sf, games=False)
         .groupBy("ship_name")
         .agg(
             F.count("*").alias("sessions"),
@@ -459,7 +460,7 @@ DEMAND = with_views("members", "plays", more=DEMAND_CTE)
 
 
 def demand_mart(spark, sf):
-    return demand.bank_demand(tables.plays(spark, sf), tables.members(spark, sf)).withColumn(
+    return demand.bank_demand(tables.plays(spark, sf, games=False), tables.members(spark, sf)).withColumn(
         "denomination", F.col("denomination").cast("double")
     )
 
@@ -481,7 +482,7 @@ def demand_shares(spark, sf):
 
     ship = Window.partitionBy("ship_name")
     stats = (
-        tables.plays(spark, sf)
+        tables.plays(spark, sf, games=False)
         .groupBy("ship_name", "denomination")
         .agg(F.count("*").alias("session_count"), F.sum("total_wagered").alias("w"))
     )
@@ -497,7 +498,7 @@ def demand_shares(spark, sf):
 
 @query("agg16_ship_mix", DEMAND + "SELECT * FROM ship_mix")
 def ship_mix(spark, sf):
-    return demand.ship_mix(tables.plays(spark, sf), tables.members(spark, sf))
+    return demand.ship_mix(tables.plays(spark, sf, games=False), tables.members(spark, sf))
 
 
 @query(
@@ -552,7 +553,7 @@ def rule_predictions(spark, sf):
     """(encoded table, test predictions as struct(class, probability))."""
     table = encoded(spark, sf)
     newest = pick.latest(
-        tables.plays(spark, sf), "member_id", "play_date", list(tables.PLAY_KEY), ["denomination"]
+        tables.plays(spark, sf, games=False), "member_id", "play_date", list(tables.PLAY_KEY), ["denomination"]
     )
     prediction = F.struct(
         F.col("denomination").cast("double").alias("class"), F.lit(1.0).alias("probability")
@@ -716,7 +717,7 @@ def binned(spark, sf):
       FROM plays GROUP BY ALL""",
 )
 def calendar_columns(spark, sf):
-    per_day = tables.plays(spark, sf).groupBy("play_date").agg(F.count("*").alias("sessions"))
+    per_day = tables.plays(spark, sf, games=False).groupBy("play_date").agg(F.count("*").alias("sessions"))
     return calendar.with_calendar(per_day, "play_date").withColumn(
         "dow_sun0", calendar.dow_sun0(F.col("play_date"))
     )
@@ -767,7 +768,7 @@ def json_probability(spark, sf):
       count(*) - floor(count(*) * 80 / 100)::BIGINT AS test_rows FROM plays GROUP BY 1""",
 )
 def stratified(spark, sf):
-    rows = tables.plays(spark, sf).select("denomination", *tables.PLAY_KEY)
+    rows = tables.plays(spark, sf, games=False).select("denomination", *tables.PLAY_KEY)
     marked = split.stratified_split(rows, "denomination", list(tables.PLAY_KEY))
     return marked.groupBy(F.col("denomination").cast("double").alias("denomination")).agg(
         F.count_if(F.col("split") == "TRAIN").alias("train_rows"),

@@ -105,7 +105,7 @@ def win_rate_regression(spark, sf):
 
 
 def _monthly_demand(spark, sf):
-    rows = multi_output.monthly_demand(tables.plays(spark, sf), tables.members(spark, sf))
+    rows = multi_output.monthly_demand(tables.plays(spark, sf, games=False), tables.members(spark, sf))
     return workdir.materialise(rows, "monthly-demand")
 
 
@@ -253,7 +253,7 @@ _SHIP_MONTHS = """SELECT ship_name, CAST(date_trunc('month', play_date) AS DATE)
 
 def _ship_months(spark, sf):
     return (
-        tables.plays(spark, sf)
+        tables.plays(spark, sf, games=False)
         .groupBy("ship_name", F.trunc("play_date", "MM").alias("month"))
         .agg(F.count("*").alias("sessions"))
     )

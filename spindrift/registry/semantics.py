@@ -177,6 +177,54 @@ def enum_check(spark, sf):
     )
 
 
+_GAME_TYPE_SQL = (
+    FEATURES
+    + """SELECT preferred_game_type, count(*) AS total_sessions, CAST(sum(p.total_wagered) AS DOUBLE) AS total_amount_wagered,
+      count(DISTINCT p.member_id) AS unique_players
+      FROM plays p LEFT JOIN features f ON f.member_id = p.member_id GROUP BY 1"""
+)
+
+
+@query("sem07_sessions_by_preferred_game_type", _GAME_TYPE_SQL)
+def sessions_by_preferred_game_type(spark, sf):
+    """Two relationships away: sessions to members, members to their features."""
+    return ask(spark, sf, metrics=["plays.total_sessions", "total revenue", "unique_players"], dimensions=["preferred_game_type"])
+
+
+@query(
+    "jon14_two_relationships",
+    FEATURES
+    + """SELECT m.home_state, f.most_played_ship, count(*) AS total_sessions FROM plays p
+      JOIN members m ON m.member_id = p.member_id JOIN features f ON f.member_id = p.member_id
+      WHERE m.membership_tier IN ('Gold', 'Platinum') GROUP BY ALL""",
+)
+def two_relationships(spark, sf):
+    """Dimensions one and two relationships away, with a filter in between."""
+    return ask(
+        spark, sf, metrics=["plays.total_sessions"], dimensions=["members.home_state", "most_played_ship"], filters=[("tier", ["Gold", "Platinum"])]
+    )
+
+
+def _checks_sql(table: str, view: str) -> str:
+    known = semantic.MODEL.tables[table]
+    lines = []
+    for d in {d.expr: d for d in known.dimensions.values()}.values():
+        lines.append((d.expr, "present", f"count(*) FILTER ({d.expr} IS NULL)"))
+        if d.values:
+            lines.append((d.expr, "listed", f"count(*) FILTER (CAST({d.expr} AS VARCHAR) NOT IN ({', '.join(repr(v) for v in d.values)}))"))
+        if d.unique:
+            lines.append((d.expr, "unique", f"count({d.expr}) - count(DISTINCT {d.expr})"))
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{k}' AS \"check\", {e} AS n_rows FROM {view}" for c, k, e in lines)
+
+
+@query("sem06_data_checks", FEATURES + " UNION ALL ".join(_checks_sql(t, t) for t in ("members", "plays", "features")))
+def data_checks(spark, sf):
+    """Every declared list, column and unique key, one pass a table."""
+    frames = Frames(spark, sf)
+    checks = [semantic.data_checks(semantic.MODEL, frames, t) for t in ("members", "plays", "features")]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
 _REPORT_SQL = {
     "total_members_by_tier": M + "SELECT membership_tier, count(*) AS total_members FROM members GROUP BY 1",
     "member_count_by_tier": M + "SELECT membership_tier, count(*) AS total_members FROM members GROUP BY 1",

@@ -124,7 +124,7 @@ def day_expansion(spark, sf):
     Runs on ship days only, so the expansion is bounded by the calendar.
     """
     days = (
-        tables.plays(spark, sf)
+        tables.plays(spark, sf, games=False)
         .groupBy("ship_name", "play_date")
         .agg(F.sum("total_wagered").alias("wagered"))
     )
@@ -148,7 +148,7 @@ def day_expansion(spark, sf):
     NARROW + "SELECT ship_name, departure_date, voyage_duration FROM windows",
 )
 def departures(spark, sf):
-    days = tables.plays(spark, sf).select("ship_name", "play_date").distinct()
+    days = tables.plays(spark, sf, games=False).select("ship_name", "play_date").distinct()
     last = days.agg(F.date_sub(F.max("play_date"), P.TAIL_DAYS).alias("last"))
     return days.where(F.col("play_date") <= last.scalar()).select(
         "ship_name",
@@ -404,7 +404,7 @@ FLOOR = with_views("members", "plays", more=FLOOR_CTE)
 def floor_requests(spark, sf):
     """Planning requests: the passengers of every ship and month, over all profiles."""
     month = F.trunc("play_date", "MM").alias("month")
-    plays = tables.plays(spark, sf).select("ship_name", month, "member_id")
+    plays = tables.plays(spark, sf, games=False).select("ship_name", month, "member_id")
     ages = demand.ship_mix(plays, tables.members(spark, sf), by=("ship_name", "month"))
     port_lists: dict[str, set[str]] = {}
     for ship, port, *_ in P.PORTS:

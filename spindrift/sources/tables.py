@@ -80,8 +80,12 @@ def with_money(df: DataFrame, payout: Column) -> DataFrame:
     ).withColumn("net_result", (F.col("total_won") - F.col("total_wagered")).cast("decimal(18,2)"))
 
 
-def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per session, keyed by the four columns of PLAY_KEY."""
+def plays(spark: SparkSession, sf_dir: str, games: bool = True) -> DataFrame:
+    """One row per session, keyed by the four columns of PLAY_KEY.
+
+    Without ``games`` the two game columns and the join that brings them are left out; the rows are
+    the same as long as every session's game is known (``schemas.orphans`` tells).
+    """
     lines = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"
     )
@@ -90,13 +94,15 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("member_id"),
         F.col("o_orderdate").cast("date").alias("play_date"),
     )
-    games = read(spark, sf_dir, "part").select(
+    parts = read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.col("p_brand").alias("game_name"),
         F.col("p_type").alias("game_type"),
     )
     hour = F.col("l_orderkey") % 100
-    sessions = lines.join(orders, "l_orderkey").join(games, "l_partkey").select(
+    played = lines.join(orders, "l_orderkey")
+    played = played.join(parts, "l_partkey") if games else played
+    sessions = played.select(
         F.col("l_orderkey").alias("play_order"),
         F.col("l_partkey").alias("play_part"),
         F.col("l_suppkey").alias("play_machine"),
@@ -105,8 +111,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "play_date",
         F.concat(F.lit("Ship "), F.char(F.lit(65) + F.col("l_suppkey") % 8)).alias("ship_name"),
         _pick(P.DENOMINATIONS, F.col("l_partkey") % 9, "decimal(10,2)").alias("denomination"),
-        "game_name",
-        "game_type",
+        *(["game_name", "game_type"] if games else []),
         (F.col("l_quantity") * 10).cast("int").alias("num_spins"),
         _pick(P.BETS, F.col("l_linenumber") % 5, "decimal(10,2)").alias("bet_per_spin"),
         (

@@ -73,3 +73,48 @@ def test_enum_violations_and_validation(spark, frames, rows):
     small = semantic.Model({k: MODEL.tables[k] for k in ("members", "plays")}, MODEL.relationships[:1])
     with pytest.raises(Exception):
         small.validate({"members": frames["members"].drop("age"), "plays": frames["plays"]})
+
+
+@pytest.fixture(scope="module")
+def three(spark, frames):
+    features = spark.createDataFrame([(1, "slots", "Ship A"), (2, "slots", "Ship B"), (3, "poker", "Ship B")], "member_id long, preferred_game_type string, most_played_ship string")
+    return {**frames, "features": features}
+
+
+def test_two_relationships_away(three, rows):
+    got = rows(ask(three, metrics=["plays.total_sessions", "unique_players"], dimensions=["preferred_game_type"]))
+    assert got == [("slots", 3, 1), (None, 1, 1)]
+    got = rows(ask(three, metrics=["plays.total_sessions"], dimensions=["members.gender", "most_played_ship", "ship"], filters=[("tier", "Gold")]))
+    assert got == [("M", "Ship A", "Ship A", 2), ("M", "Ship A", "Ship B", 1)]
+
+
+def test_fan_out_paths_are_named(three):
+    with pytest.raises(SemanticError, match="plays would multiply the rows of features: members -> plays is one to many"):
+        ask(three, metrics=["member_count"], dimensions=["game"])
+    alone = semantic.Model({**MODEL.tables, "ports": MODEL.tables["members"]}, MODEL.relationships)
+    with pytest.raises(SemanticError, match="no relationship leads there"):
+        alone.path("plays", "ports")
+
+
+def test_a_key_must_be_unique_and_a_way_the_only_one():
+    tables = {n: semantic.LogicalTable(f"{n}_id", {}, {}) for n in "abcd"}
+    edges = [("a", "b", "b_id"), ("a", "c", "c_id"), ("b", "d", "d_id"), ("c", "d", "d_id")]
+    both = semantic.Model(tables, tuple(semantic.Relationship(*e) for e in edges))
+    with pytest.raises(SemanticError, match="a -> b -> d or a -> c -> d"):
+        both.path("a", "d")
+    assert both.path("b", "d") == [("b", "d", "d_id")]
+    loose = semantic.Model(tables, (semantic.Relationship("a", "b", "name"),))
+    with pytest.raises(SemanticError, match="a -> b is one to many"):
+        loose.path("a", "b")
+
+
+def test_data_checks_show_what_was_planted(spark, frames):
+    members = frames["members"].unionByName(frames["members"].where("member_id = 1").withColumn("membership_tier", F.lit("Copper")))
+    members = members.unionByName(frames["members"].where("member_id = 2").withColumns({"member_id": F.lit(None).cast("long"), "home_state": F.lit(None).cast("string")}))
+    found = {(r.column_name, r.check): r.n_rows for r in semantic.data_checks(MODEL, {"members": members}, "members").collect()}
+    assert found["member_id", "unique"] == 1 and found["member_id", "present"] == 1
+    assert found["membership_tier", "listed"] == 1 and found["home_state", "present"] == 1 and found["gender", "listed"] == 0
+    assert found["risk_appetite", "listed"] == 5
+    plays = {(r.column_name, r.check): r.n_rows for r in semantic.data_checks(MODEL, frames, "plays").collect()}
+    assert plays["play_id", "unique"] == 0 and plays["ship_name", "listed"] == 0
+    assert all(r.n_rows == 0 for r in semantic.data_checks(MODEL, {"members": members.limit(0)}, "members").collect())
