@@ -314,6 +314,7 @@ def refreshed_index(spark, sf):
             F.col("lang").alias("category"),
             F.col("source").alias("title"),
             F.col("text").alias("content"),
+            *[c for c in df.columns if c == index_refresh.ARRIVED],
         )
 
     stream = index_refresh.start(
@@ -324,6 +325,27 @@ def refreshed_index(spark, sf):
     return index.postings.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"))
 
 
+@query(
+    "ret04_changed_and_withdrawn",
+    r"""WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN text || ' amended' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 2),
+    toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM kept)
+    SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS occurrences,
+      CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS written_in FROM toks WHERE term <> '' GROUP BY doc_id""",
+)
+def changed_and_withdrawn(spark, sf):
+    """All documents come again: a third unchanged, a third amended and a third withdrawn."""
+    path = workdir.fresh_path(spark, "index")
+    docs = tables.policies(spark, sf)
+    index_refresh.apply_batch(docs, 0, path)
+    kind = F.col("policy_id") % 3
+    again = docs.withColumns({"content": F.when(kind == 1, F.concat("content", F.lit(" amended"))).otherwise(F.col("content")), "withdrawn": kind == 2})
+    index_refresh.apply_batch(again, 1, path)
+    written = spark.read.schema(index_refresh.POSTINGS).parquet(f"{path}/postings").groupBy("doc_id").agg(F.max("batch").cast("int").alias("written_in"))
+    index = index_refresh.read_index(spark, path)
+    counted = index.postings.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"))
+    return counted.join(written, "doc_id")
+
+
 # --- label codes, model versions, profile joins and row exports ------------------------------
 
 

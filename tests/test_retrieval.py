@@ -132,3 +132,42 @@ def test_a_late_older_version_loses_also_after_compaction(spark, tmp_path):
     index_refresh.apply_batch(spark.createDataFrame([(1, "c", "t", "zero", 0)], columns), 0, folded, order="version")
     for where in (path, folded):
         assert sorted(r["term"] for r in index_refresh.read_index(spark, where).postings.collect()) == ["one", "third"]
+
+
+def test_unchanged_texts_write_no_posting_and_withdrawn_ones_are_not_found(spark, tmp_path):
+    path, folded = str(tmp_path / "index"), str(tmp_path / "folded")
+    columns = SCHEMA + ", withdrawn boolean"
+    first = [(1, "rules", "a", "alpha beta"), (2, "rules", "b", "gamma"), (3, "house", "c", None)]
+    index_refresh.apply_batch(spark.createDataFrame(first, SCHEMA), 0, path)
+    again = [(1, "rules", "new title", "alpha beta"), (3, "house", "c", "")]
+    for _ in range(2):  # a replay compares with the batches before it
+        index_refresh.apply_batch(spark.createDataFrame(again, SCHEMA), 1, path)
+    assert spark.read.parquet(f"{path}/postings").where("batch = 1").count() == 0
+    index_refresh.apply_batch(spark.createDataFrame([(2, "rules", "b", "gamma", True), (1, "rules", "a", "alpha delta", None)], columns), 2, path)
+    index_refresh.compact(spark, path, folded)
+    for where in (path, folded):
+        index = index_refresh.read_index(spark, where)
+        assert sorted((r["doc_id"], r["term"]) for r in index.postings.collect()) == [(1, "alpha"), (1, "delta")]
+        assert sorted((r["doc_id"], r["doc_len"]) for r in index.documents.collect()) == [(1, 2), (3, 0)]
+        index_refresh.apply_batch(spark.createDataFrame([(2, "rules", "b", "gamma"), (1, "rules", "a", "alpha delta")], SCHEMA), 3, where)
+        assert sorted((r["doc_id"], r["term"]) for r in index_refresh.read_index(spark, where).postings.collect()) == [(1, "alpha"), (1, "delta"), (2, "gamma")]
+    done = {r["batch"]: (r["changed"], r["unchanged"], r["withdrawn"]) for r in index_refresh.lag(spark, path).collect()}
+    assert done == {0: (3, 0, 0), 1: (0, 2, 0), 2: (1, 0, 1), 3: (1, 1, 0)}
+
+
+def test_lag_and_progress_of_a_stream_are_tables(spark, tmp_path):
+    source, index_dir = str(tmp_path / "in"), str(tmp_path / "index")
+    frame = spark.createDataFrame(DOCS, SCHEMA)
+    frame.coalesce(1).write.parquet(source)
+    listener = index_refresh.Progress()
+    spark.streams.addListener(listener)
+    try:
+        query = index_refresh.start(spark, source, frame.schema, index_dir, str(tmp_path / "progress"))
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        seen = listener.table(spark).collect()
+    finally:
+        spark.streams.removeListener(listener)
+    behind = index_refresh.lag(spark, index_dir).collect()
+    assert [r["changed"] for r in behind] == [len(DOCS)] and behind[0]["lag_seconds"] > 0
+    assert sum(r["rows"] for r in seen) in (0, len(DOCS))  # events come from another thread
