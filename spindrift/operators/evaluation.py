@@ -126,6 +126,39 @@ def summary_row(
     )
 
 
+def evaluate_all(outcomes: DataFrame) -> DataFrame:
+    """One row a model from the outcomes of all models in long form: ``model_name``, ``split`` (TRAIN or
+    TEST), ``actual`` and ``predicted`` (of the test rows; NULL where a model has none).
+
+    One aggregation with grouping sets counts each model and each of its classes; what is compared
+    with the baseline (always the most frequent training class, ties by label) are those counts.
+    Rows without a class are left out.
+    """
+    known = outcomes.where("actual is not null")
+    test = F.col("split") == "TEST"
+    sums = {
+        "train_size": F.count_if(F.col("split") == "TRAIN"),
+        "test_size": F.count_if(test),
+        "answered": F.count_if(test & F.col("predicted").isNotNull()),
+        "correct": F.count_if(test & (F.col("actual") == F.col("predicted"))),
+    }
+    counted = known.groupingSets([["model_name"], ["model_name", "actual"]], "model_name", "actual").agg(
+        *[c.alias(n) for n, c in sums.items()]
+    )
+    # at most one row a class is left for each model
+    of_model = Window.partitionBy("model_name")
+    rank = F.row_number().over(of_model.orderBy(F.desc("train_size"), "actual"))
+    baseline = counted.where("actual is not null").withColumn("_rank", rank).where("_rank = 1")
+    whole = counted.where("actual is null").drop("actual")
+    joined = whole.join(baseline.select("model_name", F.col("actual").alias("baseline_class"), F.col("test_size").alias("baseline_correct")), "model_name")
+    model = round_half_up(ratio(F.col("correct") * 100, F.col("answered")), 2)
+    always = round_half_up(ratio(F.col("baseline_correct") * 100, F.col("test_size")), 2)
+    return joined.select(
+        "model_name", "train_size", "test_size", "baseline_class", "baseline_correct", always.alias("baseline_accuracy_pct"),
+        "answered", "correct", model.alias("model_accuracy_pct"), round_half_up(model - always, 2).alias("improvement_pp"),
+    )
+
+
 def share_by_group(df: DataFrame, column: str) -> DataFrame:
     """Rows per value with the percentage of the grand total (on the grouped frame)."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))

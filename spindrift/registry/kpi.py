@@ -184,6 +184,17 @@ def monthly_trend_text(spark, sf):
     return kpis.monthly_trend(tables.plays(spark, sf), ship="Ship C", text_month=True)
 
 
+@query(
+    "agg07_monthly_trend_text_fleet",
+    PL
+    + """SELECT strftime(play_date, '%Y-%m') AS month,
+       CAST(sum(total_wagered) AS DOUBLE) AS total_wagered, count(DISTINCT member_id) AS unique_players
+       FROM plays GROUP BY 1""",
+)
+def monthly_trend_text_fleet(spark, sf):
+    return kpis.monthly_trend(tables.plays(spark, sf, games=False), text_month=True)
+
+
 SHIP_STATS = f"""count(DISTINCT member_id) AS unique_players,
   {rounded('CAST(sum(bet_per_spin) AS DOUBLE) / count(*)', 2)} AS avg_bet,
   {rounded('CAST(sum(session_duration_mins) AS DOUBLE) / count(*)', 1)} AS avg_duration,

@@ -15,7 +15,7 @@ from spindrift.ml import multi_output, scoring, store, train
 from spindrift.operators import evaluation
 from spindrift.plans import mix, voyage
 from spindrift.registry.base import query, rounded, with_views
-from spindrift.registry.marts import AS_OF, DAILY, daily_mart, encoded, win_rate_training
+from spindrift.registry.marts import AS_OF, DAILY, MIX_SQL, daily_mart, encoded, win_rate_training
 from spindrift.sources import parameters as P
 from spindrift.sources import sinks, synth, tables, workdir
 from spindrift.streaming import index_refresh
@@ -391,27 +391,24 @@ def model_versions(spark, sf):
     return store.versions(spark, root).select("name", "version", "comment", "signature")
 
 
-@query(
-    "jon13_profile_with_shares",
-    with_views("plays")
-    + """, n AS (SELECT ship_name, CAST(date_trunc('month', play_date) AS DATE) AS month, count(*) AS sessions,
-      count(DISTINCT member_id) AS unique_players, count(*) FILTER (denomination = 0.01) AS penny,
-      count(*) FILTER (denomination = 100) AS hundred FROM plays GROUP BY ALL)
-    SELECT ship_name, month, unique_players, """
-    + rounded("penny * 100.0::DOUBLE / sessions", 6)
-    + " AS pct_0_01, "
-    + rounded("hundred * 100.0::DOUBLE / sessions", 6)
-    + " AS pct_100_0 FROM n",
+_PROFILE_SQL = (
+    with_views("members", "plays")
+    + f""", monthly AS (SELECT *, CAST(date_trunc('month', play_date) AS DATE) AS month FROM plays),
+    m AS (SELECT ship_name, month, {MIX_SQL} FROM monthly JOIN members USING (member_id) GROUP BY ship_name, month),
+    n AS (SELECT ship_name, month, count(DISTINCT member_id) AS unique_players, """
+    + ", ".join(
+        rounded(f"count(*) FILTER (denomination = {d}) * 100.0::DOUBLE / count(*)", 6) + f" AS {t}"
+        for d, t in zip(P.DENOMINATIONS, multi_output.TARGETS, strict=True)
+    )
+    + " FROM monthly GROUP BY ship_name, month) SELECT * FROM m JOIN n USING (ship_name, month)"
 )
+
+
+@query("jon13_profile_with_shares", _PROFILE_SQL)
 def profile_with_shares(spark, sf):
-    rows = _monthly_demand(spark, sf)
-    return rows.select(
-        "ship_name",
-        "month",
-        "unique_players",
-        round_half_up(F.col("pct_0_01"), 6).alias("pct_0_01"),
-        round_half_up(F.col("pct_100_0"), 6).alias("pct_100_0"),
-    )
+    """Mix, players and all nine demand shares of every ship and month."""
+    rows = multi_output.monthly_demand(tables.plays(spark, sf, games=False), tables.members(spark, sf))
+    return rows.withColumns({t: round_half_up(F.col(t), 6) for t in multi_output.TARGETS})
 
 
 @query(
