@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import offsets, ragged
+from spindrift.llm.common import offsets, ragged, returning_memory
 
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes that are encoded at once; longer single texts are encoded alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Pairs kept in the compatibility table before it starts anew.
 PAIRS = 1 << 21
 
@@ -334,7 +334,7 @@ def _encode(path: str, text_at: int, names: list[str], decode: bool):
                     columns.append(pa.array([t.decode("utf-8", "replace") for t in bpe.decode(ids, counts)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*b.slice(first, last - first).columns, *columns], names=names)
 
-    return encode
+    return returning_memory(encode)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def returning_memory(run: Callable) -> Callable:
+    """``run`` over the batches of a task, giving freed memory back to the system at its end.
+
+    Python workers serve one stage after another; what their allocators keep of this one would
+    come on top of what the next one needs.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage."""
     return df.sparkSession.read.schema(df.schema).parquet(write(df, label))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import TURN_BYTES, bounded_batches, join_spread, stored, turns, write
+from spindrift.llm.common import TURN_BYTES, bounded_batches, join_spread, returning_memory, stored, turns, write
 from spindrift.llm.cuckoo import CuckooFilter
 
 #: Common lines that one filter is laid out for.
@@ -51,7 +51,7 @@ def _count(min_points: int):
                 found.update({k for k in keyed_lines(text, min_points) if k is not None})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["key", "n_docs"])
 
-    return count
+    return returning_memory(count)
 
 
 def _shard(shards: int):
@@ -154,7 +154,7 @@ def _hits(sent, shards: int, min_points: int):
                 out_key += [keys[i] for i, hit in zip(at, found, strict=True) if hit]
             yield pa.RecordBatch.from_arrays([pa.array(out_of, pa.binary()), pa.array(out_key, pa.binary())], names=["text_key", "key"])
 
-    return hits
+    return returning_memory(hits)
 
 
 def text_key(text: str | None) -> bytes:
@@ -174,7 +174,7 @@ def _drop(min_points: int):
                 kept.append("\n".join(stay))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_lines", "n_dropped", "kept_text"])
 
-    return drop
+    return returning_memory(drop)
 
 
 def drop_common_lines(docs: DataFrame, store: LineStore, id_col: str = "doc_id", text_col: str = "text", turn_bytes: int = TURN_BYTES) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import join_spread, mix64, offsets, ragged, stored
+from spindrift.llm.common import join_spread, mix64, offsets, ragged, returning_memory, stored
 from spindrift.llm.components import components
 
 ROWS, BANDS = 4, 24
@@ -159,7 +159,7 @@ def _sign(size: int, rows: int, n_bands: int):
                     names=["id", "content", "bands", "sketch"],
                 )
 
-    return sign
+    return returning_memory(sign)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -190,7 +190,7 @@ def _verify(size: int, threshold: float):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    return verify
+    return returning_memory(verify)
 
 
 def _agree(least: int):
@@ -200,7 +200,7 @@ def _agree(least: int):
             near = (x == y).sum(axis=1) >= least if b.num_rows else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in b.columns[:2]], names=["a", "b"])
 
-    return agree
+    return returning_memory(agree)
 
 
 def _units(size: int):
@@ -219,7 +219,7 @@ def _units(size: int):
                 sets = [np.unique(element[i:j]).tobytes() for i, j in zip(sums, sums[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["id", "units"])
 
-    return units
+    return returning_memory(units)
 
 
 def _near(t: pa.Table, least: int):
@@ -258,7 +258,7 @@ def _by_group(compare):
         if held is not None and held.num_rows:
             yield from compare(held)
 
-    return run
+    return returning_memory(run)
 
 
 def _candidates(least: int):

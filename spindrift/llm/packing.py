@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm.bpe import load, slices
-from spindrift.llm.common import offsets, stored
+from spindrift.llm.common import offsets, returning_memory, stored
 
 #: Share of a length's demand that one round of the solver may cover.
 STEP = 0.5
@@ -169,7 +169,7 @@ def _cut(path: str, text_at: int, capacity: int, end_id: int, names: list[str]):
                 columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*kept, *columns, pa.array(parts, pa.binary())], names=names)
 
-    return cut
+    return returning_memory(cut)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +213,7 @@ def _place(sent, names: list[str], length_at: int, rank_at: int):
             kept = [c for j, c in enumerate(b.columns) if j != rank_at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(at)], names=names)
 
-    return place
+    return returning_memory(place)
 
 
 def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
