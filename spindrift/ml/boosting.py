@@ -127,13 +127,20 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _held(column: pa.Array, kind) -> np.ndarray:
+    """All values of a binary column as one array of numbers, without a Python object a row."""
+    if not len(column):
+        return np.zeros(0, dtype=kind)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
 def _decode(b: pa.RecordBatch, shape: tuple[int, int, int]):
     folds, outputs, features = shape
     n = b.num_rows
-    x = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint16).reshape(n, features)
-    y = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(n, -1)
-    state = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.float64).reshape(n, folds, outputs)
-    return x, y, b.column(2).to_numpy(), state
+    x = _held(b.column(0), np.uint16).reshape(n, features)
+    y = _held(b.column(1), np.float64).reshape(n, -1 if n else 1)
+    return x, y, b.column(2).to_numpy(), _held(b.column(3), np.float64).reshape(n, folds, outputs)
 
 
 def _histograms(kind: str, shape, pending, nodes, level: int, depth: int, bins: int):
@@ -195,6 +202,17 @@ def best_splits(sums: np.ndarray, min_rows: int) -> list[tuple[int, int, float]]
     return found
 
 
+def _at_once(add, best):
+    """Histograms and splits of a table that one task reads whole: nothing is left to be summed."""
+
+    def both(batches):
+        for b in add(batches):
+            for i in range(b.num_rows):
+                yield from best((b.column(0)[i],), pa.Table.from_batches([b.slice(i, 1)])).to_batches()
+
+    return both
+
+
 def _best(kind: str, features: int, width: int, bins: int, min_rows: int):
     def best(key, table):
         sums = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
@@ -282,19 +300,19 @@ def fit(
     model = Boosted(kind, tuple(features), known, edges, outputs, folds, start, [], np.zeros(len(features)))
 
     def held(df: DataFrame) -> DataFrame:
-        out = workdir.materialise(df, "boosting")
-        # a table of one split needs no exchange between histogram and split
-        return out.coalesce(1) if out.rdd.getNumPartitions() == 1 else out
+        return workdir.materialise(df, "boosting")
 
     table = held(coded.mapInArrow(_bin_rows(edges, start, kind), _ROWS))
+    alone = table.rdd.getNumPartitions() == 1
     pending: list = []
     for _ in range(trees.rounds):
         n_trees, outs = (len(folds), len(outputs)) if kind == SQUARED else (len(outputs), 1)
         size = (1 << (trees.depth + 1)) - 1
         nodes = (np.full((n_trees, size), -1, dtype=np.int64), np.zeros((n_trees, size), dtype=np.int64), np.zeros((n_trees, size, outs)))
         for level in range(trees.depth):
-            sums = table.mapInArrow(_histograms(kind, shape, pending, nodes, level, trees.depth, width), "tree int, sums binary")
-            split = sums.groupBy("tree").applyInArrow(_best(kind, len(features), 1 << level, width, trees.min_rows), _SPLITS)
+            add = _histograms(kind, shape, pending, nodes, level, trees.depth, width)
+            best = _best(kind, len(features), 1 << level, width, trees.min_rows)
+            split = table.mapInArrow(_at_once(add, best), _SPLITS) if alone else table.mapInArrow(add, "tree int, sums binary").groupBy("tree").applyInArrow(best, _SPLITS)
             grown = False
             for r in split.collect():
                 t, at = r["tree"], (1 << level) - 1 + r["node"]
@@ -315,7 +333,7 @@ def fit(
         pending.append(nodes)
         if len(pending) == REWRITE:
             table = held(table.mapInArrow(_restate(kind, shape, pending, trees.depth), _ROWS))
-            pending = []
+            alone, pending = table.rdd.getNumPartitions() == 1, []
     return model
 
 
