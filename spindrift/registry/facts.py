@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.numeric import round_half_up
+from spindrift.functions.numeric import round_half_up, uniform
 from spindrift.ml import estimators as E
 from spindrift.ml import multi_output, train
 from spindrift.operators import evaluation
@@ -161,6 +161,31 @@ def session_ranges(spark, sf):
     return rows.groupBy((listed & money).alias("valid")).agg(F.count("*").alias("n"), F.count_distinct("play_id").alias("ids"))
 
 
+_U = "CAST(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+
+
+@query(
+    "ml04_rows_chosen",
+    with_views("plays")
+    + f""", u AS (SELECT *, {_U.format("concat_ws(':', '42', play_order, play_part, play_machine, play_line)")} AS draw FROM plays),
+    r AS (SELECT *, row_number() OVER (PARTITION BY denomination ORDER BY draw, play_order, play_part, play_machine, play_line) AS rn,
+      count(*) OVER (PARTITION BY denomination) AS n FROM u)
+    SELECT play_order, play_part, play_machine, play_line, CASE WHEN rn * 100 <= n * 80 THEN 'TRAIN' ELSE 'TEST' END AS split FROM r""",
+)
+def stratified_rows(spark, sf):
+    """The side of every session in the stratified split."""
+    key = list(tables.PLAY_KEY)
+    rows = tables.plays(spark, sf, games=False).select("denomination", *key)
+    return stratified_split(rows, "denomination", key).select(*key, "split")
+
+
+@query("ml05_rows_chosen", with_views("members") + f"SELECT member_id, CASE WHEN {_U.format('concat_ws(chr(58), 42, member_id)')} < 0.8 THEN 'TRAIN' ELSE 'TEST' END AS split FROM members")
+def random_rows(spark, sf):
+    """The side of every member in the seeded random split."""
+    u = uniform("member_id", salt="42")
+    return tables.members(spark, sf).select("member_id", F.when(u < 0.8, "TRAIN").otherwise("TEST").alias("split"))
+
+
 # --- evaluation of all models ----------------------------------------------------------------
 
 
