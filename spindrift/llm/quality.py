@@ -107,9 +107,8 @@ def _score(sent, id_at: int, text_at: int, names: list[str]):
             for first, last in text_slices(texts):
                 words, code, counts = tokens(texts[first:last], letters_only=False)
                 h, n_sub = subwords(words, LOW, HIGH)
-                sums = np.append(np.cumsum(table[_buckets(h)]), 0.0)
-                ends = offsets(n_sub)
-                sub = sums[ends[1:] - 1] - np.where(ends[:-1] > 0, sums[ends[:-1] - 1], 0.0)
+                # every word is summed by itself, so a score does not depend on the texts around it
+                sub = np.bincount(np.repeat(np.arange(len(words)), n_sub), weights=table[_buckets(h)], minlength=len(words))
                 pair, n_pair = _pairs(code, counts, word_hashes(words))
                 whose = np.repeat(np.arange(last - first), counts)
                 total = np.bincount(whose, weights=sub[code], minlength=last - first)
