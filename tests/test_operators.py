@@ -162,3 +162,14 @@ def test_key_checks(spark, rows):
     assert rows(schemas.orphans(child, parent, "k")) == [(3, 2)]
     values = spark.createDataFrame([("M",), ("X",), (None,)], "g string")
     assert rows(schemas.unlisted_values(values, {"g": ("M", "F")})) == [("g", "X", 1), ("g", None, 1)]
+
+
+def test_sessions_stay_where_they_are_when_a_category_is_drawn(spark):
+    weights = spark.createDataFrame([("a", "x", Decimal(1)), ("a", "y", Decimal(3)), ("b", "z", Decimal(1))], "ship_name string, denomination string, weight decimal(10,2)")
+    rows = spark.range(0, 100).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("ship_name"), "id", (F.col("id") / 100).cast("decimal(9,4)").alias("u"))
+    drawn = cdf.assign_category_by_cdf(rows, weights, "u")
+    counts = {(r["ship_name"], r["denomination"]): r["n"] for r in drawn.groupBy("ship_name", "denomination").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("a", "x"): 13, ("a", "y"): 37, ("b", "z"): 50}
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("BroadcastHashJoin") : plan.index("BroadcastExchange")]
+    assert "Range" in side and "Exchange" not in side and "SortMergeJoin" not in plan
