@@ -27,7 +27,7 @@ from spindrift.llm.common import offsets, ragged, returning_memory
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes that are encoded at once; longer single texts are encoded alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Pairs kept in the compatibility table before it starts anew.
 PAIRS = 1 << 21
 
