@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import encode, labels
 from spindrift.functions.calendar import with_calendar
 from spindrift.ml import estimators as E
+from spindrift.ml.store import Model
 from spindrift.operators.pick import latest
 from spindrift.plans.daily import WIN_RATE_FEATURES
 from spindrift.plans.features import FEATURE_COLUMNS
@@ -20,7 +20,7 @@ def _or_not_found(text: Column, found: Column) -> Column:
     return F.when(found, text).otherwise(missing)
 
 
-def score_members(models: dict[str, PipelineModel], encoded: DataFrame, ids: DataFrame) -> DataFrame:
+def score_members(models: dict[str, Model], encoded: DataFrame, ids: DataFrame) -> DataFrame:
     """Preferred denomination and bet category per requested member id, with a sentence.
 
     ``models`` holds "denomination" and "bet". An unknown id keeps its row.
@@ -42,7 +42,7 @@ def score_members(models: dict[str, PipelineModel], encoded: DataFrame, ids: Dat
 
 
 def score_members_in_context(
-    model: PipelineModel,
+    model: Model,
     members: DataFrame,
     plays: DataFrame,
     ids: DataFrame,
@@ -81,7 +81,7 @@ def score_members_in_context(
     )
 
 
-def score_what_if(model: PipelineModel, requests: DataFrame, key: str) -> DataFrame:
+def score_what_if(model: Model, requests: DataFrame, key: str) -> DataFrame:
     """Denomination for explicit attributes (one row per request)."""
     return E.apply(model, requests, E.SESSION_CATEGORIES, E.SESSION_NUMBERS, [key])
 
@@ -105,7 +105,7 @@ def ship_day_features(requests: DataFrame, as_of: str, ships: tuple[str, ...] =
     )
 
 
-def score_ship_days(model: PipelineModel, requests: DataFrame, as_of: str) -> DataFrame:
+def score_ship_days(model: Model, requests: DataFrame, as_of: str) -> DataFrame:
     """Win-rate category per planned ship day (ship_name, dow_sun0, sessions, unique_players)."""
     rows = ship_day_features(requests, as_of)
     scored = E.apply(model, rows, (), WIN_RATE_FEATURES, ["request_id", "ship_name", "dow_sun0", "sessions"])
