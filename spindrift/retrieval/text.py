@@ -23,22 +23,29 @@ SCORE_DIGITS = 6
 SEPARATOR = r"[^\p{L}\p{N}]+"
 # fixed value: about how many (query, term) pairs are sent to every executor at once
 BLOCK_TERMS = 200_000
-# fixed value: documents whose postings share a bucket
-DOCS_PER_BUCKET = 100_000
+# fixed value: about how many characters of text go through one task; their postings share a bucket
+CHARS_PER_TASK = 4 << 20
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
 
 
+def tasks(documents: DataFrame, text: str = "content") -> int:
+    """Among how many tasks these texts are dealt, so that what a task holds doesn't grow with them."""
+    chars = documents.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(1, -(-chars // CHARS_PER_TASK))
+
+
 def postings(documents: DataFrame, key: str = "policy_id", text: str = "content") -> DataFrame:
     """(doc_id, term, tf, doc_len) of whole texts.
 
     The raw texts are hashed to their document id first. Compressed text is smaller than
     the exploded postings, the words of one document then stay in one task, and neither
-    this count nor a later one per document needs another shuffle.
+    this count nor a later one per document needs another shuffle. The number of tasks follows
+    the texts, since a compressed text is far smaller than the postings that a task counts.
     """
-    placed = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    placed = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition(tasks(documents, text), "doc_id")
     tokens = placed.select("doc_id", words(F.col("text")).alias("w"))
     # a plain explode would let Spark repeat the tokeniser in a filter before the exchange
     return (
@@ -85,10 +92,11 @@ def store_index(index: TextIndex, buckets: int | None = None) -> TextIndex:
 
     A search sums term contributions per (query, document). On bucketed postings that
     grouping is already co-located, so scoring runs without moving a single posting. The
-    number of buckets follows the number of documents.
+    number of buckets follows the words, so that a bucket stays as small as a task's texts.
     """
     spark = index.postings.sparkSession
-    per_corpus = -(-index.documents.count() // DOCS_PER_BUCKET)
+    # a word and its separator are six characters, as in English
+    per_corpus = -(-6 * (index.documents.agg(F.sum("doc_len")).first()[0] or 0) // CHARS_PER_TASK)
     n = buckets or max(per_corpus, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = workdir.fresh_path(spark, "text-index")
     table = "postings_" + path.rsplit("-", 1)[1]

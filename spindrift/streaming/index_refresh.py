@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from spindrift.retrieval.text import TextIndex, postings, words
+from spindrift.retrieval.text import TextIndex, postings, tasks, words
 
 POSTINGS = "doc_id long, doc_len int, term string, tf long, batch long"
 DOCUMENTS = "doc_id long, doc_len int, category string, title string, version long, digest string, live boolean, at long, batch long"
@@ -40,7 +40,7 @@ def newest_version(batch: DataFrame, order: str | None) -> DataFrame:
     others = [c for c in batch.columns if c != "policy_id"]
     rank = F.struct(*([order] if order else []), F.struct(*others))
     best = F.max_by(F.struct(*others), rank).alias("d")
-    return batch.groupBy("policy_id").agg(best).select("policy_id", "d.*")
+    return batch.repartition(tasks(batch), "policy_id").groupBy("policy_id").agg(best).select("policy_id", "d.*")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -66,6 +66,8 @@ def apply_batch(batch: DataFrame, batch_id: int, index_dir: str, order: str | No
     true ``withdrawn`` takes a document back.
     """
     spark = batch.sparkSession
+    # the texts are measured first: a source is read once all the same
+    batch.persist()
     rows = batch if WITHDRAWN in batch.columns else batch.withColumn(WITHDRAWN, F.lit(False))
     rows = rows if ARRIVED in batch.columns else rows.withColumn(ARRIVED, F.lit(None).cast("timestamp"))
     rows = newest_version(rows, order).withColumn(WITHDRAWN, F.coalesce(WITHDRAWN, F.lit(False)))
@@ -92,6 +94,7 @@ def apply_batch(batch: DataFrame, batch_id: int, index_dir: str, order: str | No
         counts.write.mode("overwrite").parquet(f"{index_dir}/batches/batch={batch_id}")
     finally:
         told.unpersist()
+        batch.unpersist()
 
 
 def start(

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spindrift.retrieval import text, vector
 from spindrift.streaming import index_refresh
@@ -171,3 +172,17 @@ def test_lag_and_progress_of_a_stream_are_tables(spark, tmp_path):
     behind = index_refresh.lag(spark, index_dir).collect()
     assert [r["changed"] for r in behind] == [len(DOCS)] and behind[0]["lag_seconds"] > 0
     assert sum(r["rows"] for r in seen) in (0, len(DOCS))  # events come from another thread
+
+
+def test_a_task_holds_few_texts_whatever_their_number(spark, monkeypatch):
+    """Tasks and buckets follow the characters; without texts there is still one."""
+    monkeypatch.setattr(text, "CHARS_PER_TASK", 1000)
+    docs = spark.range(200).select(F.col("id").alias("policy_id"), F.concat(F.lit("word " * 19), F.col("id").cast("string")).alias("content"), F.lit("c").alias("category"), F.lit("t").alias("title"))
+    rows = text.postings(docs)
+    assert rows.rdd.getNumPartitions() >= 19
+    assert rows.where("term = 'word'").agg(F.sum("tf"), F.count("*")).first() == (200 * 19, 200)
+    assert text.postings(docs.where("false")).count() == 0
+    stored = text.store_index(text.build_index(docs))
+    assert stored.postings.agg(F.sum("tf")).first()[0] == 200 * 20
+    files = stored.postings.groupBy(F.input_file_name()).agg(F.count_distinct("doc_id").alias("n"))
+    assert files.agg(F.max("n")).first()[0] <= 30
