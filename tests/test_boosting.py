@@ -108,3 +108,20 @@ def test_odd_inputs(spark, data):
     assert B.predict(model, odd.limit(0), "s").count() == 0
     with pytest.raises(ValueError):
         B.fit(df, ["p", "q"], kind=B.SOFTMAX)
+
+
+@pytest.mark.parametrize("kind", [B.SQUARED, B.SOFTMAX])
+def test_one_job_and_a_job_a_level_grow_the_same_trees(data, monkeypatch, kind):
+    df = data[0]
+    targets, group = (["p", "q"], "ship") if kind == B.SQUARED else (["kind"], None)
+    jobs = []
+    plain = B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda *a: jobs.append(a[4]) or plain(*a))
+    small = B.fit(df, targets, ("ship",), ("u", "v"), kind, Trees(5, 3, 0.3), group)
+    assert not jobs
+    monkeypatch.setattr(B, "LOCAL_ROWS", 0)
+    large = B.fit(df, targets, ("ship",), ("u", "v"), kind, Trees(5, 3, 0.3), group)
+    assert len(jobs) == 15 and len(small.nodes) == len(large.nodes) == 5
+    for one, other in zip(small.nodes, large.nodes, strict=True):
+        assert all(np.allclose(a, b) for a, b in zip(one, other, strict=True))
+    assert np.allclose(small.gain, large.gain)
