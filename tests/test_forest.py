@@ -103,3 +103,12 @@ def test_only_node_histograms_of_large_nodes_move(stored):
         patch.setattr(forest, "_best_top", lambda plan, sent: seen.append(sum(map(len, sent.value[1].values()))) or plain(plan, sent))
         fitted(stored, Trees(4, 9, min_rows=2), 1000)
     assert 0 < len(seen) < 9 and max(seen) <= 4 * 3
+
+
+def test_a_category_without_values_and_rows_without_class(spark):
+    rows = spark.createDataFrame([(i, None, float(i % 5), None if i % 7 == 0 else str(i % 5 > 2)) for i in range(90)], "draw long, c string, x double, label string")
+    model = forest.fit(rows, "label", ["False", "True"], ("c",), ([],), ("x",), Trees(5, 4))
+    got = forest.predict(model, rows, "p").collect()
+    assert all(sum(r["p"]) == pytest.approx(1) for r in got) and np.mean([(r["p"][1] > 0.5) == (r["x"] > 2) for r in got]) > 0.95
+    with pytest.raises(ValueError):
+        forest.fit(rows.where("label is null"), "label", ["False"], (), (), ("x",), Trees(1, 1))
