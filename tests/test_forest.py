@@ -112,3 +112,26 @@ def test_a_category_without_values_and_rows_without_class(spark):
     assert all(sum(r["p"]) == pytest.approx(1) for r in got) and np.mean([(r["p"][1] > 0.5) == (r["x"] > 2) for r in got]) > 0.95
     with pytest.raises(ValueError):
         forest.fit(rows.where("label is null"), "label", ["False"], (), (), ("x",), Trees(1, 1))
+
+
+def test_small_nodes_look_at_the_bins_that_hold_rows(monkeypatch):
+    """A level of many small nodes costs its rows, not nodes x bins; empty bins change no split."""
+    rng = np.random.default_rng(4)
+    plan = forest._Plan((150, 200, 6), np.array([True, False, True]), 3, 3, Trees(1, 10, min_rows=2))
+    x = np.stack([rng.integers(0, w, 4000) for w in plan.widths]).astype(np.uint8)
+    y, w = rng.integers(0, 3, 4000), np.ones(4000, dtype=np.uint8)
+    seen, plain = [], forest._best_cut
+
+    def cut(plan, f, cells, sums, whole):
+        found = plain(plan, f, cells, sums, whole)
+        seen.append((len(cells), int(sums.sum())))
+        full = np.zeros((len(whole) * plan.widths[f], plan.classes))
+        full[cells] = sums
+        every = plain(plan, f, np.arange(len(full)), full, whole)
+        real = np.isfinite(found[0])
+        assert np.array_equal(found[0], every[0]) and all(np.array_equal(a[real], b[real]) for a, b in zip(found[1:], every[1:], strict=True))
+        return found
+
+    monkeypatch.setattr(forest, "_best_cut", cut)
+    forest._grow(plan, 0, 0, x, y, w)
+    assert len(seen) > 10 and all(cells <= rows for cells, rows in seen)
