@@ -56,6 +56,25 @@ def test_the_pair_table_may_start_anew(encoder, library, monkeypatch):
     same(encoder, library, ["".join(rng.choices("abcdefgh", k=30)) for _ in range(300)])
 
 
+def test_letters_and_signs_need_no_rule(encoder, library, monkeypatch):
+    """Plain words are cut without a call of the splitting rule each; the others as the rule says."""
+    asked = []
+
+    class Rule:
+        def findall(self, piece, plain=encoder.words):
+            asked.append(piece)
+            return plain.findall(piece)
+
+    monkeypatch.setattr(encoder, "words", Rule())
+    words = ["plain", "naïve,", "Ünder...", "it's", "'s", "don't!", "a_b", "_", "(x)", "x2", "2x", "漢字", "a\u0301b", "ªº", "×÷", "end.\nNext", "ÿĀɏɐ", "ok\u2026", "$$$", "''s", "I'll,"]
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(50)] + ["", " ", "word ", " word", "word.", ".", "a  b", "a<|endoftext|>b", "a <|endoftext|> b"]
+    ids, counts = encoder.encode_batch(texts)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {" plain", " naïve,", " Ünder...", "plain"} & set(asked) and " end.\nNext" in asked
+
+
 def test_decoding_broken_ids_gives_replacement_characters(spark):
     frame = spark.createDataFrame([(1, struct.pack("<2I", 200, 72)), (2, None), (3, b"")], "doc_id long, ids binary")
     got = [r.decoded for r in bpe.decode(frame, vocabulary()).orderBy("doc_id").collect()]
