@@ -63,13 +63,13 @@ def _feature_rows(seeds: Mapping[str, Sequence[str]]):
 class Linear:
     """Logistic regression over present buckets, some dense inputs and a bias."""
 
-    def __init__(self, dense: int):
-        self.weights = np.zeros(BUCKETS + dense + 1)
-        self.dense = dense
+    def __init__(self, dense: int, buckets: int = BUCKETS):
+        self.weights = np.zeros(buckets + dense + 1)
+        self.dense, self.buckets = dense, buckets
 
     def fit(self, rows: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, seed: int) -> Linear:
         z, n = np.zeros_like(self.weights), np.zeros_like(self.weights)
-        tail = np.arange(BUCKETS, BUCKETS + self.dense + 1)
+        tail = np.arange(self.buckets, self.buckets + self.dense + 1)
         rng = np.random.default_rng(seed)
         for _ in range(EPOCHS):
             for r in rng.permutation(len(rows)):
@@ -78,7 +78,7 @@ class Linear:
                 x[len(rows[r]) : len(at) - 1] = dense[r]
                 zr, nr = z[at], n[at]
                 # the dense inputs and the bias are not thinned out
-                l1 = np.where(at < BUCKETS, L1, 0.0)
+                l1 = np.where(at < self.buckets, L1, 0.0)
                 w = np.where(np.abs(zr) > l1, (np.sign(zr) * l1 - zr) / ((BETA + np.sqrt(nr)) / ALPHA + L2), 0.0)
                 p = 1 / (1 + np.exp(-np.clip((w * x).sum(), -30, 30)))
                 g = (p - labels[r]) * x
@@ -92,7 +92,7 @@ class Linear:
 
     def log_odds(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
         sums = np.array([self.weights[r].sum() for r in rows])
-        return sums + dense @ self.weights[BUCKETS : BUCKETS + self.dense] + self.weights[-1]
+        return sums + dense @ self.weights[self.buckets : self.buckets + self.dense] + self.weights[-1]
 
 
 class Chain(list):
@@ -106,16 +106,16 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, see
     return _fit_chain(rows, labels, folds, seed)[0]
 
 
-def _fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, seed: int = 11) -> tuple[list[Linear], np.ndarray]:
+def _fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, seed: int = 11, buckets: int = BUCKETS) -> tuple[list[Linear], np.ndarray]:
     """The models, and the out-of-fold log-odds of the last category."""
     dense, chain = np.zeros((len(rows), 0)), []
     for c in range(labels.shape[1]):
         outside = np.zeros(len(rows))
         for f in range(FOLDS):
             seen, unseen = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            model = Linear(c).fit([rows[i] for i in seen], dense[seen], labels[seen, c], seed)
+            model = Linear(c, buckets).fit([rows[i] for i in seen], dense[seen], labels[seen, c], seed)
             outside[unseen] = model.log_odds([rows[i] for i in unseen], dense[unseen])
-        chain.append(Linear(c).fit(rows, dense, labels[:, c], seed))
+        chain.append(Linear(c, buckets).fit(rows, dense, labels[:, c], seed))
         dense = np.column_stack([dense, _squash(outside)])
     return chain, outside
 
@@ -175,14 +175,18 @@ def _fit_rows(n_clean: int, n_toxic: int):
         targets = np.column_stack([weak & (toxic == 1)[:, None], toxic]).astype(np.float64)
         # a bucket of a single row says nothing about others
         common = np.bincount(np.concatenate([r[3] for r in rows]), minlength=BUCKETS) > 1
-        chain, outside = _fit_chain([r[3][common[r[3]]].astype(np.int64) for r in rows], targets, np.arange(len(rows)) % FOLDS)
+        # the models have a place for each common bucket, in the order of the buckets
+        used, place = np.flatnonzero(common), np.cumsum(common, dtype=np.int32) - 1
+        held = [place[r[3][common[r[3]]]] for r in rows]
+        del rows
+        chain, outside = _fit_chain(held, targets, np.arange(len(held)) % FOLDS, buckets=len(used))
         drawn, clean = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
         shift = np.log(max(1, n_toxic) / max(1, n_clean)) - np.log(drawn / clean)
         sent = [(-1, np.zeros(0, dtype=np.int64), 1 / (1 + np.exp(-np.array([cut(outside, toxic == 1) + shift]))))]
         for c, model in enumerate(chain):
             model.weights[-1] += shift
             at = np.flatnonzero(model.weights)
-            sent.append((c, at, model.weights[at]))
+            sent.append((c, np.append(used, np.arange(BUCKETS, BUCKETS + c + 1))[at], model.weights[at]))
         for c, at, weights in sent:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], names=["model", "at", "weights"])
 

@@ -73,6 +73,18 @@ def test_quality_scores_add_up_weights_and_do_not_depend_on_neighbours(spark):
         assert alone == got[i]
 
 
+def test_models_hold_the_buckets_that_rows_share(monkeypatch):
+    """Fitting takes places for common buckets only, and gives the weights that all places would have."""
+    rng = np.random.default_rng(5)
+    held = [np.unique(rng.integers(0, 400, 30) * 2003) for _ in range(60)]
+    labels = np.array([float(len(h) % 2) for h in held])
+    whole, _ = toxicity._fit_chain(held, np.column_stack([labels, labels]), np.arange(60) % toxicity.FOLDS)
+    used = np.unique(np.concatenate(held))
+    small, _ = toxicity._fit_chain([np.searchsorted(used, h) for h in held], np.column_stack([labels, labels]), np.arange(60) % toxicity.FOLDS, buckets=len(used))
+    for c, (a, b) in enumerate(zip(whole, small, strict=True)):
+        assert len(b.weights) == len(used) + c + 1 and np.array_equal(a.weights[used], b.weights[: len(used)]) and np.array_equal(a.weights[-c - 1 :], b.weights[-c - 1 :])
+
+
 def test_threshold_keeps_false_alarms_within_their_share():
     odds, toxic = np.array([-3.0, -2, -1, 0.5, 2, 3, -2.5]), np.array([False, False, False, False, True, True, True])
     assert toxicity.cut(odds, toxic, 0.0) == 1.25 and toxicity.cut(odds, toxic, 0.25) == 0.5
