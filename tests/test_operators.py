@@ -83,6 +83,22 @@ def test_stratified_split_is_exact_per_class_with_a_hot_class(spark):
     assert marked.exceptAll(again).count() == 0
 
 
+def test_stratified_split_ranks_only_the_bucket_in_which_the_share_ends(spark):
+    """Equal to ranking every class, with repeated keys, null keys and classes; no window over all rows."""
+    copies = spark.range(12000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 4000).alias("id"), F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("c"))
+    df = copies.unionByName(spark.createDataFrame([(1, 9), (None, 8)], "id long, c long"))
+    marked = split.stratified_split(df, "c", ["id"])
+    ranked = df.where("c is not null").withColumn("u", split.uniform("id", salt="42"))
+    whole = Window.partitionBy("c")
+    naive = ranked.withColumns({"rn": F.row_number().over(whole.orderBy("u", "id")), "n": F.count("*").over(whole)})
+    naive = naive.select("id", "c", F.when(F.col("rn") * 100 <= F.col("n") * 80, "TRAIN").otherwise("TEST").alias("split"))
+    assert sorted(map(str, marked.collect())) == sorted(map(str, naive.collect()))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    ranks = plan[plan.index("row_number()") :]
+    assert ranks.index("_edge") < ranks.index("Range (0, 12000")
+    assert not any("row_number()" in line and "_bucket" in line for line in plan.splitlines())
+
+
 def test_hash_split_is_disjoint_and_close_to_the_shares(spark):
     shares = {
         r[0]: r[1]
