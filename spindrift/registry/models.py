@@ -29,6 +29,11 @@ def input_marks(spark, sf, plays=None):
     return [store.mark(tables.plays(spark, sf) if plays is None else plays), store.mark(tables.members(spark, sf))]
 
 
+def encoded_once(spark, sf, plays=None):
+    """The encoded members, written once for all fits and scores of a query."""
+    return workdir.materialise(encoded(spark, sf, plays), "encoded")
+
+
 def session_model(spark, sf, rows=None, marks=None):
     """The stored session forest of these sessions and members (joined: ``rows``, if they are at hand); fitted first if there is none."""
     inputs = marks or [tables.plays(spark, sf), tables.members(spark, sf)]
@@ -145,22 +150,25 @@ def important_features(spark, sf):
 
 @query("ml15_test_predictions")
 def test_predictions(spark, sf):
-    scored = train.member_test(member_model(spark, sf, "denomination", "forest"), encoded(spark, sf), "denomination")
+    rows = encoded_once(spark, sf)
+    scored = train.member_test(member_model(spark, sf, "denomination", "forest", rows), rows, "denomination")
     return scored.select("member_id", "target", "predicted")
 
 
 @query("ml16_class_probabilities")
 def class_probabilities(spark, sf):
-    model = member_model(spark, sf, "denomination", "forest")
-    scored = train.member_test(model, encoded(spark, sf), "denomination")
+    rows = encoded_once(spark, sf)
+    model = member_model(spark, sf, "denomination", "forest", rows)
+    scored = train.member_test(model, rows, "denomination")
     return E.probabilities(scored, "member_id", E.labels_of(model))
 
 
 @query("ml17_score_members")
 def score_members(spark, sf):
-    models = {t: member_model(spark, sf, t, "forest") for t in ("denomination", "bet")}
+    rows, marks = encoded_once(spark, sf), input_marks(spark, sf)
+    models = {t: member_model(spark, sf, t, "forest", rows, marks) for t in ("denomination", "bet")}
     ids = tables.read(spark, sf, "events").select(F.col("user_id").alias("member_id")).distinct()
-    return scoring.score_members(models, encoded(spark, sf), ids)
+    return scoring.score_members(models, rows, ids)
 
 
 @query("ml18_score_members_in_context")

@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry_module
 from spindrift.ml import boosting, store
 from spindrift.ml import estimators as E
+from spindrift.registry import models as registry
+from spindrift.sources import workdir
 
 SF = "/root/testdata/sf0.001"
 FORESTS = ("ml06_forest_session_denomination", "ml08_win_rate_classifier", "ml14_feature_importance", "top05_important_features", "ml15_test_predictions", "ml16_class_probabilities", "ml17_score_members", "ml18_score_members_in_context", "ml19_what_if", "ml20_score_ship_days", "snk09_model_versions")
@@ -32,3 +34,38 @@ def test_ensembles_have_the_documented_size(spark, monkeypatch, tmp_path, name):
     with pytest.raises(Fitted) as asked:
         entry_module.queries()[name](spark, SF)
     assert replace(asked.value.args[0], seed=42) == SIZES[name]
+
+
+@pytest.mark.parametrize("name, models", [("ml15_test_predictions", 1), ("ml16_class_probabilities", 1), ("ml17_score_members", 2)])
+def test_members_are_encoded_and_read_once_for_all_models(spark, monkeypatch, name, models):
+    """All fits and scores of a query share one stored table of members, and two models share the marks of their inputs."""
+    written, asked = [], []
+    materialise = workdir.materialise
+
+    def stored(df, label):
+        written.append(label)
+        return materialise(df, label)
+
+    def fitted(spark, name, inputs, settings, fit, root=None):
+        asked.append((name, inputs, fit().sample))
+        raise Fitted if len(asked) == models else Again
+
+    class Again(Exception):
+        pass
+
+    def member_model(*args, call=registry.member_model):
+        try:
+            return call(*args)
+        except Again:
+            return None
+
+    monkeypatch.setattr(workdir, "materialise", stored)
+    monkeypatch.setattr(registry.train, "member_fit", lambda *args: None)
+    monkeypatch.setattr(store, "fitted", fitted)
+    monkeypatch.setattr(registry, "member_model", member_model)
+    with pytest.raises(Fitted):
+        entry_module.queries()[name](spark, SF)
+    assert written == ["encoded"]
+    assert len({id(rows) for _, _, rows in asked}) == 1
+    if models > 1:
+        assert all(isinstance(mark, str) for _, inputs, _ in asked for mark in inputs)
