@@ -135,3 +135,22 @@ def test_small_nodes_look_at_the_bins_that_hold_rows(monkeypatch):
     monkeypatch.setattr(forest, "_best_cut", cut)
     forest._grow(plan, 0, 0, x, y, w)
     assert len(seen) > 10 and all(cells <= rows for cells, rows in seen)
+
+
+def test_turns_change_nothing_about_a_subtree(monkeypatch):
+    """Growing a few nodes at a time to the bottom gives the nodes that growing level by level gives."""
+    rng = np.random.default_rng(5)
+    widths = (5, 12, 9, 40)
+    plan = forest._Plan(widths, np.array([True, True, False, False]), 3, 2, Trees(1, 8, min_rows=2, seed=4))
+    x = np.stack([rng.integers(0, w, 3000) for w in widths]).astype(np.uint8)
+    y = (x[0] + x[3] // 9 + rng.integers(0, 2, 3000)) % 3
+    w = rng.integers(1, 4, 3000).astype(np.uint8)
+    grown = []
+    for turn, dense in ((1 << 17, 4), (64, 4), (1, 1 << 40), (1 << 17, 0)):
+        monkeypatch.setattr(forest, "TURN", turn)
+        monkeypatch.setattr(forest, "DENSE", dense)
+        grown.append(forest._grow(plan, 0, 0, x, y, w))
+    assert len(grown[0][0]) > 50
+    for parts in grown[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(parts[:-1], grown[0][:-1], strict=True))
+        assert np.allclose(parts[-1], grown[0][-1])
