@@ -85,6 +85,38 @@ def test_models_hold_the_buckets_that_rows_share(monkeypatch):
         assert len(b.weights) == len(used) + c + 1 and np.array_equal(a.weights[used], b.weights[: len(used)]) and np.array_equal(a.weights[-c - 1 :], b.weights[-c - 1 :])
 
 
+def test_toxicity_learns_every_labelled_row(spark):
+    """Ids of all rows that a fit reads are those of all labelled rows, whatever the size of a block; the threshold is ``cut`` of all their scores."""
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" scum idiot" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    read, plain = spark.sparkContext.accumulator(0), toxicity._fit_block
+    scored = []
+
+    def counted(*args):
+        fit = plain(*args)
+
+        def run(key, table):
+            read.add(table.num_rows)
+            return fit(key, table)
+
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_fit_block", counted)
+        patch.setattr(toxicity, "LEAST", 10)
+        cut_rows = toxicity._cut_rows
+        patch.setattr(toxicity, "_cut_rows", lambda odds: scored.append([tuple(r) for r in odds.collect()]) or cut_rows(odds))
+        chain = toxicity.train(docs, labels, block_rows=100)
+    assert read.value == 400 and len(scored[0]) == 400
+    odds, toxic = np.array([o for _, o in scored[0]]), np.array([y == 1 for y, _ in scored[0]])
+    assert -math.log(1 / chain.threshold - 1) == pytest.approx(toxicity.cut(odds, toxic), abs=0.2)
+    got = {r.doc_id: r.rejected for r in toxicity.score_toxicity(docs, chain, carry=False).collect()}
+    assert all(got[i] == (y == 1) for i, _, y in rows)
+
+
 def test_threshold_keeps_false_alarms_within_their_share():
     odds, toxic = np.array([-3.0, -2, -1, 0.5, 2, 3, -2.5]), np.array([False, False, False, False, True, True, True])
     assert toxicity.cut(odds, toxic, 0.0) == 1.25 and toxicity.cut(odds, toxic, 0.25) == 0.5
