@@ -1,11 +1,15 @@
 """Random forests of many deep trees without a histogram of every node.
 
 A node with many rows gets its split from histograms that tasks add up and one group a tree sums
-(level by level, as in ``boosting``). As soon as a node holds ``LOCAL_ROWS`` rows at most, its rows
-go to one group a node, which grows the subtree below. So what moves is a row's bins, once for each
-tree that drew it, and the histograms of a bounded number of large nodes. Counts are whole numbers,
-draws and feature choices are hashes of (row, tree) and (tree, node): where a subtree is grown
-changes nothing about it.
+(level by level, as in ``boosting``). As soon as a node holds ``LOCAL_ROWS`` rows at most, one task
+grows the subtree below. Such a task reads the stored table block by block and keeps the rows that
+its nodes drew, so no row is shuffled or written for a tree. A tree that would need more than
+``READS`` such tasks gets smaller subtrees (``DEALT_ROWS``) instead, whose rows are shuffled to one group
+a node. Counts are whole numbers, draws and feature choices are hashes of (row, tree) and (tree,
+node): where a subtree is grown changes nothing about it.
+
+A row is a record of its bins, its class and its weight, a few bytes in a fixed place each; rows
+of a node lie next to each other, so that a level reads them in order.
 
 Splits are those of MLlib's forests: Gini, the square root of the number of features a node (all for
 one tree), Poisson weights, all subsets of a short category, longer ones in the order of impurity, and
@@ -17,24 +21,29 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, e, factorial, sqrt
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import bounded_batches
 from spindrift.ml.boosting import Trees, _edges, _value
 from spindrift.sources import workdir
 
-#: Rows of a node whose subtree one group grows.
-LOCAL_ROWS = 1 << 20
+#: Rows of all nodes whose subtrees one task grows from the stored table, and tasks of a tree that do so at most.
+LOCAL_ROWS = 1 << 25
+READS = 8
+#: Rows of a node whose subtree one group grows from shuffled rows.
+DEALT_ROWS = 1 << 20
 # fixed values: a category of at most so many codes is tried in all subsets; rows of a turn and of a task at once
 SHORT = 7
 TURN = 1 << 17
-CHUNK = 1 << 16
+BLOCK = 1 << 16
 # rows for each bin from which bins without rows are not looked for
 DENSE = 4
 _POISSON = np.searchsorted(np.cumsum([65536 / e / factorial(k) for k in range(9)]), np.arange(65536) + 0.5).astype(np.uint8)
@@ -102,7 +111,13 @@ class _Plan:
 
     @property
     def kind(self):
-        return np.uint8 if max(self.widths) <= 256 else np.uint16
+        return np.uint8 if max(*self.widths, self.classes) <= 256 else np.uint16
+
+    @property
+    def step(self) -> int:
+        """Numbers of a record: the bins, the class, the weight and what fills it up to 8 bytes."""
+        size = np.dtype(self.kind).itemsize
+        return -(-(len(self.widths) + 2) * size // 8) * 8 // size
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,9 +237,9 @@ class _Splits:
 
 
 def _right(category: np.ndarray, x, rows, at, feature, cut, masks, mask_at) -> np.ndarray:
-    """Whether rows go right at their (inner) nodes."""
+    """Whether rows of ``x`` go right at their (inner) nodes."""
     f = feature[at]
-    value = x.reshape(-1).take(f.astype(np.int64) * x.shape[1] + rows).astype(np.int64)
+    value = x.reshape(-1).take(rows * x.shape[1] + f).astype(np.int64)
     right = value > cut[at]
     coded = np.flatnonzero(category[f])
     if len(coded):
@@ -233,77 +248,212 @@ def _right(category: np.ndarray, x, rows, at, feature, cut, masks, mask_at) -> n
     return right
 
 
-def _best(plan: _Plan, f: int, place: np.ndarray, bins: np.ndarray, y: np.ndarray, w: np.ndarray, whole: np.ndarray):
-    """The best split of ``f`` in each of some nodes from the place of their node, the bin, class and weight of their rows."""
-    n, width = len(whole), plan.widths[f]
-    cell = place * width
-    cell += bins
-    if _all_subsets(plan, f) or n * width * DENSE <= len(y):
+def _turns(count: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of nodes with about as many rows as stay in a core's cache; a node of more rows is alone."""
+    if not len(count):
+        return []
+    large = count > TURN
+    turn = np.cumsum(np.where(large, 0, count)) // TURN
+    ends = np.flatnonzero((np.diff(turn) > 0) | large[1:] | large[:-1]) + 1
+    return list(zip([0, *ends.tolist()], [*ends.tolist(), len(count)], strict=True))
+
+
+def _open(plan: _Plan, level: int, whole: np.ndarray) -> np.ndarray:
+    """Which nodes of a level may be split, by the weights of their classes."""
+    return (whole.sum(axis=1) >= 2 * plan.trees.min_rows) & ((whole > 0).sum(axis=1) > 1) & (level < plan.trees.depth)
+
+
+def _records(plan: _Plan, x: Sequence[np.ndarray], y: np.ndarray, w: np.ndarray | int) -> np.ndarray:
+    """Records of rows from their bins (by feature), classes and weights."""
+    rows = np.zeros((len(y), plan.step), dtype=plan.kind)
+    for i, column in enumerate((*x, y, w)):
+        rows[:, i] = column
+    return rows
+
+
+def _take(rows: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Some records, moved as whole numbers of 8 bytes."""
+    if out is not None:
+        np.take(rows.view(np.uint64), at, axis=0, out=out.view(np.uint64), mode="clip")
+        return out
+    return rows.view(np.uint64).take(at, axis=0).view(rows.dtype)
+
+
+def _node_sums(plan: _Plan, rows: np.ndarray, chosen: np.ndarray):
+    """Cells and class sums of every chosen feature of one node, turn by turn."""
+    n = len(plan.widths)
+    sums = {int(f): np.zeros(plan.widths[f] * plan.classes) for f in np.flatnonzero(chosen[0])}
+    for i in range(0, len(rows), TURN):
+        part = rows[i : i + TURN]
+        y, w = part[:, n].astype(np.int64), part[:, n + 1].astype(np.float64)
+        for f, total in sums.items():
+            cell = part[:, f].astype(np.int64)
+            cell *= plan.classes
+            cell += y
+            total += np.bincount(cell, weights=w, minlength=len(total))
+    return {f: (np.arange(plan.widths[f]), total.reshape(-1, plan.classes)) for f, total in sums.items()}
+
+
+def _turn_sums(plan: _Plan, rows: np.ndarray, count: np.ndarray, chosen: np.ndarray):
+    """Cells (as in ``_best_cut``) and class sums of every feature in the nodes that may split it.
+
+    All nodes may split equally many features, so the rows are gone through once for the first of
+    these features of each node, once for the second and so on. A feature with too many bins for its rows
+    gets only those that hold rows.
+    """
+    n, m = len(plan.widths), len(count)
+    nodes = [np.flatnonzero(chosen[:, f]) for f in range(n)]
+    full = [_all_subsets(plan, f) or len(nodes[f]) * plan.widths[f] * DENSE <= int(count[nodes[f]].sum()) for f in range(n)]
+    nth = np.cumsum(chosen, axis=1) - 1
+    feature = np.nonzero(chosen)[1].reshape(m, -1)
+    first, places, end = np.zeros_like(feature), {}, 0
+    for f in sorted(range(n), key=lambda f: not full[f]):
+        if len(nodes[f]):
+            first[nodes[f], nth[nodes[f], f]] = end + np.arange(len(nodes[f])) * plan.widths[f]
+            places[f] = (end, end + len(nodes[f]) * plan.widths[f])
+            end = places[f][1]
+    dense = max([0, *(places[f][1] for f in places if full[f])])
+    flat, start = rows.reshape(-1), np.arange(len(rows)) * plan.step
+    y, w = rows[:, n].astype(np.int64), rows[:, n + 1].astype(np.float64)
+    cells = []
+    for k in range(feature.shape[1]):
+        cell = flat.take(start + np.repeat(feature[:, k], count)).astype(np.int64)
+        cell += np.repeat(first[:, k], count)
+        cells.append(cell)
+    rank = None
+    if dense < end:
+        held = np.zeros(end, dtype=bool)
+        held[:dense] = True
+        for cell in cells:
+            held[cell] = True
+        rank = np.cumsum(held) - 1
+    size = (end if rank is None else int(rank[-1]) + 1) * plan.classes
+    sums = np.zeros(size)
+    for cell in cells:
+        cell = cell if rank is None else rank.take(cell)
         cell *= plan.classes
         cell += y
-        sums = np.bincount(cell, weights=w, minlength=n * width * plan.classes)
-        if _all_subsets(plan, f):
-            return _best_subset(plan, f, sums.reshape(n, width, plan.classes), whole)
-        return _best_cut(plan, f, np.arange(n * width), sums.reshape(-1, plan.classes), whole)
-    held = np.zeros(n * width, dtype=bool)
-    held[cell] = True
-    cells = np.flatnonzero(held)
-    rank = np.cumsum(held) - 1
-    sums = np.bincount(rank[cell] * plan.classes + y, weights=w, minlength=len(cells) * plan.classes)
-    return _best_cut(plan, f, cells, sums.reshape(-1, plan.classes), whole)
+        sums += np.bincount(cell, weights=w, minlength=size)
+    sums = sums.reshape(-1, plan.classes)
+    out = {}
+    for f, (low, high) in places.items():
+        if full[f]:
+            out[f] = (np.arange(high - low), sums[low:high])
+        else:
+            at = np.flatnonzero(held[low:high])
+            out[f] = (at, sums[rank[low + at[0]] : rank[low + at[0]] + len(at)])
+    return out
 
 
-def _turns(nodes: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Nodes in turns of about as many rows as stay in a core's cache."""
-    turn = np.cumsum(count) // TURN
-    return np.split(nodes, np.flatnonzero(np.diff(turn)) + 1) if len(nodes) else []
+def _goes_right(plan: _Plan, found: _Splits, nodes: np.ndarray) -> np.ndarray:
+    """For each bin of the split feature of some nodes whether its rows go right."""
+    widest = max(plan.widths)
+    right = np.arange(widest)[None, :] > found.cut[nodes][:, None]
+    coded = np.flatnonzero(plan.category[found.feature[nodes]])
+    right[coded] = np.unpackbits(found.masks[nodes[coded]], axis=1, bitorder="little")[:, :widest] == 0
+    return right
 
 
 def _grow(plan: _Plan, tree: int, root: int, x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """The subtree of ``root`` from its rows: parts of nodes in the order of their ids, and what each feature saved.
+    """The subtree of ``root`` from the bins (by feature), classes and weights of its rows."""
+    return _grow_records(plan, tree, root, _records(plan, x, y, w))
+
+
+def _grow_records(plan: _Plan, tree: int, root: int, rows: np.ndarray):
+    """The subtree of ``root`` from the records of its rows: parts of nodes in the order of their ids, and what each feature saved.
 
-    Rows are kept in the order of their nodes, so a feature touches only rows of nodes that may split it.
+    The records of a node lie next to each other; those of its children take the same place in a second
+    array, and so on in turn. The nodes of a turn are grown to the bottom before the next turn.
     """
-    saved, out = np.zeros(len(plan.widths)), []
+    n, classes, widest = len(plan.widths), plan.classes, max(plan.widths)
+    saved, out = np.zeros(n), []
+    no_masks = np.zeros((0, -(-widest // 8)), dtype=np.uint8)
+
+    def leaves(heap, whole):
+        out.append((heap, np.full(len(heap), -1, dtype=np.int16), np.zeros(len(heap), dtype=np.int32), no_masks, whole))
+
     level = (root + 1).bit_length() - 1
-    todo = [(level, np.array([root], dtype=np.int64), np.zeros(len(y), dtype=np.int64), x, y.astype(np.uint16), w)]
+    heap, whole = np.array([root], dtype=np.int64), np.zeros((1, classes))
+    for i in range(0, len(rows), TURN):
+        whole[0] += np.bincount(rows[i : i + TURN, n], weights=rows[i : i + TURN, n + 1], minlength=classes)
+    todo = []
+    if _open(plan, level, whole)[0]:
+        todo.append((level, heap, np.array([len(rows)]), whole, 0, 0))
+    else:
+        leaves(heap, whole)
+    both = (rows, np.empty_like(rows) if todo else rows)
     while todo:
-        level, heap, at, x, y, w = todo.pop()
-        m = len(heap)
-        count = np.bincount(at, minlength=m)
-        whole = np.bincount(at * plan.classes + y, weights=w, minlength=m * plan.classes).reshape(m, plan.classes)
-        size = whole.sum(axis=1)
-        found = _Splits(plan, m)
-        open_ = (size >= 2 * plan.trees.min_rows) & ((whole > 0).sum(axis=1) > 1) & (level < plan.trees.depth)
-        chosen = _choice(plan, tree, heap) & open_[:, None]
-        first = np.cumsum(count) - count
-        for f in range(len(plan.widths)):
-            nodes = np.flatnonzero(chosen[:, f])
-            for part in _turns(nodes, count[nodes]):
-                rows = _ranges(first[part], count[part])
-                place = np.repeat(np.arange(len(part)), count[part])
-                found.offer(plan, f, part, _best(plan, f, place, x[f].take(rows), y.take(rows), w.take(rows), whole[part]), size)
+        level, heap, count, whole, side, low = todo.pop()
+        m, total = len(heap), int(count.sum())
+        own, other = both[side][low : low + total], both[1 - side][low : low + total]
+        chosen = _choice(plan, tree, heap)
+        found, size = _Splits(plan, m), whole.sum(axis=1)
+        alone = m == 1 and total > TURN
+        for f, (cells, sums) in sorted((_node_sums(plan, own, chosen) if alone else _turn_sums(plan, own, count, chosen)).items()):
+            part = np.flatnonzero(chosen[:, f])
+            best = _best_subset(plan, f, sums.reshape(len(part), -1, classes), whole[part]) if _all_subsets(plan, f) else _best_cut(plan, f, cells, sums, whole[part])
+            found.offer(plan, f, part, best, size)
         inner = found.feature >= 0
         np.add.at(saved, found.feature[inner], found.gain[inner])
         out.append((heap, found.feature, found.cut, found.masks[inner & plan.category[found.feature]], whole[~inner]))
-        rows = np.flatnonzero(inner[at])
-        to = at[rows]
-        right = _right(plan.category, x, rows, to, found.feature, found.cut, found.masks, np.arange(m))
-        to = 2 * (np.cumsum(inner) - 1)[to] + right
-        # short numbers are sorted by counting
-        order = np.argsort(to.astype(np.uint16) if 2 * m < 1 << 16 else to, kind="stable")
-        rows, at = rows[order], to[order]
+        if not inner.any():
+            continue
+        goes = _goes_right(plan, found, np.arange(m))
         heap = (2 * heap[inner][:, None] + np.array([1, 2])[None, :]).ravel()
-        # nodes of a turn are grown to the bottom before the next turn
-        ends = np.cumsum(np.bincount(at, minlength=len(heap)))
-        for part in _turns(np.arange(len(heap)), np.diff(ends, prepend=0)):
-            i, j = part[0], part[-1] + 1
-            own = slice(ends[i - 1] if i else 0, ends[j - 1])
-            todo.append((level + 1, heap[i:j], at[own] - i, x.take(rows[own], axis=1), y.take(rows[own]), w.take(rows[own])))
+        if alone:
+            count, whole = _halved(plan, own, other, int(found.feature[0]), goes[0], level + 1)
+            keep = _open(plan, level + 1, whole)
+            if not keep[0]:
+                low += int(count[0])
+        else:
+            # rows of leaves go behind all others
+            child = np.where(inner, 2 * (np.cumsum(inner) - 1), 2 * int(inner.sum()))
+            value = own.reshape(-1).take(np.arange(total) * plan.step + np.repeat(np.maximum(found.feature, 0).astype(np.int64), count)).astype(np.int64)
+            value += np.repeat(np.arange(m) * widest, count)
+            goes[~inner] = False
+            to = np.repeat(child, count)
+            to += goes.reshape(-1).take(value)
+            many = len(heap)
+            whole = np.bincount(to * classes + own[:, n], weights=own[:, n + 1], minlength=(many + 1) * classes).reshape(-1, classes)[:many]
+            keep = _open(plan, level + 1, whole)
+            if keep.any():
+                kept = int(keep.sum())
+                if kept < many:
+                    to = np.append(np.where(keep, np.cumsum(keep) - 1, kept), kept).take(to)
+                count = np.bincount(to, minlength=kept)[:kept]
+                # short numbers are sorted by counting
+                order = np.argsort(to.astype(np.uint16) if many < 1 << 16 else to, kind="stable")[: int(count.sum())]
+                _take(own, order, other[: len(order)])
+        if not keep.all():
+            leaves(heap[~keep], whole[~keep])
+        heap, whole = heap[keep], whole[keep]
+        count = count[keep] if alone else count
+        if not keep.any():
+            continue
+        ends = np.cumsum(count)
+        for i, j in _turns(count):
+            todo.append((level + 1, heap[i:j], count[i:j], whole[i:j], 1 - side, low + int(ends[i] - count[i])))
     ids, feature, cut, masks, counts = (np.concatenate(c) for c in zip(*out, strict=True))
     return (*_pruned(plan, ids, feature, cut, masks, counts), saved)
 
 
+def _halved(plan: _Plan, own: np.ndarray, other: np.ndarray, f: int, goes: np.ndarray, level: int):
+    """Rows and class weights of the two children of a large node; its rows are dealt to both ends of ``other``."""
+    n = len(plan.widths)
+    left, right, whole = 0, len(own), np.zeros((2, plan.classes))
+    for i in range(0, len(own), TURN):
+        part = own[i : i + TURN]
+        to = goes.take(part[:, f])
+        whole += np.bincount(to * np.int64(plan.classes) + part[:, n], weights=part[:, n + 1], minlength=2 * plan.classes).reshape(2, -1)
+        if level < plan.trees.depth:
+            second = np.flatnonzero(to)
+            first = np.flatnonzero(~to)
+            _take(part, first, other[left : left + len(first)])
+            _take(part, second, other[right - len(second) : right])
+            left, right = left + len(first), right - len(second)
+    return np.array([left, len(own) - left]), whole
+
+
 def _pruned(plan: _Plan, ids, feature, cut, masks, counts):
     """Siblings that are leaves and predict the same class become one leaf; nodes come in the order of their ids."""
     order = np.argsort(ids, kind="stable")
@@ -347,7 +497,7 @@ class _Top:
     def __init__(self, plan: _Plan):
         self.feature, self.cut, self.mask_at = np.full(1, -1, dtype=np.int16), np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int64)
         self.masks = np.zeros((1, -(-max(plan.widths) // 8)), dtype=np.uint8)
-        self.local, self.leaves = np.zeros(0, dtype=np.int64), {}
+        self.local, self.sizes, self.leaves = [], [], {}
 
     def split(self, node: int, feature: int, cut: int, mask: np.ndarray) -> None:
         if 2 * node + 3 > len(self.feature):
@@ -367,26 +517,11 @@ class _Top:
             at[go] = 2 * at[go] + 1 + _right(plan.category, x, rows[go], at[go], self.feature, self.cut, self.masks, self.mask_at)
 
 
-def _decode(plan: _Plan, b: pa.RecordBatch):
-    """Bins by feature, classes and draws of the rows of a batch."""
-    column = b.column(0)
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + b.num_rows + 1] if b.num_rows else [0, 0]
-    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(plan.kind) if b.num_rows else np.zeros(0, dtype=plan.kind)
-    x = np.ascontiguousarray(flat.reshape(b.num_rows, len(plan.widths)).T)
-    return x, b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().view(np.uint64)
-
-
-def _chunks(plan: _Plan, batches):
-    """Decoded batches, joined until they hold ``CHUNK`` rows."""
-    held, n = [], 0
+def _blocks(plan: _Plan, batches):
+    """Records and draws of the blocks of a stored table."""
     for b in batches:
-        held.append(_decode(plan, b))
-        n += b.num_rows
-        if n >= CHUNK:
-            yield tuple(np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
-            held, n = [], 0
-    if n:
-        yield tuple(np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
+        for rows, draw in zip(b.column(0), b.column(1), strict=True):
+            yield np.frombuffer(rows.as_buffer(), dtype=plan.kind).reshape(-1, plan.step), np.frombuffer(draw.as_buffer(), dtype=np.uint64)
 
 
 def _sum_top(plan: _Plan, sent):
@@ -396,7 +531,8 @@ def _sum_top(plan: _Plan, sent):
         tops, opened = sent.value
         chosen = {t: _choice(plan, t, nodes) for t, nodes in opened.items()}
         sums = {t: [np.zeros((int(c[:, f].sum()), plan.widths[f], plan.classes)) for f in range(len(plan.widths))] for t, c in chosen.items()}
-        for x, y, draw in _chunks(plan, batches):
+        for x, draw in _blocks(plan, batches):
+            y = x[:, len(plan.widths)].astype(np.int64)
             for t, nodes in opened.items():
                 w = _weights(plan, draw, t)
                 rows = np.flatnonzero(w)
@@ -411,7 +547,7 @@ def _sum_top(plan: _Plan, sent):
                     some = np.flatnonzero(chosen[t][:, f])
                     if len(some):
                         use = _ranges(first[some], count[some])
-                        cell = np.repeat(np.arange(len(some)), count[some]) * plan.widths[f] + x[f].take(rows[use])
+                        cell = np.repeat(np.arange(len(some)), count[some]) * plan.widths[f] + x[rows[use], f]
                         size = len(some) * plan.widths[f] * plan.classes
                         sums[t][f] += np.bincount(cell * plan.classes + classes[use], weights=weights[use], minlength=size).reshape(sums[t][f].shape)
         held = [np.concatenate([s.ravel() for s in of]).astype(np.int64).tobytes() for of in sums.values()]
@@ -459,22 +595,34 @@ def _best_top(plan: _Plan, sent):
     return best
 
 
+def _drawn(plan: _Plan, top: _Top, tree: int, roots: np.ndarray, rows: np.ndarray, draw: np.ndarray):
+    """The records of a block that a tree drew into each of some of its nodes, with their weights."""
+    w = _weights(plan, draw, tree)
+    drawn = np.flatnonzero(w)
+    if len(top.feature) > 1:
+        at = top.route(plan, rows, drawn)
+        place = np.searchsorted(roots, at)
+        hit = np.flatnonzero(roots[np.minimum(place, len(roots) - 1)] == at)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        there, first = np.unique(at[order], return_index=True)
+        parts = [drawn[p] for p in np.split(order, first[1:])] if len(there) else []
+    else:
+        there, parts = roots, [drawn]
+    for root, part in zip(there.tolist(), parts, strict=True):
+        found = _take(rows, part)
+        found[:, len(plan.widths) + 1] = w[part]
+        yield root, found
+
+
 def _deal(plan: _Plan, sent):
-    """The rows of every node whose subtree is still to be grown: one row a batch, tree and node."""
+    """The rows of every node whose subtree is still to be grown: one row a block, tree and node."""
 
     def rows(batches):
-        for x, y, draw in _chunks(plan, batches):
+        for x, draw in _blocks(plan, batches):
             for t, top in sent.value.items():
-                w = _weights(plan, draw, t)
-                drawn = np.flatnonzero(w)
-                at = top.route(plan, x, drawn)
-                place = np.searchsorted(top.local, at)
-                hit = np.flatnonzero(top.local[np.minimum(place, len(top.local) - 1)] == at)
-                order = hit[np.argsort(at[hit], kind="stable")]
-                roots, first = np.unique(at[order], return_index=True)
-                parts = [drawn[p] for p in np.split(order, first[1:])] if len(roots) else []
-                columns = [[x[:, p].tobytes() for p in parts], [y[p].astype(np.uint16).tobytes() for p in parts], [w[p].tobytes() for p in parts]]
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(roots), pa.int32()), pa.array(roots, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["tree", "root", "x", "y", "w"])
+                found = list(_drawn(plan, top, t, top.local, x, draw))
+                columns = [pa.array([t] * len(found), pa.int32()), pa.array([r for r, _ in found], pa.int64()), pa.array([p.tobytes() for _, p in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", "root", "rows"])
 
     return rows
 
@@ -484,35 +632,114 @@ _NODES = "tree int, " + ", ".join(f"{n} binary" for n in _NODE_NAMES[1:])
 _NODE_TYPES = (np.int64, np.int16, np.int32, np.uint8, np.uint32, np.float64)
 
 
-def _grow_local(plan: _Plan):
-    def grow(key, table):
-        tree, root = key[0].as_py(), key[1].as_py()
+def _grown(plan: _Plan, tree: int, root: int, rows: np.ndarray) -> list[list]:
+    """A row of ``_NODES``, column by column."""
+    parts = _grow_records(plan, tree, root, rows)
+    return [[tree], *[[np.ascontiguousarray(p.astype(k)).tobytes()] for p, k in zip(parts, _NODE_TYPES, strict=True)]]
 
-        def held(column, kind):
-            return [np.frombuffer(s.as_buffer(), dtype=kind) for s in table.column(column)]
 
-        x = np.concatenate([p.reshape(len(plan.widths), -1) for p in held("x", plan.kind)], axis=1)
-        parts = _grow(plan, tree, root, x, np.concatenate(held("y", np.uint16)).astype(np.int64), np.concatenate(held("w", np.uint8)))
-        columns = [[tree], *[[np.ascontiguousarray(p.astype(k)).tobytes()] for p, k in zip(parts, _NODE_TYPES, strict=True)]]
+def _grow_dealt(plan: _Plan):
+    def grow(key, table):
+        rows = np.concatenate([np.frombuffer(s.as_buffer(), dtype=plan.kind) for s in table.column("rows")]).reshape(-1, plan.step)
+        columns = _grown(plan, key[0].as_py(), key[1].as_py(), rows)
         return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_NODE_NAMES)
 
     return grow
 
 
-def _bin_rows(edges: list[np.ndarray], kind):
+def _grow_read(plan: _Plan, sent):
+    """Every subtree of a job, from all blocks of the table."""
+
+    def grow(batches):
+        tops, jobs = sent.value
+        held: dict[tuple[int, int], list] = {}
+        job = None
+
+        def grown():
+            for t, root in list(held):
+                columns = _grown(plan, t, root, np.concatenate(held.pop((t, root))))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_NODE_NAMES)
+
+        for b in batches:
+            for of, (rows, draw) in zip(b.column(2).to_pylist(), _blocks(plan, [b]), strict=True):
+                if of != job:
+                    yield from grown()
+                    job = of
+                for t, roots in jobs[job].items():
+                    for root, part in _drawn(plan, tops[t], t, roots, rows, draw):
+                        held.setdefault((t, root), []).append(part)
+        yield from grown()
+
+    return grow
+
+
+def _jobs(tops: dict[int, _Top], cores: int) -> list[dict[int, np.ndarray]]:
+    """Nodes to be grown, by tree, dealt to jobs of at most ``LOCAL_ROWS`` rows, a few jobs for each core."""
+    roots = [(t, int(node), size) for t, top in tops.items() for node, size in zip(top.local, top.sizes, strict=True)]
+    total = sum(r[2] for r in roots)
+    most = min(LOCAL_ROWS, total / (cores if total < 1 << 22 else 4 * cores))
+    jobs, held = [], 0
+    for t, node, size in roots:
+        if not jobs or held + size > most:
+            jobs.append({})
+            held = 0
+        jobs[-1].setdefault(t, []).append(node)
+        held += size
+    return [{t: np.sort(np.array(nodes, dtype=np.int64)) for t, nodes in job.items()} for job in jobs]
+
+
+def _inputs(features: Sequence[str], categories: dict[str, list[str]]) -> list[Column]:
+    """What tasks need of each feature: the text of a category, the value of a number."""
+    return [(F.col(f).cast("string") if f in categories else _value(f, categories)).alias(f"x{i}") for i, f in enumerate(features)]
+
+
+def _bins(features: Sequence[str], categories: dict[str, list[str]], edges: list[np.ndarray], columns: Sequence[pa.Array]) -> list[np.ndarray]:
+    """The bin of every row in each feature; values that a category does not know come behind all it knows."""
+    out = []
+    for f, e, column in zip(features, edges, columns, strict=True):
+        if f in categories:
+            known = pa.array(categories[f], pa.string())
+            out.append(pc.index_in(column.cast(pa.string()), value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False))
+        else:
+            out.append(np.searchsorted(e, column.to_numpy(zero_copy_only=False), side="left"))
+    return out
+
+
+def _bin_rows(plan: _Plan, features: Sequence[str], categories: dict[str, list[str]], edges: list[np.ndarray]):
+    """Blocks of records and draws from classes, draws and the inputs of the features."""
+
     def rows(batches):
+        held, draws, n = [], [], 0
+
+        def block():
+            columns = [np.concatenate(held).tobytes(), np.concatenate(draws).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["rows", "draws"])
+
         for b in batches:
-            n, width = b.num_rows, len(edges)
-            x = b.column(0).flatten().to_numpy().reshape(n, width)
-            coded = np.ascontiguousarray(np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)]).astype(kind))
-            size = width * coded.itemsize
-            ends = pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32).tobytes()) if n else pa.py_buffer(np.zeros(1, dtype=np.int32).tobytes())
-            binary = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(coded.tobytes())])
-            yield pa.RecordBatch.from_arrays([binary, b.column(1), b.column(2)], names=["x", "y", "draw"])
+            if b.num_rows:
+                held.append(_records(plan, _bins(features, categories, edges, b.columns[2:]), b.column(0).to_numpy(), 0))
+                draws.append(b.column(1).to_numpy())
+                n += b.num_rows
+            if n >= BLOCK:
+                yield block()
+                held, draws, n = [], [], 0
+        if n:
+            yield block()
 
     return rows
 
 
+def _apart(df: DataFrame) -> list:
+    """Rows of a union whose sides have a partition each; Spark would make one task of them all."""
+    conf, setting = df.sparkSession.conf, "spark.sql.unionOutputPartitioning"
+    before = conf.get(setting, None)
+    conf.set(setting, "false")
+    try:
+        return df.collect()
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
+
+
 def fit(
     train: DataFrame, label: str, labels: Sequence[str], categories: Sequence[str] = (), known: Sequence[Sequence[str]] = (), numbers: Sequence[str] = (),
     trees: Trees = Trees(100, 15, min_rows=5), bins: int = 64, draw: str = "draw", local_rows: int | None = None,
@@ -520,9 +747,9 @@ def fit(
     """Fit a forest of the classes ``labels`` of a stored frame; rows of other classes are left out.
 
     ``known`` are the values of each category, ``draw`` a long column, different in every row, from
-    which the trees draw; a node of at most ``local_rows`` drawn rows is grown by one group.
+    which the trees draw; a node of at most ``local_rows`` drawn rows is grown by one task.
     """
-    spark, local_rows = train.sparkSession, local_rows or LOCAL_ROWS
+    spark = train.sparkSession
     features = (*categories, *numbers)
     named = {c: list(v) for c, v in zip(categories, known, strict=True)}
     y = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label).cast("string")) - 1
@@ -536,11 +763,10 @@ def fit(
     edges = [_edges(named[f], None) for f in categories] + [_edges(None, q) for q in quantiles]
     few = len(features) if trees.rounds == 1 else ceil(sqrt(len(features)))
     plan = _Plan(tuple(len(x) + 1 for x in edges), np.array([f in named for f in features]), len(labels), few, trees)
-    coded = rows.select(F.array(*values).alias("x"), "_y", F.col(draw).alias("draw"))
-    # every task goes through all trees, so there are a few for each core and more for many rows
-    cores = spark.sparkContext.defaultParallelism
-    coded = coded.repartition(max(1, min(4 * cores, n >> 14), n >> 18), "draw")
-    table = workdir.materialise(coded.mapInArrow(_bin_rows(edges, plan.kind), "x binary, y int, draw long"), "forest")
+    reads = n <= READS * LOCAL_ROWS
+    local_rows = local_rows or (LOCAL_ROWS if reads else DEALT_ROWS)
+    coded = rows.select("_y", F.col(draw).alias("draw"), *_inputs(features, named))
+    table = bounded_batches(workdir.materialise(coded.mapInArrow(_bin_rows(plan, features, named, edges), "rows binary, draws binary"), "forest"))
 
     tops = {t: _Top(plan) for t in range(trees.rounds)}
     opened = {}
@@ -548,7 +774,7 @@ def fit(
         if n > local_rows and trees.depth > 0:
             opened[t] = np.zeros(1, dtype=np.int64)
         else:
-            top.local = np.zeros(1, dtype=np.int64)
+            top.local, top.sizes = [0], [n]
     saved = np.zeros((trees.rounds, len(features)))
     while opened:
         sent = spark.sparkContext.broadcast((tops, opened))
@@ -567,19 +793,28 @@ def fit(
                 if deepest or (held > 0).sum() < 2:
                     top.leaves[child] = held
                 elif held.sum() <= local_rows:
-                    top.local = np.append(top.local, child)
+                    top.local.append(child)
+                    top.sizes.append(held.sum())
                 else:
                     opened.setdefault(r["tree"], []).append(child)
         opened = {t: np.sort(np.array(v, dtype=np.int64)) for t, v in opened.items()}
-    for top in tops.values():
-        top.local = np.sort(top.local)
-    sent = spark.sparkContext.broadcast({t: top for t, top in tops.items() if len(top.local)})
-    groups = sum(len(top.local) for top in tops.values())
-    # more partitions than groups leave few partitions with several of them
-    deal = max(1, min(2 * groups, max(32 * cores, n * trees.rounds // local_rows)))
-    dealt = table.mapInArrow(_deal(plan, sent), "tree int, root long, x binary, y binary, w binary").repartition(deal, "tree", "root")
+    if reads:
+        jobs = _jobs(tops, spark.sparkContext.defaultParallelism)
+        sent = spark.sparkContext.broadcast(({t: top for t, top in tops.items() if top.local}, jobs))
+        # a task a job, which reads the whole table
+        whole = [table.coalesce(1).withColumn("job", F.lit(i)) for i in range(len(jobs))]
+        subtrees = _apart(reduce(DataFrame.unionAll, whole).mapInArrow(_grow_read(plan, sent), _NODES)) if jobs else []
+    else:
+        for top in tops.values():
+            top.local = np.sort(np.array(top.local, dtype=np.int64))
+        sent = spark.sparkContext.broadcast({t: top for t, top in tops.items() if len(top.local)})
+        groups = sum(len(top.local) for top in tops.values())
+        # more partitions than groups leave few partitions with several of them
+        deal = max(1, min(2 * groups, max(32 * spark.sparkContext.defaultParallelism, n * trees.rounds // local_rows)))
+        dealt = table.mapInArrow(_deal(plan, sent), "tree int, root long, rows binary").repartition(deal, "tree", "root")
+        subtrees = dealt.groupBy("tree", "root").applyInArrow(_grow_dealt(plan), _NODES).collect()
     grown: dict[int, list] = {t: [] for t in tops}
-    for r in dealt.groupBy("tree", "root").applyInArrow(_grow_local(plan), _NODES).collect():
+    for r in subtrees:
         parts = [np.frombuffer(r[c], dtype=k) for c, k in zip(_NODE_NAMES[1:], _NODE_TYPES, strict=True)]
         parts[3], parts[4] = parts[3].reshape(-1, -(-max(plan.widths) // 8)), parts[4].reshape(-1, plan.classes)
         saved[r["tree"]] += parts[5]
@@ -604,16 +839,40 @@ def _whole(plan: _Plan, top: _Top, parts: list) -> Tree:
     return _tree(plan, *_pruned(plan, *joined))
 
 
-def _votes(model: Forest, category: np.ndarray, x: np.ndarray) -> np.ndarray:
+class _Steps(NamedTuple):
+    """How rows go down a tree: the split feature of each node, where its row of ``right`` begins (a place
+    a bin, whether it goes right) and the left child; a leaf leads to itself."""
+
+    feature: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def _steps(tree: Tree, widths: Sequence[int], category: np.ndarray) -> _Steps:
+    feature, first, left, parts, end = tree.feature.astype(np.int64), np.zeros(len(tree.feature), dtype=np.int64), tree.left.astype(np.int64), [], 0
+    for f, width in enumerate(widths):
+        at = np.flatnonzero(tree.feature == f)
+        first[at] = end + np.arange(len(at)) * width
+        end += len(at) * width
+        cut = tree.cut[at]
+        right = np.unpackbits(tree.masks[cut], axis=1, bitorder="little")[:, :width] == 0 if category[f] else np.arange(width)[None, :] > cut[:, None]
+        parts.append(right.ravel())
+    leaf = np.flatnonzero(tree.feature < 0)
+    feature[leaf], first[leaf], left[leaf] = 0, end, leaf
+    return _Steps(feature, first, left, np.concatenate([*parts, np.zeros(max(widths), dtype=bool)]))
+
+
+def _votes(model: Forest, steps: list[_Steps], x: np.ndarray) -> np.ndarray:
     """Mean over the trees of the class shares in each row's leaf."""
-    n = x.shape[1]
-    total = np.zeros((n, len(model.outputs)))
-    for tree in model.trees:
-        at, go = np.zeros(n, dtype=np.int64), np.arange(n)
-        while len(go):
-            go = go[tree.feature[at[go]] >= 0]
-            to = at[go]
-            at[go] = tree.left[to] + _right(category, x, go, to, tree.feature, tree.cut, tree.masks, tree.cut)
+    n = len(x)
+    total, flat, start = np.zeros((n, len(model.outputs))), x.reshape(-1), np.arange(n) * x.shape[1]
+    for tree, step in zip(model.trees, steps, strict=True):
+        at, before = np.zeros(n, dtype=np.int64), None
+        while before is None or not np.array_equal(at, before):
+            before = at
+            bins = flat.take(start + step.feature.take(at))
+            at = step.left.take(at) + step.right.take(step.first.take(at) + bins)
         held = tree.counts[tree.left[at]].astype(np.float64)
         total += held / np.maximum(held.sum(axis=1, keepdims=True), 1)
     return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
@@ -623,13 +882,17 @@ def predict(model: Forest, df: DataFrame, name: str = "probability") -> DataFram
     """``df`` with ``name``: the class probabilities in the order of ``model.outputs``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        category = np.array([f in m.categories for f in m.features])
+        widths = [len(e) + 1 for e in m.edges]
+        steps = None
         for s in batches:
-            values = np.stack(s.to_numpy()) if len(s) else np.zeros((0, len(m.features)))
-            x = np.stack([np.searchsorted(e, values[:, i], side="left") for i, e in enumerate(m.edges)])
-            yield pd.Series(list(_votes(m, category, x)))
-
-    return df.withColumn(name, shares(F.array(*[_value(f, model.categories) for f in model.features])))
+            if steps is None:
+                category = np.array([f in m.categories for f in m.features])
+                steps = [_steps(tree, widths, category) for tree in m.trees]
+            x = np.column_stack(_bins(m.features, m.categories, m.edges, s.flatten())).astype(np.min_scalar_type(max(widths)))
+            votes = _votes(m, steps, x)
+            yield pa.ListArray.from_arrays(np.arange(0, votes.size + 1, votes.shape[1], dtype=np.int32), pa.array(votes.ravel()))
+
+    return df.withColumn(name, shares(F.struct(*_inputs(model.features, model.categories))))

@@ -154,3 +154,35 @@ def test_turns_change_nothing_about_a_subtree(monkeypatch):
     for parts in grown[1:]:
         assert all(np.array_equal(a, b) for a, b in zip(parts[:-1], grown[0][:-1], strict=True))
         assert np.allclose(parts[-1], grown[0][-1])
+
+
+def test_no_row_is_shuffled_for_a_tree(stored, monkeypatch):
+    """Subtrees grow from the stored table, a job a task; a table too large for that deals its rows and gets the same trees."""
+    asked, plain = [], forest._grow_read
+    monkeypatch.setattr(forest, "_grow_read", lambda plan, sent: asked.append(sent.value[1]) or plain(plan, sent))
+    read = fitted(stored, Trees(4, 8, min_rows=2), 600)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 1000)
+    small = fitted(stored, Trees(4, 8, min_rows=2), 600)
+    monkeypatch.setattr(forest, "READS", 0)
+    dealt = fitted(stored, Trees(4, 8, min_rows=2), 600)
+    assert len(asked) == 2 and len(asked[1]) >= 8
+    for other in (small, dealt):
+        assert all(np.array_equal(one, two) for s, t in zip(read.trees, other.trees, strict=True) for one, two in zip(s, t, strict=True))
+
+
+@pytest.mark.parametrize("turn", [10**6, 500])
+def test_large_nodes_are_read_turn_by_turn(monkeypatch, turn):
+    """Records of numbers of two bytes, and nodes of more rows than a turn."""
+    rng = np.random.default_rng(6)
+    widths = (300, 12, 20)
+    plan = forest._Plan(widths, np.array([True, True, False]), 3, 3, Trees(1, 4, min_rows=2))
+    x = np.stack([rng.integers(0, w, 4000) for w in widths])
+    y, w = (x[0] // 60 + x[1] // 4 + x[2] // 8 + rng.integers(0, 2, 4000)) % 3, rng.integers(1, 4, 4000)
+    monkeypatch.setattr(forest, "TURN", turn)
+    *parts, saved = forest._grow(plan, 0, 0, x, y, w)
+    tree = forest._tree(plan, *parts)
+    model = forest.Forest(("a", "b", "c"), {}, [], ("0", "1", "2"), saved, [tree])
+    votes = forest._votes(model, [forest._steps(tree, widths, plan.category)], x.T.astype(np.uint16))
+    want, _ = brute_force(x.T, y, w.astype(float), plan.category, 4, 2)
+    assert plan.kind == np.uint16 and len(tree.feature) > 9
+    assert np.allclose(votes, want / want.sum(axis=1, keepdims=True))
