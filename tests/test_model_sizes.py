@@ -8,7 +8,7 @@ import __spark_entry__ as entry_module
 from spindrift.ml import boosting, store
 from spindrift.ml import estimators as E
 from spindrift.registry import models as registry
-from spindrift.sources import workdir
+from spindrift.sources import tables, workdir
 
 SF = "/root/testdata/sf0.001"
 FORESTS = ("ml06_forest_session_denomination", "ml08_win_rate_classifier", "ml14_feature_importance", "top05_important_features", "ml15_test_predictions", "ml16_class_probabilities", "ml17_score_members", "ml18_score_members_in_context", "ml19_what_if", "ml20_score_ship_days", "snk09_model_versions")
@@ -69,3 +69,23 @@ def test_members_are_encoded_and_read_once_for_all_models(spark, monkeypatch, na
     assert len({id(rows) for _, _, rows in asked}) == 1
     if models > 1:
         assert all(isinstance(mark, str) for _, inputs, _ in asked for mark in inputs)
+
+
+@pytest.mark.parametrize("name, written", [("ml06_forest_session_denomination", ["sessions", "session-sides"]), ("ml18_score_members_in_context", ["sessions"]), ("ml19_what_if", ["sessions"])])
+def test_sessions_are_joined_once_for_marks_fit_and_scores(spark, monkeypatch, name, written):
+    """The join of the sessions and their split are stored, and everything after reads them from there."""
+    labels, joined = [], []
+    materialise, plays = workdir.materialise, tables.plays
+
+    def fitted(spark, name, inputs, settings, fit, root=None):
+        labels_before, sample = list(labels), fit().sample
+        assert "bet_per_spin" in sample.columns and labels == [*dict.fromkeys([*labels_before, "session-sides"])]
+        raise Fitted(labels_before)
+
+    monkeypatch.setattr(workdir, "materialise", lambda df, label: labels.append(label) or materialise(df, label))
+    monkeypatch.setattr(tables, "plays", lambda *args, **more: joined.append(1) or plays(*args, **more))
+    monkeypatch.setattr(registry.train, "session_fit", lambda rows, key, trees: [key, "split" in rows.columns])
+    monkeypatch.setattr(store, "fitted", fitted)
+    with pytest.raises(Fitted) as asked:
+        entry_module.queries()[name](spark, SF)
+    assert asked.value.args[0] == written and len(joined) == 1
