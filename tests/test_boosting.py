@@ -125,3 +125,20 @@ def test_one_job_and_a_job_a_level_grow_the_same_trees(data, monkeypatch, kind):
     for one, other in zip(small.nodes, large.nodes, strict=True):
         assert all(np.allclose(a, b) for a, b in zip(one, other, strict=True))
     assert np.allclose(small.gain, large.gain)
+
+
+@pytest.mark.parametrize("kind", [B.SQUARED, B.SOFTMAX])
+def test_rows_are_stored_in_blocks(data, monkeypatch, kind):
+    """A stored row is a block of rows, in the first table and after predictions are written anew; blocks change no tree."""
+    df, held, rows = data[0], [], []
+    targets, group = (["p", "q"], "ship") if kind == B.SQUARED else (["kind"], None)
+    materialise = B.workdir.materialise
+    monkeypatch.setattr(B.workdir, "materialise", lambda frame, label: held.append(materialise(frame, label)) or held[-1])
+    monkeypatch.setattr(B, "LOCAL_ROWS", 0)
+    whole = B.fit(df, targets, ("ship",), ("u", "v"), kind, Trees(4, 2, 0.3), group)
+    rows = [t.count() for t in held]
+    monkeypatch.setattr(B, "BLOCK", 50)
+    parts = B.fit(df, targets, ("ship",), ("u", "v"), kind, Trees(4, 2, 0.3), group)
+    assert len(rows) == 2 and max(rows) <= df.sparkSession.sparkContext.defaultParallelism
+    for one, other in zip(whole.nodes, parts.nodes, strict=True):
+        assert all(np.allclose(a, b) for a, b in zip(one, other, strict=True))
